@@ -43,6 +43,10 @@ def feature_spec(keys: str) -> str:
 
 
 # Batch features on card_tx, SQL form (independent re-statement of the rules).
+def features_batch_sql(src: str = "card_tx") -> str:
+    return FEATURES_BATCH.replace("FROM card_tx WHERE cc_num IS NOT NULL", f"FROM {src} cx WHERE cc_num IS NOT NULL")
+
+
 FEATURES_BATCH = f"""
 SELECT *, 0.1e0 AS ratio_zscore, ln(ratio_to_median_purchase_price + 1) AS ratio_log,
        ratio_to_median_purchase_price * ratio_to_median_purchase_price AS ratio_squared,
