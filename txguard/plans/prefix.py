@@ -1,0 +1,41 @@
+"""Exact ordered prefix sums without a single-partition window.
+
+A window with ORDER BY and no PARTITION BY runs in one task.  Instead:
+1. cut the order key into ``buckets`` ranges at approximate quantiles
+   (``percentile_approx`` — only for balance; the result stays exact);
+2. total each bucket (one row per bucket, a bounded table), prefix the
+   bucket totals (a window over <= ``buckets`` rows);
+3. per bucket, a partitioned window gives the running sum inside the bucket;
+   add the bucket's offset (broadcast join of <= ``buckets`` rows).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def bucketize(df: DataFrame, key: str, buckets: int, name: str = "_bucket") -> DataFrame:
+    qs = [i / buckets for i in range(1, buckets)]
+    bounds = df.agg(F.percentile_approx(key, qs, 10000).alias("_bounds"))
+    # bucket = number of bounds strictly below the key  (0 .. buckets-1)
+    out = df.crossJoin(F.broadcast(bounds))
+    out = out.withColumn(name, F.size(F.filter("_bounds", lambda b: b < F.col(key))))
+    return out.drop("_bounds")
+
+
+def prefix_sums(df: DataFrame, key: str, cols: list[str], buckets: int = 64,
+                suffix: str = "_before") -> DataFrame:
+    """Add, for each row, the sum of ``cols`` over rows with a strictly smaller ``key``.
+
+    ``key`` must be unique per row (group by it first).
+    """
+    b = bucketize(df, key, buckets)
+    tot = b.groupBy("_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    wb = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)   # <= buckets rows
+    off = tot.select("_bucket", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}") for c in cols])
+    w = Window.partitionBy("_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    out = b.withColumns({f"_in_{c}": F.coalesce(F.sum(c).over(w), F.lit(0)) for c in cols})
+    out = out.join(F.broadcast(off), "_bucket")
+    out = out.withColumns({f"{c}{suffix}": F.col(f"_o_{c}") + F.col(f"_in_{c}") for c in cols})
+    return out.drop("_bucket", *[f"_o_{c}" for c in cols], *[f"_in_{c}" for c in cols])
