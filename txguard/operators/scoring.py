@@ -167,6 +167,20 @@ class LinearProbe:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
+def fence(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Re-emit ``cols`` through a one-element generator.
+
+    The network is a DAG of shared sub-expressions (every hidden unit feeds
+    every unit of the next layer).  A filter on a downstream column (status,
+    score) would otherwise be pushed through the projections with every alias
+    inlined, growing the predicate exponentially.  Generator output columns
+    cannot be inlined below the generator, so predicates stop here; the
+    generator itself is codegen'd and costs one struct per row.
+    """
+    others = [c for c in df.columns if c not in cols]
+    return df.select(*others, F.inline(F.array(F.struct(*[F.col(c) for c in cols]))))
+
+
 def supervised_probability(df: DataFrame, supervised, name: str = "xgb_score") -> DataFrame:
     """Attach P(class 1) from a LinearProbe, a Column, or a fitted Spark ML model
     whose output has a ``probability`` vector (features in ``features_vec``)."""
@@ -240,6 +254,7 @@ def score_rows(df: DataFrame, scaler=None, weights: Weights | None = None, super
     out = reconstruct(out, weights, xs)
     out = recon_mse(out, len(cols))
     out = supervised_probability(out, supervised if supervised is not None else LinearProbe.seeded(xs))
+    out = fence(out, ["mse", "xgb_score"])
     out = ensemble(out)
     out = decide(out, threshold)
     out = out.withColumn("reasoning", reasoning())

@@ -71,3 +71,46 @@ def validate_review(df: DataFrame, status_col: str = "new_status", id_col: str =
 def threshold_valid(col: str | Column) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     return c.isNotNull() & ~F.isnan(c) & c.between(0, 1)
+
+
+# ---------------------------------------------------------------- messages --
+
+STRING_FIELDS = ["_id", "userId"]
+NUMBER_FIELDS = ["amount", "lat", "lon", "distance_from_home"] + FLAG_FIELDS
+NUMERIC_TYPE = r"^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL\(.*\))$"
+MALFORMED = "Malformed JSON"
+SCHEMA_FAILED = "Schema validation failed"
+
+
+def _vtype(v: Column, field: str) -> Column:
+    return F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant"))
+
+
+def validate_messages(df: DataFrame, value: str = "value") -> DataFrame:
+    """Strict type check of JSON messages; extra keys are kept (``payload``).
+
+    Adds ``valid``, ``error_message`` (NULL when valid), ``retry_count``
+    (schema failures go straight to the DLQ with 0; unparsable text is what the
+    retry loop would exhaust, so it carries the retry limit) and the typed
+    fields.  Uses VARIANT parsing: from_json would coerce a numeric userId
+    into a string.
+    """
+    from txguard.schemas import MAX_RETRIES
+    v = F.try_parse_json(value)
+    is_obj = F.schema_of_variant(v).startswith("OBJECT")
+    checks = [_vtype(v, f) == "STRING" for f in STRING_FIELDS]
+    checks += [F.coalesce(_vtype(v, f).rlike(NUMERIC_TYPE), F.lit(False)) for f in NUMBER_FIELDS]
+    ok = is_obj
+    for c in checks:
+        ok = ok & F.coalesce(c, F.lit(False))
+    parsed = v.isNotNull()
+    typed = {f: F.try_variant_get(v, f"$.{f}", "string") for f in STRING_FIELDS}
+    typed.update({f: F.try_variant_get(v, f"$.{f}", "double") for f in NUMBER_FIELDS})
+    typed["timestamp"] = F.to_timestamp(F.try_variant_get(v, "$.timestamp", "string"))
+    out = df.withColumns({"payload": v,
+                          "valid": parsed & F.coalesce(ok, F.lit(False))})
+    out = out.withColumns({
+        "error_message": F.when(~parsed, F.lit(MALFORMED)).when(~F.col("valid"), F.lit(SCHEMA_FAILED)),
+        "retry_count": F.when(~parsed, F.lit(MAX_RETRIES)).otherwise(F.lit(0)),
+    })
+    return out.withColumns({k: F.when(F.col("valid"), c) for k, c in typed.items()})

@@ -1 +1,243 @@
-"""Query registrations."""
+"""Validation, mutation, sink and counter registrations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from txguard.learning import retrain_features as rt
+from txguard.operators import mutations as mu
+from txguard.operators import online as on
+from txguard.operators import scoring as sc
+from txguard.operators import validate as va
+from txguard.plans.q_online import ONLINE_SQL
+from txguard.plans.q_scoring import scored_sql
+from txguard.plans.registry import register
+from txguard.plans.sqlfrag import TWO_PI, feature_spec
+from txguard.schemas import FEATURE_COLS, LATENCY_BUCKETS
+from txguard.sources import fixtures
+from txguard.sources.tables import read_table
+
+
+def fx(spark, sf):
+    return fixtures.load(spark, sf)
+
+
+def tx(spark, sf):
+    return fx(spark, sf)["transactions"]
+
+
+FAULTS = "(event_id % 97 = 0 OR event_id % 89 = 0 OR event_id % 83 = 0)"
+FIXED_NOW = F.lit("2024-02-01 00:00:00").cast("timestamp")
+
+
+# ------------------------------------------------------------- validation --
+
+def _ingress_fields_sql():
+    parts = ["CASE WHEN userId IS NULL OR length(userId) < 1 THEN 'userId' END",
+             "CASE WHEN amount IS NULL OR isnan(amount) OR amount <= 0 THEN 'amount' END",
+             "CASE WHEN lat IS NULL OR isnan(lat) OR lat < -90 OR lat > 90 THEN 'lat' END",
+             "CASE WHEN lon IS NULL OR isnan(lon) OR lon < -180 OR lon > 180 THEN 'lon' END",
+             "CASE WHEN distance_from_home IS NULL OR isnan(distance_from_home) OR distance_from_home < 0 "
+             "THEN 'distance_from_home' END"]
+    for f in ["repeat_retailer", "used_chip", "used_pin_number", "online_order"]:
+        parts.append(f"CASE WHEN {f} IS NULL OR isnan({f}) OR {f} < 0 OR {f} > 1 THEN '{f}' END")
+    return "concat_ws(',', " + ", ".join(parts) + ")"
+
+
+@register("ingress_validate", "event_id:i, valid:b, fields:s",
+          f"SELECT event_id, {_ingress_fields_sql()} = '' AS valid, {_ingress_fields_sql()} AS fields FROM ingress_raw")
+def q_ingress_validate(spark, sf):
+    raw = fx(spark, sf)["ingress_raw"]
+    chk = raw.withColumn("errors", va.errors_column(va.ingress_rules()))
+    return chk.select("event_id", (F.size("errors") == 0).alias("valid"),
+                      F.concat_ws(",", F.array_distinct(F.col("errors.field"))).alias("fields"))
+
+
+@register("ingress_defaults", "event_id:i, userId:s, amount:d, fraud_score:d, status:s, id_len:i",
+          f"SELECT event_id, userId, amount, -1.0e0 AS fraud_score, 'PENDING' AS status, 36 AS id_len "
+          f"FROM ingress_raw WHERE {_ingress_fields_sql()} = ''")
+def q_ingress_defaults(spark, sf):
+    valid, _ = va.validate_ingress(fx(spark, sf)["ingress_raw"], keep=["event_id"])
+    d = mu.with_defaults(valid, id_from=["event_id"])
+    return d.withColumn("id_len", F.length("_id"))
+
+
+@register("msg_validate", "event_id:i, valid:b, error_message:s, retry_count:i",
+          f"SELECT event_id, NOT {FAULTS} AS valid, CASE WHEN event_id % 97 = 0 THEN 'Malformed JSON' "
+          f"WHEN {FAULTS} THEN 'Schema validation failed' END AS error_message, "
+          "CASE WHEN event_id % 97 = 0 THEN 3 ELSE 0 END AS retry_count FROM transactions")
+def q_msg_validate(spark, sf):
+    return va.validate_messages(fx(spark, sf)["messages"])
+
+
+@register("review_validate", "_id:s, new_status:s, valid:b",
+          "SELECT _id, status AS new_status, coalesce(status IN ('CLEARED', 'BLOCKED'), false) AND length(_id) >= 1 "
+          "AS valid FROM transactions")
+def q_review_validate(spark, sf):
+    r = tx(spark, sf).select("_id", F.col("status").alias("new_status"))
+    return va.validate_review(r)
+
+
+# --------------------------------------------------------------- mutations --
+
+@register("tx_upsert", "_id:s, status:s, fraud_score:d",
+          "SELECT _id, CASE WHEN status = 'PENDING' THEN (CASE WHEN s > 0.6e0 THEN 'FLAGGED' ELSE 'CLEARED' END) "
+          "ELSE status END AS status, CASE WHEN status = 'PENDING' THEN s ELSE fraud_score END AS fraud_score "
+          "FROM (SELECT *, (event_id * 7919 % 1000) / 1000.0e0 AS s FROM transactions) t")
+def q_upsert(spark, sf):
+    t = tx(spark, sf)
+    pend = t.filter(F.col("status") == "PENDING").withColumn("s", (F.col("event_id") * 7919 % 1000) / 1000.0)
+    # the same record delivered twice (a replay): the later version must win
+    v1 = pend.select("_id", F.lit("CLEARED").alias("status"), F.lit(0.0).alias("fraud_score"),
+                     F.lit(1).alias("_version"))
+    v2 = pend.select("_id", F.when(F.col("s") > 0.6, "FLAGGED").otherwise("CLEARED").alias("status"),
+                     F.col("s").alias("fraud_score"), F.lit(2).alias("_version"))
+    return mu.upsert(t, v1.unionByName(v2))
+
+
+@register("tx_review", "_id:s, status:s",
+          "SELECT _id, CASE WHEN _id = 'tx_42' THEN 'BLOCKED' ELSE status END AS status FROM transactions")
+def q_review(spark, sf):
+    t = tx(spark, sf)
+    req = spark.createDataFrame([("tx_42", "BLOCKED")], "_id string, new_status string")
+    updated, _ = mu.review(t, req, analyst="analyst_1", bulk=False, now=FIXED_NOW)
+    return updated
+
+
+@register("tx_bulk_review", "_id:s, status:s",
+          "SELECT t._id, coalesce(r.new_status, t.status) AS status FROM transactions t LEFT JOIN reviews r "
+          "ON t._id = r._id")
+def q_bulk_review(spark, sf):
+    f = fx(spark, sf)
+    updated, _ = mu.review(f["transactions"], f["reviews"], analyst="analyst_1", now=FIXED_NOW)
+    return updated
+
+
+@register("audit_bulk", "action:s, transactionId:s, userId:s, details:s, id_len:i",
+          "SELECT new_status AS action, _id AS transactionId, 'analyst_1' AS userId, "
+          "'Analyst bulk marked transaction as ' || new_status AS details, 36 AS id_len FROM reviews")
+def q_audit(spark, sf):
+    f = fx(spark, sf)
+    _, audit = mu.review(f["transactions"], f["reviews"], analyst="analyst_1", now=FIXED_NOW)
+    return audit.withColumn("id_len", F.length("_id"))
+
+
+SCORED_TX = scored_sql(f"SELECT * EXCLUDE (status, fraud_score) FROM ({ONLINE_SQL}) o")
+
+
+@register("alerts_append", "transactionId:s, userId:s, score:d, reasoning:s, status:s",
+          f"SELECT _id AS transactionId, userId, fraud_score AS score, reasoning, 'OPEN' AS status "
+          f"FROM ({SCORED_TX}) s WHERE status_new = 'FLAGGED'")
+def q_alerts_append(spark, sf):
+    scored = sc.score_rows(on.online_features(tx(spark, sf)).drop("status"))
+    return mu.alerts_from(scored, now=FIXED_NOW)
+
+
+@register("dlq_envelope", "event_id:i, message:s, retryCount:i, originalTopic:s, dlq_topic:s, raw_kept:b",
+          f"SELECT event_id, CASE WHEN event_id % 97 = 0 THEN 'Malformed JSON' ELSE 'Schema validation failed' END "
+          f"AS message, CASE WHEN event_id % 97 = 0 THEN 3 ELSE 0 END AS retryCount, 'transactions' AS originalTopic, "
+          f"'transactions-dlq' AS dlq_topic, true AS raw_kept FROM transactions WHERE {FAULTS}")
+def q_dlq(spark, sf):
+    m = va.validate_messages(fx(spark, sf)["messages"])
+    d = mu.dead_letters(m.filter(~F.col("valid")), now=FIXED_NOW)
+    e = F.col("envelope")
+    return d.select("event_id", e["error"]["message"].alias("message"), e["metadata"]["retryCount"].alias("retryCount"),
+                    e["metadata"]["originalTopic"].alias("originalTopic"), "dlq_topic",
+                    (e["originalMessage_raw"] == F.col("value")).alias("raw_kept"))
+
+
+# -------------------------------------------------------------- sinks/json --
+
+PUB_COLS = ["_id", "userId", "amount", "lat", "lon", "distance_from_home", "repeat_retailer", "used_chip",
+            "used_pin_number", "online_order", "fraud_score", "status"]
+
+
+@register("sink_publish_json", "_id:s, userId:s, amount:d, status:s",
+          "SELECT _id, userId, amount, status FROM transactions")
+def q_publish(spark, sf):
+    p = mu.publish_json(tx(spark, sf).select(*PUB_COLS))
+    v = F.col("value")
+    return p.select(F.get_json_object(v, "$._id").alias("_id"), F.get_json_object(v, "$.userId").alias("userId"),
+                    F.get_json_object(v, "$.amount").cast("double").alias("amount"),
+                    F.get_json_object(v, "$.status").alias("status"))
+
+
+@register("json_roundtrip", "_id:s, amount:d, lat:d, lon:d, fraud_score:d, status:s",
+          "SELECT _id, amount, lat, lon, fraud_score, status FROM transactions")
+def q_json(spark, sf):
+    t = tx(spark, sf).select(*PUB_COLS)
+    schema = t.schema
+    back = mu.publish_json(t).select(F.from_json("value", schema).alias("r")).select("r.*")
+    return back
+
+
+# ------------------------------------------------------------------ retrain --
+
+@register("retrain_source", "_id:s, amount:d, status:s",
+          "SELECT _id, amount, status FROM transactions WHERE status = 'CLEARED'")
+def q_retrain_source(spark, sf):
+    return rt.retrain_source(tx(spark, sf))
+
+
+def _retrain_sql():
+    present = {"distance_from_home", "repeat_retailer", "used_chip", "used_pin_number", "online_order"}
+    dow = "(isodow(timestamp) - 1)"
+    exprs = {
+        "time_of_day_sin": f"sin(hour(timestamp) * ({TWO_PI} / 24))",
+        "time_of_day_cos": f"cos(hour(timestamp) * ({TWO_PI} / 24))",
+        "day_of_week_sin": f"sin({dow} * ({TWO_PI} / 7))",
+        "day_of_week_cos": f"cos({dow} * ({TWO_PI} / 7))",
+        "amt_log": "ln(amount + 1)",
+        "is_weekend": f"CASE WHEN {dow} >= 5 THEN 1.0e0 ELSE 0.0e0 END",
+    }
+    cols = []
+    for c in FEATURE_COLS:
+        if c in present:
+            cols.append(c)
+        elif c in exprs:
+            cols.append(f"{exprs[c]} AS {c}")
+        else:
+            cols.append(f"0.0e0 AS {c}")
+    return "SELECT _id, " + ", ".join(cols) + " FROM transactions WHERE status = 'CLEARED'"
+
+
+@register("retrain_features", feature_spec("_id:s"), _retrain_sql())
+def q_retrain_features(spark, sf):
+    return rt.retrain_features(rt.retrain_source(tx(spark, sf)))
+
+
+@register("retrain_guard", "n_seen:i, proceed:b",
+          "SELECT least(count(*), 100) AS n_seen, count(*) >= 100 AS proceed FROM transactions WHERE status = 'CLEARED'")
+def q_retrain_guard(spark, sf):
+    return rt.retrain_guard(rt.retrain_source(tx(spark, sf)))
+
+
+# ---------------------------------------------------------------- counters --
+
+def _valid_online_sql():
+    return ONLINE_SQL.replace("FROM transactions", f"FROM (SELECT * FROM transactions WHERE NOT {FAULTS}) vt")
+
+
+@register("pipeline_counters", "processed:i, flagged:i, dlq:i, model_errors:i",
+          f"SELECT count(*) AS processed, count(*) FILTER (WHERE status_new = 'FLAGGED') AS flagged, "
+          f"(SELECT count(*) FROM transactions WHERE {FAULTS}) AS dlq, "
+          f"count(*) FILTER (WHERE model_failed) AS model_errors "
+          f"FROM ({scored_sql(f'SELECT * EXCLUDE (status, fraud_score) FROM ({_valid_online_sql()}) o')}) s")
+def q_counters(spark, sf):
+    from txguard.operators.metrics import pipeline_counters
+    m = va.validate_messages(fx(spark, sf)["messages"])
+    valid = m.filter("valid").select("event_id", *va.STRING_FIELDS, *va.NUMBER_FIELDS, "timestamp")
+    scored = sc.score_rows(on.online_features(valid))
+    return pipeline_counters(scored, m.filter(~F.col("valid")))
+
+
+@register("latency_histogram", "le:s, cnt:i, total_sum:d, total_count:i",
+          "SELECT le, cnt, total_sum, total_count FROM (SELECT "
+          + ", ".join(f"count(*) FILTER (WHERE d <= {b}) AS c{i}" for i, b in enumerate(LATENCY_BUCKETS))
+          + ", count(*) AS cinf, sum(d) AS total_sum, count(*) AS total_count FROM "
+          "(SELECT (event_id * 31 % 6000) / 1000.0e0 AS d FROM transactions) x) a, LATERAL (VALUES "
+          + ", ".join(f"('{b}', c{i})" for i, b in enumerate(LATENCY_BUCKETS)) + ", ('+Inf', cinf)) v(le, cnt)")
+def q_latency(spark, sf):
+    from txguard.operators.metrics import latency_histogram
+    d = tx(spark, sf).select(((F.col("event_id") * 31 % 6000) / 1000.0).alias("duration"))
+    return latency_histogram(d)
