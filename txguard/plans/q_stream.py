@@ -1 +1,66 @@
-"""Query registrations."""
+"""Learning-job registrations (M1-M8).  Iterative training has no SQL oracle;
+the evaluation pipeline with fixed weights does."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from txguard.learning import jobs
+from txguard.learning.autoencoder import hash_split
+from txguard.operators import scoring as sc
+from txguard.operators.features import engineer_features
+from txguard.plans.q_eval import _r  # noqa: F401
+from txguard.plans.q_scoring import recon_sql, scaled_sql
+from txguard.plans.registry import register
+from txguard.plans.sqlfrag import FEATURES_BATCH
+from txguard.sources import fixtures
+from txguard.sources.tables import read_table
+
+
+def cards(spark, sf):
+    return fixtures.card_tx(read_table(spark, sf, "events"))
+
+
+# xxhash64 is Spark's own hash; the split has no DuckDB twin, so this key is rows-only.
+@register("train_split", "event_id:i, part:s", None)
+def q_split(spark, sf):
+    c = cards(spark, sf)
+    tr, va = hash_split(c, "event_id")
+    return tr.select("event_id", F.lit("train").alias("part")).unionByName(
+        va.select("event_id", F.lit("val").alias("part")))
+
+
+@register("autoencoder_fit", "epoch:i, train_loss:d, val_loss:d", None)
+def q_fit(spark, sf):
+    scaler, res = jobs.training_job(cards(spark, sf))
+    return res.losses_frame(spark)
+
+
+@register("supervised_fit", "event_id:i, is_fraud:i, p_fraud:d", None)
+def q_supervised(spark, sf):
+    feats = engineer_features(cards(spark, sf))
+    model = jobs.fit_supervised(feats)
+    out = sc.supervised_probability(feats, model, "p_fraud")
+    return out.select("event_id", "is_fraud", "p_fraud")
+
+
+@register("retrain_fit", "epoch:i, train_loss:d, val_loss:d", None)
+def q_retrain(spark, sf):
+    tx = fixtures.transactions(cards(spark, sf))
+    res = jobs.retrain(tx, sc.Scaler.reference())
+    if res is None:
+        return spark.createDataFrame([], "epoch int, train_loss double, val_loss double")
+    return res.losses_frame(spark)
+
+
+EVAL_CM = ("SELECT count(*) FILTER (WHERE is_fraud <> 1 AND NOT mse > 1.5) AS tn, "
+           "count(*) FILTER (WHERE is_fraud <> 1 AND mse > 1.5) AS fp, "
+           "count(*) FILTER (WHERE is_fraud = 1 AND NOT mse > 1.5) AS fn, "
+           "count(*) FILTER (WHERE is_fraud = 1 AND mse > 1.5) AS tp FROM (" + recon_sql(scaled_sql(FEATURES_BATCH))
+           + ") ej")
+
+
+@register("eval_job_confusion", "tn:i, fp:i, fn:i, tp:i", EVAL_CM)
+def q_eval_job(spark, sf):
+    out = jobs.evaluation_job(cards(spark, sf), sc.Scaler.reference(), sc.seeded_weights())
+    return out["confusion"]
