@@ -85,8 +85,8 @@ def scale_features(df: DataFrame, scaler, cols=FEATURE_COLS, prefix: str = "x")
         out = out.withColumns({f"{prefix}{i}": (F.col(c) - F.col("_sm")[i]) / F.col("_ss")[i]
                                for i, c in enumerate(cols)})
         return out.drop("_sm", "_ss")
-    return df.withColumns({f"{prefix}{i}": (F.col(c) - F.lit(float(scaler.mean[i]))) / F.lit(float(scaler.scale[i]))
-                           for i, c in enumerate(cols)})
+    return df.selectExpr("*", *[f"(`{c}` - {dlit(scaler.mean[i])}) / {dlit(scaler.scale[i])} AS `{prefix}{i}`"
+                                for i, c in enumerate(cols)])
 
 
 # ----------------------------------------------------------- autoencoder ----
@@ -110,36 +110,45 @@ def neuron_terms(W, b, inputs: list, j: int):
     return float(b[j]), [(inputs[i], float(W[i][j])) for i in range(len(inputs)) if W[i][j] != 0]
 
 
+def dlit(v: float) -> str:
+    """Spark SQL DOUBLE literal (shortest round-trip text + D suffix)."""
+    v = float(v)
+    if v != v or v in (float("inf"), float("-inf")):
+        return f"CAST('{v}' AS DOUBLE)"
+    return f"{v!r}D"
+
+
 def reconstruct(df: DataFrame, weights: Weights, inputs: list[str], prefix: str = "r") -> DataFrame:
-    """Forward pass; adds ``{prefix}0..{prefix}{d-1}`` (linear output layer)."""
+    """Forward pass; adds ``{prefix}0..{prefix}{d-1}`` (linear output layer).
+
+    Each layer is one projection built from SQL text in a single call, so a
+    layer costs one round trip to the JVM instead of one per term.
+    """
     cur = list(inputs)
     last = len(weights) - 1
     tmp = []
     for l, (W, b) in enumerate(weights):
-        cols = {}
+        exprs = []
+        names = []
         for j in range(len(b)):
             bias, terms = neuron_terms(W, b, cur, j)
-            e = F.lit(bias)
-            for name, w in terms:
-                e = e + F.col(name) * F.lit(w)
+            e = dlit(bias) + "".join(f" + `{name}` * {dlit(w)}" for name, w in terms)
             if l < last:
-                e = F.greatest(e, F.lit(0.0))
+                e = f"greatest({e}, 0.0D)"
             name = f"{prefix}{j}" if l == last else f"_h{l}_{j}"
-            cols[name] = e
-        df = df.withColumns(cols)
+            exprs.append(f"{e} AS `{name}`")
+            names.append(name)
+        df = df.selectExpr("*", *exprs)
         if l < last:
-            tmp += list(cols)
-        cur = list(cols)
+            tmp += names
+        cur = names
     return df.drop(*tmp)
 
 
 def recon_mse(df: DataFrame, n: int = len(FEATURE_COLS), x: str = "x", r: str = "r",
               name: str = "mse") -> DataFrame:
-    e = None
-    for i in range(n):
-        t = F.pow(F.col(f"{x}{i}") - F.col(f"{r}{i}"), 2)
-        e = t if e is None else e + t
-    return df.withColumn(name, e / float(n))
+    e = " + ".join(f"pow(`{x}{i}` - `{r}{i}`, 2)" for i in range(n))
+    return df.selectExpr("*", f"({e}) / {dlit(n)} AS `{name}`")
 
 
 # ------------------------------------------------------- supervised side ----
@@ -160,11 +169,8 @@ class LinearProbe:
         return LinearProbe([((7 * i) % 11 - 5) / 50 for i in range(len(inputs))], -1.0, list(inputs))
 
     def column(self) -> Column:
-        z = F.lit(self.b)
-        for name, w in zip(self.inputs, self.w):
-            if w != 0:
-                z = z + F.col(name) * F.lit(w)
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+        z = dlit(self.b) + "".join(f" + `{n}` * {dlit(w)}" for n, w in zip(self.inputs, self.w) if w != 0)
+        return F.expr(f"1.0D / (1.0D + exp(-({z})))")
 
 
 def fence(df: DataFrame, cols: list[str]) -> DataFrame:
