@@ -126,23 +126,49 @@ def zscore_features(df: DataFrame, amount: str = AMT) -> DataFrame:
     })
 
 
-def engineer_features(df: DataFrame, order_id: str = "event_id", prepartition: bool = True) -> DataFrame:
+def bounded_card_columns(order_id: str = "event_id"):
+    """lag and rolling 10/50 columns: at most 49 rows back."""
+    def build(w):
+        cols = {"prev_merch_lat": F.lag("merch_lat", 1).over(w),
+                "prev_merch_long": F.lag("merch_long", 1).over(w)}
+        for n in (10, 50):
+            f = w.rowsBetween(-(n - 1), Window.currentRow)
+            cols[f"rolling_ratio_mean_{n}"] = F.avg(AMT).over(f)
+            cols[f"rolling_ratio_std_{n}"] = F.coalesce(F.stddev_samp(AMT).over(f), F.lit(0.0))
+        return cols
+    return build
+
+
+def engineer_features(df: DataFrame, order_id: str = "event_id", prepartition: bool = True,
+                      skew_safe: bool = False, hot_rows: int | None = None,
+                      block_rows: int | None = None) -> DataFrame:
     """All 29 features on raw card transactions.
 
     Expects cc_num, trans_date_trans_time, amt, lat, long, merch_lat,
     merch_long, merchant, category (+ optional is_fraud) and a unique
     ``order_id`` used as the tie-breaker after time.  Rows without a card are
     dropped, as the grouping in the reference drops them.
+
+    ``skew_safe``: lag and rolling windows of cards above ``hot_rows`` rows
+    are computed in blocks (plans.sequence).  The expanding median needs the
+    card's whole history and still runs per card.
     """
     df = df.filter(F.col(CARD).isNotNull())
-    if prepartition:
+    if skew_safe:
+        from txguard.plans import sequence as sq
+        df = sq.sequence_window(df, CARD, [TIME, order_id], bounded_card_columns(order_id), 49,
+                                hot_rows or sq.HOT_ROWS, block_rows or sq.BLOCK_ROWS)
+    elif prepartition:
         # one exchange for both window specs (card) and (card, merchant)
         df = df.repartition(CARD)
     df = distance_from_home(df)
+    if not skew_safe:
+        df = prev_location(df, order_id)
     df = distance_from_last(df, order_id)
     df = expanding_median(df, order_id)
     df = ratio_features(df)
-    df = rolling_features(df, order_id=order_id)
+    if not skew_safe:
+        df = rolling_features(df, order_id=order_id)
     df = repeat_retailer(df, order_id)
     df = flag_features(df)
     df = interaction_features(df)

@@ -92,18 +92,39 @@ def online_scalar_features(df: DataFrame) -> DataFrame:
     })
 
 
-def online_features(tx: DataFrame, history: int = HISTORY_CAP, prepartition: bool = True) -> DataFrame:
+def online_history_columns(history: int = HISTORY_CAP):
+    """Window columns of the online path; all look back at most ``history`` rows."""
+    def build(w):
+        cols = {
+            "_prev_lat": F.lag("lat", 1).over(w),
+            "_prev_lon": F.lag("lon", 1).over(w),
+            "_has_prev": F.lag(F.lit(1), 1).over(w).isNotNull(),
+            "median_purchase_price": F.percentile("amount", 0.5).over(w.rowsBetween(-history, Window.currentRow)),
+        }
+        for n in (10, 50):
+            f = w.rowsBetween(-(n - 1), Window.currentRow)
+            cols[f"rolling_ratio_mean_{n}"] = F.avg("amount").over(f)
+            cols[f"rolling_ratio_std_{n}"] = F.coalesce(F.stddev_samp("amount").over(f), F.lit(0.0))
+        return cols
+    return build
+
+
+def online_features(tx: DataFrame, history: int = HISTORY_CAP, hot_rows: int | None = None,
+                    block_rows: int | None = None) -> DataFrame:
     """29 online features for every row of a transaction table (replay).
 
     Missing event times fall back to processing time, as the consumer does.
+    All per-user frames are bounded (<= 50 rows back), so users with very
+    many rows are split into blocks (plans.sequence) instead of one task.
     """
+    from txguard.plans import sequence as sq
     tx = tx.withColumn(TS, F.coalesce(F.col(TS), F.current_timestamp().cast(tx.schema[TS].dataType)))
-    if prepartition:
-        tx = tx.repartition(USER)
-    df = online_distance_last(tx, history)
-    df = online_median(df, history)
+    df = sq.sequence_window(tx, USER, [TS, ID], online_history_columns(history), max(history, 49),
+                            hot_rows or sq.HOT_ROWS, block_rows or sq.BLOCK_ROWS)
+    d = haversine_km_atan2("lat", "lon", "_prev_lat", "_prev_lon")
+    df = df.withColumn("distance_from_last_transaction", F.when(F.col("_has_prev"), d).otherwise(F.lit(0.0)))
+    df = df.drop("_prev_lat", "_prev_lon", "_has_prev")
     df = online_ratio(df)
-    df = online_rolling(df)
     return online_scalar_features(df)
 
 
