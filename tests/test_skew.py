@@ -30,10 +30,12 @@ def test_online_blocked_equals_plain(spark, sf):
     close(rows(blocked, "_id"), rows(plain, "_id"))
 
 
-def test_batch_blocked_equals_plain(spark):
-    cards = fixtures.card_tx(read_table(spark, SF001, "events"))
-    plain = feat.engineer_features(cards)
-    blocked = feat.engineer_features(cards, skew_safe=True, hot_rows=20, block_rows=60)
+@pytest.mark.parametrize("sf", [SF001, SF01])
+def test_batch_blocked_equals_plain(spark, sf):
+    cards = fixtures.card_tx(read_table(spark, sf, "events"))
+    plain = feat.engineer_features(cards, skew_safe=False)
+    # cards above 40 rows are hot; blocks of 60 rows (halo 49)
+    blocked = feat.engineer_features(cards, skew_safe=True, hot_rows=40, block_rows=60)
     close(rows(blocked, "event_id"), rows(plain, "event_id"))
 
 
@@ -48,3 +50,17 @@ def test_positions_are_exact(spark):
     a = {r["event_id"]: r["_g"] for r in pos.select("event_id", "_g").collect()}
     b = {r["event_id"]: r["_rn"] for r in ref.select("event_id", "_rn").collect()}
     assert a == b
+
+
+@pytest.mark.parametrize("block", [7, 16])
+def test_expanding_median_blocked_equals_window(spark, block):
+    from pyspark.sql import functions as F
+    from txguard.plans.expanding import expanding_median_hot
+    cards = fixtures.card_tx(read_table(spark, SF01, "events"))
+    ref = feat.expanding_median(cards)
+    got = expanding_median_hot(cards, "cc_num", ["trans_date_trans_time", "event_id"], "amt", "event_id", block)
+    a = {int(r["_id"]): r["_med"] for r in got.collect()}
+    b = {r["event_id"]: r["median_purchase_price"] for r in ref.select("event_id", "median_purchase_price").collect()}
+    assert a.keys() == b.keys()
+    bad = [(k, a[k], b[k]) for k in a if abs(a[k] - b[k]) > 1e-12 * max(1, abs(b[k]))]
+    assert not bad, bad[:5]

@@ -139,8 +139,43 @@ def bounded_card_columns(order_id: str = "event_id"):
     return build
 
 
+def _features_plain(df: DataFrame, order_id: str, prepartition: bool) -> DataFrame:
+    if prepartition:
+        # one exchange for both window specs (card) and (card, merchant)
+        df = df.repartition(CARD)
+    df = distance_from_home(df)
+    df = distance_from_last(df, order_id)
+    df = expanding_median(df, order_id)
+    df = ratio_features(df)
+    df = rolling_features(df, order_id=order_id)
+    df = repeat_retailer(df, order_id)
+    return df
+
+
+def _features_hot(hot: DataFrame, order_id: str, block_rows: int) -> DataFrame:
+    """Per-card features for cards too large for one task (see plans.sequence/expanding)."""
+    from txguard.plans import sequence as sq
+    from txguard.plans.expanding import expanding_median_hot
+    order = [TIME, order_id]
+    hb = sq.blocked(sq.positions(hot, CARD, order), 49, block_rows)
+    w = Window.partitionBy(CARD, "_blk").orderBy("_g")
+    df = (hb.withColumns(bounded_card_columns(order_id)(w))
+            .filter(F.col("_own") == F.col("_blk")).drop("_own", "_blk", "_g"))
+    med = expanding_median_hot(hot, CARD, order, AMT, order_id, block_rows)
+    df = (df.withColumn("_id", F.col(order_id).cast("string")).join(med, "_id")
+            .withColumnRenamed("_med", "median_purchase_price").drop("_id"))
+    # repeat retailer = not the first (time, id) of its (card, merchant) pair;
+    # the first occurrence is a partially aggregated min, not a per-pair window
+    first = hot.groupBy(CARD, MERCHANT).agg(F.min(F.struct(TIME, order_id)).alias("_first"))
+    df = df.join(first, [CARD, MERCHANT], "left")
+    df = df.withColumn("repeat_retailer", flag(F.struct(TIME, order_id) > F.col("_first"))).drop("_first")
+    df = distance_from_home(df)
+    df = distance_from_last(df, order_id)
+    return ratio_features(df)
+
+
 def engineer_features(df: DataFrame, order_id: str = "event_id", prepartition: bool = True,
-                      skew_safe: bool = False, hot_rows: int | None = None,
+                      skew_safe: bool = True, hot_rows: int | None = None,
                       block_rows: int | None = None) -> DataFrame:
     """All 29 features on raw card transactions.
 
@@ -149,32 +184,24 @@ def engineer_features(df: DataFrame, order_id: str = "event_id", prepartition: b
     ``order_id`` used as the tie-breaker after time.  Rows without a card are
     dropped, as the grouping in the reference drops them.
 
-    ``skew_safe``: lag and rolling windows of cards above ``hot_rows`` rows
-    are computed in blocks (plans.sequence).  The expanding median needs the
-    card's whole history and still runs per card.
+    ``skew_safe``: cards above ``hot_rows`` rows are computed in blocks of
+    ``block_rows`` (exact; plans.sequence and plans.expanding) so no card is
+    ever processed by a single task; other cards use plain per-card windows.
     """
+    from txguard.plans import sequence as sq
     df = df.filter(F.col(CARD).isNotNull())
     if skew_safe:
-        from txguard.plans import sequence as sq
-        df = sq.sequence_window(df, CARD, [TIME, order_id], bounded_card_columns(order_id), 49,
-                                hot_rows or sq.HOT_ROWS, block_rows or sq.BLOCK_ROWS)
-    elif prepartition:
-        # one exchange for both window specs (card) and (card, merchant)
-        df = df.repartition(CARD)
-    df = distance_from_home(df)
-    if not skew_safe:
-        df = prev_location(df, order_id)
-    df = distance_from_last(df, order_id)
-    df = expanding_median(df, order_id)
-    df = ratio_features(df)
-    if not skew_safe:
-        df = rolling_features(df, order_id=order_id)
-    df = repeat_retailer(df, order_id)
-    df = flag_features(df)
-    df = interaction_features(df)
-    df = temporal_features(df)
-    df = zscore_features(df)
-    return df
+        light, hot = sq.split_hot(df, CARD, hot_rows or sq.HOT_ROWS)
+    else:
+        light, hot = df, None
+    out = _features_plain(light, order_id, prepartition)
+    if hot is not None:
+        out = out.unionByName(_features_hot(hot, order_id, block_rows or sq.BLOCK_ROWS),
+                              allowMissingColumns=True)
+    out = flag_features(out)
+    out = interaction_features(out)
+    out = temporal_features(out)
+    return zscore_features(out)
 
 
 def feature_vector(df: DataFrame, name: str = "features") -> DataFrame:

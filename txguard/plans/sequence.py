@@ -49,7 +49,8 @@ def split_hot(df: DataFrame, key: str, hot_rows: int) -> tuple[DataFrame, DataFr
     return df.join(hot, key, "left_anti"), df.join(hot, key, "left_semi")
 
 
-def positions(hot: DataFrame, key: str, order: list[str], partitions: int | None = None) -> DataFrame:
+def positions(hot: DataFrame, key: str, order: list[str], partitions: int | None = None,
+              out: str = "_g") -> DataFrame:
     """Exact 1-based position of each row inside its key, by ``order`` (must be unique per key)."""
     spark = hot.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -64,8 +65,8 @@ def positions(hot: DataFrame, key: str, order: list[str], partitions: int | None
     w = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = stats.select("_pid", key, "_m0", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
     # one row per (partition, key): bounded by partitions + hot keys
-    out = r.join(F.broadcast(offs), ["_pid", key])
-    return out.withColumn("_g", F.col("_off") + (F.col("_mid") - F.col("_m0")) + 1).drop("_pid", "_mid", "_m0", "_off")
+    res = r.join(F.broadcast(offs), ["_pid", key])
+    return res.withColumn(out, F.col("_off") + (F.col("_mid") - F.col("_m0")) + 1).drop("_pid", "_mid", "_m0", "_off")
 
 
 def blocked(hot_pos: DataFrame, lookback: int, block_rows: int) -> DataFrame:
