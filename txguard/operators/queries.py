@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from txguard.schemas import (ALERTS_DEFAULT, ALERTS_MAX, FLAGGED_LIMIT, PAGE_DEFAULT, PAGE_MAX)
 
-NEWEST_FIRST = [F.col("createdAt").desc(), F.col("_id").asc()]
+def newest_first() -> list[Column]:
+    return [F.col("createdAt").desc(), F.col("_id").asc()]
 
 
 def _int_or(value, default: int) -> int:
@@ -69,7 +70,7 @@ def search(tx: DataFrame, user_id=None, status=None, min_amount=None, max_amount
     """Filtered, newest-first page plus a one-row page_info (page, limit, total, pages)."""
     p, n = page_params(page, limit)
     filtered = tx.filter(search_filter(user_id, status, min_amount, max_amount))
-    rows = filtered.orderBy(*NEWEST_FIRST).offset((p - 1) * n).limit(n)
+    rows = filtered.orderBy(*newest_first()).offset((p - 1) * n).limit(n)
     info = filtered.agg(F.count(F.lit(1)).alias("total")).select(
         F.lit(p).cast("bigint").alias("page"), F.lit(n).cast("bigint").alias("limit"), "total",
         F.ceil(F.col("total") / F.lit(n)).cast("bigint").alias("pages"))
@@ -104,7 +105,7 @@ def stats(tx: DataFrame) -> DataFrame:
 
 
 def flagged(tx: DataFrame, limit: int = FLAGGED_LIMIT) -> DataFrame:
-    return tx.filter(status_is("FLAGGED")).orderBy(*NEWEST_FIRST).limit(limit)
+    return tx.filter(status_is("FLAGGED")).orderBy(*newest_first()).limit(limit)
 
 
 def flagged_badge(tx: DataFrame, limit: int = FLAGGED_LIMIT) -> DataFrame:
@@ -131,7 +132,7 @@ def status_class(status: Column | str = "status") -> Column:
 
 
 def newest(tx: DataFrame, n: int = PAGE_DEFAULT) -> DataFrame:
-    return tx.orderBy(*NEWEST_FIRST).limit(n)
+    return tx.orderBy(*newest_first()).limit(n)
 
 
 def risk_series(tx: DataFrame, n: int = PAGE_DEFAULT) -> DataFrame:

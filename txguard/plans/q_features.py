@@ -143,3 +143,11 @@ def q_features_batch(spark, sf):
 def q_vector(spark, sf):
     v = feat.feature_vector(_batch(spark, sf))
     return v.select("event_id", "cc_num", *[F.col("features")[i].alias(f"f{i}") for i in range(len(FEATURE_COLS))])
+
+
+# The hot-card path on the real tables: every card above 40 rows is computed in
+# blocks of 60 rows (exact positions, halo windows, blocked expanding median).
+# Same oracle as features_batch.
+@register("features_batch_blocked", feature_spec(KEYS + ", is_fraud:i"), FEATURES_BATCH)
+def q_features_blocked(spark, sf):
+    return feat.engineer_features(cards(spark, sf), skew_safe=True, hot_rows=40, block_rows=60)

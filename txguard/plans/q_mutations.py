@@ -27,7 +27,8 @@ def tx(spark, sf):
 
 
 FAULTS = "(event_id % 97 = 0 OR event_id % 89 = 0 OR event_id % 83 = 0)"
-FIXED_NOW = F.lit("2024-02-01 00:00:00").cast("timestamp")
+def fixed_now():
+    return F.lit("2024-02-01 00:00:00").cast("timestamp")
 
 
 # ------------------------------------------------------------- validation --
@@ -100,7 +101,7 @@ def q_upsert(spark, sf):
 def q_review(spark, sf):
     t = tx(spark, sf)
     req = spark.createDataFrame([("tx_42", "BLOCKED")], "_id string, new_status string")
-    updated, _ = mu.review(t, req, analyst="analyst_1", bulk=False, now=FIXED_NOW)
+    updated, _ = mu.review(t, req, analyst="analyst_1", bulk=False, now=fixed_now())
     return updated
 
 
@@ -109,7 +110,7 @@ def q_review(spark, sf):
           "ON t._id = r._id")
 def q_bulk_review(spark, sf):
     f = fx(spark, sf)
-    updated, _ = mu.review(f["transactions"], f["reviews"], analyst="analyst_1", now=FIXED_NOW)
+    updated, _ = mu.review(f["transactions"], f["reviews"], analyst="analyst_1", now=fixed_now())
     return updated
 
 
@@ -118,7 +119,7 @@ def q_bulk_review(spark, sf):
           "'Analyst bulk marked transaction as ' || new_status AS details, 36 AS id_len FROM reviews")
 def q_audit(spark, sf):
     f = fx(spark, sf)
-    _, audit = mu.review(f["transactions"], f["reviews"], analyst="analyst_1", now=FIXED_NOW)
+    _, audit = mu.review(f["transactions"], f["reviews"], analyst="analyst_1", now=fixed_now())
     return audit.withColumn("id_len", F.length("_id"))
 
 
@@ -130,7 +131,7 @@ SCORED_TX = scored_sql(f"SELECT * EXCLUDE (status, fraud_score) FROM ({ONLINE_SQ
           f"FROM ({SCORED_TX}) s WHERE status_new = 'FLAGGED'")
 def q_alerts_append(spark, sf):
     scored = sc.score_rows(on.online_features(tx(spark, sf)).drop("status"))
-    return mu.alerts_from(scored, now=FIXED_NOW)
+    return mu.alerts_from(scored, now=fixed_now())
 
 
 @register("dlq_envelope", "event_id:i, message:s, retryCount:i, originalTopic:s, dlq_topic:s, raw_kept:b",
@@ -139,7 +140,7 @@ def q_alerts_append(spark, sf):
           f"'transactions-dlq' AS dlq_topic, true AS raw_kept FROM transactions WHERE {FAULTS}")
 def q_dlq(spark, sf):
     m = va.validate_messages(fx(spark, sf)["messages"])
-    d = mu.dead_letters(m.filter(~F.col("valid")), now=FIXED_NOW)
+    d = mu.dead_letters(m.filter(~F.col("valid")), now=fixed_now())
     e = F.col("envelope")
     return d.select("event_id", e["error"]["message"].alias("message"), e["metadata"]["retryCount"].alias("retryCount"),
                     e["metadata"]["originalTopic"].alias("originalTopic"), "dlq_topic",

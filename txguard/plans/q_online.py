@@ -96,3 +96,9 @@ def q_array_median(spark, sf):
 def q_array_std(spark, sf):
     d = on.recent_amounts(tx(spark, sf), 10)
     return d.select("_id", "userId", array_mean("history").alias("mean"), array_stddev("history").alias("std"))
+
+
+# The hot-user path on the real tables (users above 40 rows, blocks of 64 rows).
+@register("features_online_blocked", feature_spec(KEYS), ONLINE_SQL)
+def q_features_online_blocked(spark, sf):
+    return on.online_features(tx(spark, sf), hot_rows=40, block_rows=64)
