@@ -7,7 +7,7 @@ expressions so they scale with ``events``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txguard.functions.geo import haversine_km
@@ -42,7 +42,12 @@ def card_tx(events: DataFrame) -> DataFrame:
 
 def transactions(cards: DataFrame) -> DataFrame:
     """Stored transactions with every status, including NULL."""
-    w = Window.partitionBy("cc_num", "merchant").orderBy("trans_date_trans_time", "event_id")
+    # repeat retailer: not the first (time, id) of its (card, merchant) pair; the
+    # first occurrence is a partially aggregated min joined back (a hot pair is
+    # split by AQE's skew join instead of landing in one window task)
+    first = cards.groupBy("cc_num", "merchant").agg(
+        F.min(F.struct("trans_date_trans_time", "event_id")).alias("_first"))
+    cards = cards.join(first, ["cc_num", "merchant"], "left")
     ev = F.col("event_id")
     s = (ev * 7919 % 1000) / 1000.0
     t = cards.select(
@@ -52,7 +57,8 @@ def transactions(cards: DataFrame) -> DataFrame:
         F.col("trans_date_trans_time").alias("createdAt"),
         F.col("merch_lat").alias("lat"), F.col("merch_long").alias("lon"),
         haversine_km("lat", "long", "merch_lat", "merch_long").alias("distance_from_home"),
-        F.when(F.row_number().over(w) > 1, 1.0).otherwise(0.0).alias("repeat_retailer"),
+        F.when(F.struct("trans_date_trans_time", "event_id") > F.col("_first"), 1.0).otherwise(0.0)
+        .alias("repeat_retailer"),
         F.when(F.lower("merchant").contains("chip"), 1.0).otherwise(0.0).alias("used_chip"),
         F.when(F.lower("category").contains("pos"), 1.0).otherwise(0.0).alias("used_pin_number"),
         F.when(F.lower("category").contains("net") | F.lower("category").contains("online"), 1.0)
