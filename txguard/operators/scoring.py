@@ -173,18 +173,7 @@ class LinearProbe:
         return F.expr(f"1.0D / (1.0D + exp(-({z})))")
 
 
-def fence(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Re-emit ``cols`` through a one-element generator.
-
-    The network is a DAG of shared sub-expressions (every hidden unit feeds
-    every unit of the next layer).  A filter on a downstream column (status,
-    score) would otherwise be pushed through the projections with every alias
-    inlined, growing the predicate exponentially.  Generator output columns
-    cannot be inlined below the generator, so predicates stop here; the
-    generator itself is codegen'd and costs one struct per row.
-    """
-    others = [c for c in df.columns if c not in cols]
-    return df.select(*others, F.inline(F.array(F.struct(*[F.col(c) for c in cols]))))
+from txguard.plans.fence import fence  # noqa: E402
 
 
 def supervised_probability(df: DataFrame, supervised, name: str = "xgb_score") -> DataFrame:

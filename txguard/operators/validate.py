@@ -82,10 +82,6 @@ MALFORMED = "Malformed JSON"
 SCHEMA_FAILED = "Schema validation failed"
 
 
-def _vtype(v: Column, field: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant"))
-
-
 def validate_messages(df: DataFrame, value: str = "value") -> DataFrame:
     """Strict type check of JSON messages; extra keys are kept (``payload``).
 
@@ -94,21 +90,31 @@ def validate_messages(df: DataFrame, value: str = "value") -> DataFrame:
     retry loop would exhaust, so it carries the retry limit) and the typed
     fields.  Uses VARIANT parsing: from_json would coerce a numeric userId
     into a string.
+
+    The text is parsed once into ``payload`` (its own projection: it is
+    referenced by every check, and common-subexpression elimination does not
+    hoist work out of AND / CASE branches, so inlining would re-parse per use).
     """
     from txguard.schemas import MAX_RETRIES
-    v = F.try_parse_json(value)
-    is_obj = F.schema_of_variant(v).startswith("OBJECT")
-    checks = [_vtype(v, f) == "STRING" for f in STRING_FIELDS]
-    checks += [F.coalesce(_vtype(v, f).rlike(NUMERIC_TYPE), F.lit(False)) for f in NUMBER_FIELDS]
-    ok = is_obj
-    for c in checks:
-        ok = ok & F.coalesce(c, F.lit(False))
-    parsed = v.isNotNull()
-    typed = {f: F.try_variant_get(v, f"$.{f}", "string") for f in STRING_FIELDS}
-    typed.update({f: F.try_variant_get(v, f"$.{f}", "double") for f in NUMBER_FIELDS})
-    typed["timestamp"] = F.to_timestamp(F.try_variant_get(v, "$.timestamp", "string"))
-    out = df.withColumns({"payload": v,
-                          "valid": parsed & F.coalesce(ok, F.lit(False))})
+    out = df.withColumn("payload", F.try_parse_json(value))
+    p = F.col("payload")
+    types = {f"_t_{f}": F.schema_of_variant(F.try_variant_get(p, f"$.{f}", "variant"))
+             for f in STRING_FIELDS + NUMBER_FIELDS}
+    types["_t_root"] = F.schema_of_variant(p)
+    out = out.withColumns(types)
+    ok = F.col("_t_root").startswith("OBJECT")
+    for f in STRING_FIELDS:
+        ok = ok & (F.col(f"_t_{f}") == "STRING")
+    for f in NUMBER_FIELDS:
+        ok = ok & F.col(f"_t_{f}").rlike(NUMERIC_TYPE)
+    parsed = p.isNotNull()
+    out = out.withColumn("valid", parsed & F.coalesce(ok, F.lit(False))).drop(*types)
+    # later filters on ``valid`` must not be pushed below the parse (plans.fence)
+    from txguard.plans.fence import fence
+    out = fence(out, ["payload", "valid"])
+    typed = {f: F.try_variant_get(p, f"$.{f}", "string") for f in STRING_FIELDS}
+    typed.update({f: F.try_variant_get(p, f"$.{f}", "double") for f in NUMBER_FIELDS})
+    typed["timestamp"] = F.to_timestamp(F.try_variant_get(p, "$.timestamp", "string"))
     out = out.withColumns({
         "error_message": F.when(~parsed, F.lit(MALFORMED)).when(~F.col("valid"), F.lit(SCHEMA_FAILED)),
         "retry_count": F.when(~parsed, F.lit(MAX_RETRIES)).otherwise(F.lit(0)),
