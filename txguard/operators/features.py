@@ -174,6 +174,36 @@ def _features_hot(hot: DataFrame, order_id: str, block_rows: int) -> DataFrame:
     return ratio_features(df)
 
 
+def row_features(df: DataFrame) -> DataFrame:
+    """Flags, interactions, cycles and z-scores: row-local, two projections."""
+    def has(c: str, pattern: str) -> Column:
+        return flag(F.coalesce(F.col(c).rlike(pattern), F.lit(False)))
+
+    chip, pos, net = has(MERCHANT, "(?i)chip"), has(CATEGORY, "(?i)pos"), has(CATEGORY, "(?i)net|online")
+    hour, dow = F.hour(TIME), F.weekday(TIME)
+    r, dlast = F.col("ratio_to_median_purchase_price"), F.col("distance_from_last_transaction")
+    df = df.withColumns({"used_chip": chip, "used_pin_number": pos, "online_order": net})
+    cols = {
+        "ratio_zscore": F.lit(PLACEHOLDER_FEATURE),
+        "distance_ratio": F.lit(PLACEHOLDER_FEATURE),
+        "distance_sum": F.col("distance_from_home") + dlast,
+        "chip_and_pin": flag((F.col("used_chip") == 1) & (F.col("used_pin_number") == 1)),
+        "online_and_repeat": flag((F.col("online_order") == 1) & (F.col("repeat_retailer") == 1)),
+        "high_ratio_flag": flag(r > HIGH_RATIO),
+        "high_distance_flag": flag(dlast > HIGH_DISTANCE_KM),
+        "time_of_day_sin": F.sin(hour * (TWO_PI / 24)),
+        "time_of_day_cos": F.cos(hour * (TWO_PI / 24)),
+        "day_of_week_sin": F.sin(dow * (TWO_PI / 7)),
+        "day_of_week_cos": F.cos(dow * (TWO_PI / 7)),
+        "amt_log": F.log(F.col(AMT) + 1.0),
+        "is_weekend": flag(dow >= 5),
+    }
+    for n in (10, 50):
+        cols[f"amt_zscore_{n}"] = ((F.col(AMT) - F.col(f"rolling_ratio_mean_{n}"))
+                                   / (F.col(f"rolling_ratio_std_{n}") + ZSCORE_EPS))
+    return df.withColumns(cols)
+
+
 def engineer_features(df: DataFrame, order_id: str = "event_id", prepartition: bool = True,
                       skew_safe: bool = True, hot_rows: int | None = None,
                       block_rows: int | None = None) -> DataFrame:
@@ -198,10 +228,7 @@ def engineer_features(df: DataFrame, order_id: str = "event_id", prepartition: b
     if hot is not None:
         out = out.unionByName(_features_hot(hot, order_id, block_rows or sq.BLOCK_ROWS),
                               allowMissingColumns=True)
-    out = flag_features(out)
-    out = interaction_features(out)
-    out = temporal_features(out)
-    return zscore_features(out)
+    return row_features(out)
 
 
 def feature_vector(df: DataFrame, name: str = "features") -> DataFrame:

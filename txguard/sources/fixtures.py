@@ -137,11 +137,27 @@ def messages(tx: DataFrame) -> DataFrame:
     return tx.select("event_id", "_id", "createdAt", value.alias("value"))
 
 
-def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+class Fixtures(dict):
+    """Fixture frames built on first access (each build costs plan analysis)."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name == "card_tx":
+            df = card_tx(read_table(self.spark, self.sf_dir, "events"))
+        elif name == "transactions":
+            df = transactions(self["card_tx"])
+        elif name == "eval_scores":
+            df = eval_scores(self["card_tx"])
+        else:
+            df = {"reviews": reviews, "alerts": alerts, "ingress_raw": ingress_raw,
+                  "messages": messages}[name](self["transactions"])
+        self[name] = df
+        return df
+
+
+def load(spark: SparkSession, sf_dir: str) -> Fixtures:
     """All fixture frames for one scale-factor directory (lazy)."""
-    cards = card_tx(read_table(spark, sf_dir, "events"))
-    tx = transactions(cards)
-    return {
-        "card_tx": cards, "transactions": tx, "reviews": reviews(tx), "alerts": alerts(tx),
-        "eval_scores": eval_scores(cards), "ingress_raw": ingress_raw(tx), "messages": messages(tx),
-    }
+    return Fixtures(spark, sf_dir)
