@@ -75,3 +75,27 @@ def test_batch_replay_is_idempotent(spark):
     t.write_batch(spark.createDataFrame([("a", 5.0)], "_id string, v double"), 8)
     cur = {r["_id"]: r["v"] for r in t.current().collect()}
     assert cur == {"a": 5.0, "b": 2.0}
+
+
+def test_ingress_stream(spark):
+    import json
+    from txguard.streaming.ingress_stream import start_ingress
+    root = tempfile.mkdtemp(prefix="txg-ingress-")
+    src = os.path.join(root, "in")
+    os.makedirs(src)
+    good = {"userId": "u1", "amount": 10.5, "lat": 10.0, "lon": 20.0, "distance_from_home": 3.0,
+            "repeat_retailer": 1, "used_chip": 0, "used_pin_number": 1, "online_order": 0, "category": "dropped"}
+    bad = dict(good, amount=-1, lat=95.0)
+    with open(os.path.join(src, "a.json"), "w") as fh:
+        fh.write("\n".join(json.dumps(x) for x in [good, dict(good, userId="u2"), bad]) + "\n")
+    paths = {n: os.path.join(root, n) for n in ("tx", "rejects", "topic", "ckpt")}
+    q = start_ingress(spark, src, paths["tx"], paths["rejects"], paths["topic"], paths["ckpt"], available_now=True)
+    q.awaitTermination(300)
+    stored = VersionedTable(spark, paths["tx"]).current().collect()
+    assert sorted(r["userId"] for r in stored) == ["u1", "u2"]
+    assert all(r["status"] == "PENDING" and r["fraud_score"] == -1.0 for r in stored)
+    assert "category" not in stored[0].asDict()
+    published = spark.read.text(paths["topic"]).collect()
+    assert len(published) == 2 and all(json.loads(r["value"])["status"] == "PENDING" for r in published)
+    rej = spark.read.parquet(paths["rejects"]).first()
+    assert [e["field"] for e in rej["errors"]] == ["amount", "lat"]
