@@ -29,6 +29,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -47,3 +48,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``txguard`` importable in Python workers on every executor.
+
+    Python steps (stateful stream function, blocked median, training epochs)
+    are pickled by reference to this package; the package is zipped on the
+    driver and distributed with ``addPyFile`` once per SparkContext.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_txguard_shipped", False):
+        return
+    import zipfile
+
+    import txguard
+    pkg = os.path.dirname(os.path.abspath(txguard.__file__))
+    root = os.path.dirname(pkg)
+    fd, path = tempfile.mkstemp(prefix="txguard-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    sc._txguard_shipped = True
