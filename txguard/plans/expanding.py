@@ -16,7 +16,9 @@ cut with a halo.  For a hot key with n rows:
    exact k-th values as the block's rows are added in time order.
 
 Every group in every step is bounded by about 2.5C + 2C rows or by the
-grid side n/C, whatever the size of the key.
+grid side n/C, whatever the size of the key.  C adapts per key:
+C = max(block_rows, ceil(n / MAX_SIDE)), so the grid never exceeds
+MAX_SIDE^2 cells per key.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 
 from txguard.plans.sequence import positions
 
+MAX_SIDE = 20_000
+
 
 def _kth_medians(pdf: pd.DataFrame) -> pd.DataFrame:
     off = int(pdf["_off"].fillna(0).iloc[0])
@@ -79,19 +83,28 @@ def _kth_medians(pdf: pd.DataFrame) -> pd.DataFrame:
 def expanding_median_hot(hot: DataFrame, key: str, order: list[str], value: str, id_col: str,
                          block_rows: int) -> DataFrame:
     """(id_col, median_purchase_price) for every row of the hot keys."""
-    C = int(block_rows)
     base = hot.select(key, *order, F.col(value).alias("_x"), F.col(id_col).alias("_id"))
     g = positions(base, key, order, out="_g")
     rows = positions(g, key, ["_x", "_g"], out="_v")
+    # one row per hot key: its size and block size C (bounded by the hot-key count)
+    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    n = n.withColumn("_C", F.greatest(F.lit(int(block_rows)).cast("bigint"),
+                                      F.ceil(F.col("_n") / MAX_SIDE).cast("bigint")))
+    rows = rows.join(F.broadcast(n), key)
     rows = rows.select(key, "_id", "_x", "_g", "_v",
-                       F.floor((F.col("_g") - 1) / C).cast("bigint").alias("_tb"),
-                       F.floor((F.col("_v") - 1) / C).cast("bigint").alias("_bin"))
-    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))              # one row per hot key
+                       F.floor((F.col("_g") - 1) / F.col("_C")).cast("bigint").alias("_tb"),
+                       F.floor((F.col("_v") - 1) / F.col("_C")).cast("bigint").alias("_bin"))
+    C = F.col("_C")
     nb = F.ceil(F.col("_n") / C).cast("bigint")
     m = rows.groupBy(key, "_tb", "_bin").agg(F.count(F.lit(1)).alias("_m"))
-    grid = (n.select(key, "_n", F.explode(F.sequence(F.lit(1).cast("bigint"), nb - 1)).alias("_b"), nb.alias("_nb"))
-             .filter(F.col("_b") < F.col("_nb"))
-             .select(key, "_n", "_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nb") - 1)).alias("_q")))
+    blocks = (n.select(key, "_n", "_C", F.explode(F.sequence(F.lit(1).cast("bigint"), nb - 1)).alias("_b"),
+                       nb.alias("_nb"))
+               .filter(F.col("_b") < F.col("_nb")))
+    # spread the block rows before the second explode, so no single task
+    # generates a whole key's grid (up to MAX_SIDE^2 cells)
+    blocks = blocks.repartition(key, "_b")
+    grid = blocks.select(key, "_n", "_C", "_b",
+                         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nb") - 1)).alias("_q"))
     grid = grid.join(m.select(key, (F.col("_tb") + 1).alias("_b"), F.col("_bin").alias("_q"), "_m"),
                      [key, "_b", "_q"], "left").fillna(0, ["_m"])
     wq = Window.partitionBy(key, "_q").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
@@ -99,7 +112,7 @@ def expanding_median_hot(hot: DataFrame, key: str, order: list[str], value: str,
     wb = Window.partitionBy(key, "_b").orderBy("_q").rowsBetween(Window.unboundedPreceding, 0)
     grid = grid.withColumn("_le", F.sum("_cb").over(wb)).withColumn("_lt", F.col("_le") - F.col("_cb"))
     bc = F.col("_b") * C
-    c = F.least(F.lit(C).cast("bigint"), F.col("_n") - bc)
+    c = F.least(C, F.col("_n") - bc)
     lo = F.greatest(F.lit(1).cast("bigint"), F.floor((bc + c + 1) / 2) - c)
     hi = F.least(bc, F.floor((bc + c) / 2) + 1)
     sel = grid.filter((F.col("_le") >= lo) & (F.col("_lt") < hi)).select(key, "_b", "_q", "_lt")
