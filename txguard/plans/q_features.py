@@ -27,7 +27,7 @@ def q_src(spark, sf):
     return cards(spark, sf)
 
 
-@register("union_sources", KEYS + ", amt:d, is_fraud:i, part:s",
+@register("union_sources", KEYS + ", amt:d, is_fraud:d, part:s",
           "SELECT event_id, cc_num, amt, is_fraud, 'a' AS part FROM card_tx WHERE is_fraud = 0 "
           "UNION ALL SELECT event_id, cc_num, amt, NULL AS is_fraud, 'b' AS part FROM card_tx WHERE is_fraud = 1")
 def q_union(spark, sf):
