@@ -16,7 +16,7 @@ def test_auc_matches_brute_force(spark):
     rnd = random.Random(7)
     rows = [(rnd.choice([0, 1]), float(rnd.randint(0, 30))) for _ in range(400)]   # many ties
     df = spark.createDataFrame(rows, "y_true int, score double")
-    got = ev.auc(df, buckets=5).first()["roc_auc"]
+    got = ev.auc(df, rows_per_bucket=60).first()["roc_auc"]   # 7 buckets
     pos = [s for y, s in rows if y == 1]
     neg = [s for y, s in rows if y == 0]
     wins = sum(1.0 if p > n else 0.5 if p == n else 0.0 for p, n in itertools.product(pos, neg))

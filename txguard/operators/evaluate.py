@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txguard.plans.prefix import prefix_sums
 from txguard.schemas import OFFLINE_MSE_THRESHOLD, SWEEP_THRESHOLDS
 
 
@@ -72,19 +71,49 @@ def report(df: DataFrame, threshold: float = OFFLINE_MSE_THRESHOLD, y: str = "y_
     return c.select(F.inline(rows))
 
 
-def auc(df: DataFrame, y: str = "y_true", score: str = "score", buckets: int = 64) -> DataFrame:
-    """ROC-AUC with tied scores counted half (mid-rank statistic).
+def auc(df: DataFrame, y: str = "y_true", score: str = "score", rows_per_bucket: int = 1_000_000,
+        max_buckets: int = 100_000) -> DataFrame:
+    """ROC-AUC with tied scores counted half (Mann-Whitney U / (P*N)); NULL when a class is absent.
 
-    Distinct scores are grouped first (partial aggregation), then each
-    distinct score needs the number of negatives strictly below it: an exact
-    distributed prefix sum (see plans.prefix).  NULL when a class is absent.
+    No single-partition window over the data:
+    1. bucket splits at approximate score quantiles, one bucket per about
+       ``rows_per_bucket`` rows (balance only; exactness does not depend on
+       them); the splits (<= max_buckets doubles) go to a JVM binary-search
+       ``Bucketizer``;
+    2. group by (bucket, score): positives and negatives per distinct score;
+    3. per bucket, a window gives the negatives below each score inside the
+       bucket, and the bucket's partial U_i, P_i, N_i are summed;
+    4. U = sum_i (U_i + P_i * negatives in earlier buckets)   [window over the bucket table].
     """
-    g = df.groupBy(F.col(score).alias("_s")).agg(
-        F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("_pos"),
-        F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("_neg"))
-    g = prefix_sums(g, "_s", ["_neg"], buckets)
-    a = g.agg(F.sum(F.col("_pos") * (F.col("_neg_before") + F.col("_neg") * 0.5)).alias("_u"),
-              F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))
+    import math
+
+    from pyspark.ml.feature import Bucketizer
+    from pyspark.sql import Window
+    d = df.filter(F.col(score).isNotNull()).select(F.col(y).alias("_y"), F.col(score).cast("double").alias("_s"))
+    n = d.count()
+    buckets = int(min(max(1, math.ceil(n / rows_per_bucket)), max_buckets))
+    splits = [float("-inf"), float("inf")]
+    if buckets > 1:
+        qs = [i / buckets for i in range(1, buckets)]
+        row = d.agg(F.percentile_approx("_s", qs, max(10000, 10 * buckets)).alias("b")).first()
+        inner = sorted({float(v) for v in (row["b"] or []) if v == v and abs(v) != float("inf")})
+        splits = [float("-inf")] + inner + [float("inf")]
+    if len(splits) > 2:
+        b = Bucketizer(splits=splits, inputCol="_s", outputCol="_bucket", handleInvalid="keep").transform(d)
+    else:
+        b = d.withColumn("_bucket", F.lit(0.0))
+    g = b.groupBy("_bucket", "_s").agg(
+        F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).alias("_pos"),
+        F.sum(F.when(F.col("_y") == 1, 0).otherwise(1)).alias("_neg"))
+    w = Window.partitionBy("_bucket").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    g = g.withColumn("_below", F.coalesce(F.sum("_neg").over(w), F.lit(0)))
+    per = g.groupBy("_bucket").agg(
+        F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") * 0.5)).alias("_u"),
+        F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))
+    wb = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)   # one row per bucket
+    per = per.withColumn("_n_before", F.coalesce(F.sum("_n").over(wb), F.lit(0)))
+    a = per.agg(F.sum(F.col("_u") + F.col("_p") * F.col("_n_before")).alias("_u"),
+                F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
     return a.select(F.when((F.col("_p") > 0) & (F.col("_n") > 0),
                            F.col("_u") / (F.col("_p").cast("double") * F.col("_n"))).alias("roc_auc"))
 
