@@ -15,29 +15,23 @@ from txguard.sources.tables import read_table
 
 
 def card_tx(events: DataFrame) -> DataFrame:
-    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    base = events.select(
-        "event_id", F.col("user_id").alias("cc_num"), F.col("ts").alias("trans_date_trans_time"),
-        F.col("value").alias("amt"), k.alias("k"), "event_type")
-    k = F.col("k")
+    ev = events.select("event_id", F.col("user_id").alias("cc_num"), F.col("ts").alias("trans_date_trans_time"),
+                       F.col("value").alias("amt"),
+                       F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"), "event_type")
+    k, et, cc = F.col("k"), F.col("event_type"), F.col("cc_num")
     merchant = F.concat(F.when(k % 5 == 0, F.lit("ChipMart_")).otherwise(F.lit("merchant_")),
                         (k % 20).cast("string"))
-    et = F.col("event_type")
     category = (F.when(et == "purchase", "shopping_pos").when(et == "click", "shopping_net")
                  .when(et == "view", "travel").when(et == "signup", "Online_services")
                  .otherwise("grocery_POS"))
-    lat = F.lit(25.0) + (F.col("cc_num") * 37 % 240) / 10.0
-    lon = F.lit(-120.0) + (F.col("cc_num") * 53 % 500) / 10.0
+    lat = F.lit(25.0) + (cc * 37 % 240) / 10.0
+    lon = F.lit(-120.0) + (cc * 53 % 500) / 10.0
+    merch_lat = lat + ((k * 17) % 100 - 50) / 50.0
+    merch_lon = lon + F.when(k % 10 == 9, F.lit(20.0)).otherwise(((k * 31) % 100 - 50) / 50.0)
     is_fraud = F.when((et == "error") & (F.col("amt") > 20), 1).otherwise(0)
-    df = base.select("event_id", "cc_num", "trans_date_trans_time", "amt", "k",
-                     merchant.alias("merchant"), category.alias("category"),
-                     lat.alias("lat"), lon.alias("long"), is_fraud.alias("is_fraud"))
-    return df.select(
-        "event_id", "cc_num", "trans_date_trans_time", "amt", "k", "merchant", "category", "lat", "long",
-        (F.col("lat") + ((k * 17) % 100 - 50) / 50.0).alias("merch_lat"),
-        (F.col("long") + F.when(k % 10 == 9, F.lit(20.0)).otherwise(((k * 31) % 100 - 50) / 50.0))
-        .alias("merch_long"),
-        "is_fraud")
+    return ev.select("event_id", "cc_num", "trans_date_trans_time", "amt", "k", merchant.alias("merchant"),
+                     category.alias("category"), lat.alias("lat"), lon.alias("long"),
+                     merch_lat.alias("merch_lat"), merch_lon.alias("merch_long"), is_fraud.alias("is_fraud"))
 
 
 def transactions(cards: DataFrame) -> DataFrame:

@@ -8,8 +8,23 @@ from pyspark.sql import functions as F
 from txguard.schemas import RAW_TRANSACTION_SCHEMA
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+_READ_CACHE: dict = {}
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, cache: bool = True) -> DataFrame:
+    """Parquet table ``name`` under ``sf_dir``.
+
+    The reader (file listing + footer schema) is reused per session and path;
+    the driver tables are immutable, so a cached reader cannot go stale.
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    if cache and key in _READ_CACHE:
+        return _READ_CACHE[key]
+    df = spark.read.parquet(path)
+    if cache:
+        _READ_CACHE[key] = df
+    return df
 
 
 def read_raw_csv(spark: SparkSession, *paths: str) -> DataFrame:
