@@ -12,6 +12,6 @@ SF01 = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from txguard.session import local_session
-    s = local_session(cores="*", shuffle_partitions=8)
+    s = local_session(cores="*", shuffle_partitions=8, driver_memory="12g")
     yield s
     s.stop()

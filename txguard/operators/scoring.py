@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txguard.functions.text import to_fixed
+from txguard.plans.fence import fence
 from txguard.schemas import (AE_LAYERS, AE_SCORE_DIVISOR, DEFAULT_THRESHOLD, FEATURE_COLS,
                              GEO_REASON_KM, MODEL_FAILURE_SCORE, MODEL_FAILURE_TEXT,
                              REFERENCE_SCALER_MEAN, REFERENCE_SCALER_SCALE, SPEND_REASON_RATIO)
@@ -148,7 +149,9 @@ def reconstruct(df: DataFrame, weights: Weights, inputs: list[str], prefix: str
 def recon_mse(df: DataFrame, n: int = len(FEATURE_COLS), x: str = "x", r: str = "r",
               name: str = "mse") -> DataFrame:
     e = " + ".join(f"pow(`{x}{i}` - `{r}{i}`, 2)" for i in range(n))
-    return df.selectExpr("*", f"({e}) / {dlit(n)} AS `{name}`")
+    out = df.selectExpr("*", f"({e}) / {dlit(n)} AS `{name}`")
+    # filters on the error must not be inlined into the network (plans.fence)
+    return fence(out, [name])
 
 
 # ------------------------------------------------------- supervised side ----
@@ -173,9 +176,6 @@ class LinearProbe:
         return F.expr(f"1.0D / (1.0D + exp(-({z})))")
 
 
-from txguard.plans.fence import fence  # noqa: E402
-
-
 def supervised_probability(df: DataFrame, supervised, name: str = "xgb_score") -> DataFrame:
     """Attach P(class 1) from a LinearProbe, a Column, or a fitted Spark ML model
     whose output has a ``probability`` vector (features in ``features_vec``)."""

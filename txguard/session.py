@@ -15,6 +15,12 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # long-lived sessions: keep the status store small (scoring plans print
+    # 1,253 literal terms per layer)
+    "spark.sql.ui.retainedExecutions": "20",
+    "spark.ui.retainedJobs": "100",
+    "spark.ui.retainedStages": "100",
+    "spark.sql.maxPlanStringLength": "200000",
 }
 
 
