@@ -1,8 +1,72 @@
-"""The text pipeline: stages over ``documents``, each written and read again."""
+"""The text pipeline: stages over ``documents``, each written and read again.
 
-STAGES = []
+Language ID drops documents without a clear language, line dedup takes
+boilerplate lines out, the n-gram Jaccard join keeps one document of each group
+of near copies, decontamination drops documents that hold a benchmark item, and
+packing lays the rest out in sequences of 2048 tokens.  Every stage works on
+all that its predecessor kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from txguard.llm.decontaminate import decontaminate
+from txguard.llm.jaccard_join import jaccard_dedup
+from txguard.llm.langid import predict, train
+from txguard.llm.line_dedup import line_dedup
+from txguard.llm.packing import pack_documents
+from txguard.llm.queries import tokenizer_path
+from txguard.llm.scratch import Scratch
+from txguard.session import ship_package
+
+#: A document whose best language scores less is rejected; so is one without letters.
+MIN_LANGUAGE_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    found = predict(spark, docs, train(spark, docs))
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
+
+
+def line_cleaning(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    cleaned = line_dedup(spark, docs)
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return jaccard_dedup(spark, docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return decontaminate(spark, docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return pack_documents(spark, docs, tokenizer_path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_cleaning),
+    ("ngram_jaccard", near_copies),
+    ("decontamination", benchmark_leaks),
+    ("packing", packing),
+]
+
+#: Trained scores and token ids are not SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,9 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from txguard.llm.decontaminate import find_leaks
+from txguard.llm.jaccard_join import jaccard_components
+from txguard.llm.langid import predict, train
 from txguard.llm.license_scan import scan_licenses
+from txguard.llm.line_dedup import line_dedup
+from txguard.llm.packing import pack_documents
 from txguard.llm.quality import quality_rules
+from txguard.llm.substring_dedup import repeated_substrings
+from txguard.llm.token_files import read_tokens, write_tokens
 from txguard.llm.url_filter import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +31,12 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+def tokenizer_path(name: str) -> str:
+    """File of a public tokenizer, installed on every machine."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -64,3 +78,92 @@ def op5_license_scans(spark, sf_dir):
 @query("op4_quality_rules")
 def op4_quality_rules(spark, sf_dir):
     return quality_rules(_table(spark, sf_dir, "documents"), with_text=False)
+
+
+@query("op3_token_binary")
+def op3_token_binary(spark, sf_dir):
+    blocks = write_tokens(spark, _table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    return read_tokens(blocks)
+
+
+@query("op10_best_fit_packing")
+def op10_best_fit_packing(spark, sf_dir):
+    return pack_documents(spark, _table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+_SOLID = r"list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: NOT regexp_matches(s, '^[\x20\x09-\x0D]*$'))"
+
+
+@query("op7_line_dedup", rf"""
+WITH d AS (SELECT doc_id, coalesce(source, chr(0)) AS site, text, {_SOLID} AS solid FROM documents),
+p AS (SELECT site, solid[i] AS line, coalesce(solid[i + 1], CASE WHEN i > 1 THEN solid[i - 1] END) AS beside
+      FROM (SELECT site, solid, unnest(range(1, len(solid) + 1)) AS i FROM d)),
+spread AS (SELECT line FROM p GROUP BY line
+           HAVING count(DISTINCT site) >= 5 AND 100 * count(DISTINCT beside) >= 50 * count(*)),
+bad AS (SELECT coalesce(list(line), []) AS b FROM spread)
+SELECT doc_id, CAST(len(solid) AS BIGINT) AS n_lines,
+       CAST(len(list_filter(solid, lambda s: list_contains(b, s))) AS BIGINT) AS n_removed,
+       CASE WHEN text IS NOT NULL THEN array_to_string(list_filter(string_split(text, chr(10)),
+            lambda s: NOT list_contains(b, s)), chr(10)) END AS text
+FROM d, bad
+""")
+def op7_line_dedup(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup(spark, docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
+@query("op9_language_id")
+def op9_language_id(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    docs = docs.withColumn("held_out", held_out)
+    model = train(spark, docs.filter("doc_id is not null and not held_out"))
+    return predict(spark, docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+@query("op2_benchmark_decontamination")
+def op2_benchmark_decontamination(spark, sf_dir):
+    return find_leaks(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+@query("op6_substring_dedup", rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS s
+        FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+again AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT r, i FROM win JOIN again USING (s)),
+cover AS (SELECT DISTINCT r, i + k AS p FROM hit, range(0, 35) AS t(k)),
+word AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+left_ AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS kept, count(*) AS n FROM word ANTI JOIN cover USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN left_ USING (r)
+""")
+def op6_substring_dedup(spark, sf_dir):
+    return repeated_substrings(spark, _table(spark, sf_dir, "documents")).drop("spans")
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+COMPONENTS_SQL = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+                     regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT r, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s FROM d),
+flat AS (SELECT r, len(s) AS n, unnest(s) AS x FROM sets),
+both_ AS (SELECT a.r AS a, b.r AS b, a.n AS an, b.n AS bn, count(*) AS c FROM flat a JOIN flat b USING (x)
+          WHERE a.r <> b.r AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL),
+link AS (SELECT a, b FROM both_ WHERE 100 * c >= 90 * (an + bn - c)),
+reach(r, m) AS (SELECT r, r FROM sets UNION SELECT reach.r, link.b FROM reach JOIN link ON reach.m = link.a)
+"""
+
+
+@query("op8_ngram_jaccard", COMPONENTS_SQL + """
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(t.doc_id) AS component_id
+FROM sets s JOIN reach ON reach.r = s.r JOIN sets t ON t.r = reach.m GROUP BY s.r, s.doc_id, s.s
+""")
+def op8_ngram_jaccard(spark, sf_dir):
+    return jaccard_components(spark, _table(spark, sf_dir, "documents"))
