@@ -94,8 +94,8 @@ def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
     cut[w.offsets] = True
     newline = buf == 10
     begin = np.flatnonzero(cut[:-1] | np.concatenate([[True], newline[:-1]])[:len(buf)])
-    stop = np.append(begin[1:], len(buf))
-    stop = stop - (newline[stop - 1] if len(stop) else 0)
+    stop = np.append(begin[1:], len(buf))[:len(begin)]
+    stop = stop - newline[stop - 1]
     has = np.searchsorted(w.start, stop) > np.searchsorted(w.start, begin)
     begin, stop = begin[has], stop[has]
     owner = np.searchsorted(w.offsets, begin, side="right") - 1
