@@ -9,9 +9,20 @@ from pyspark.sql import functions as F
 from txguard.schemas import OFFLINE_MSE_THRESHOLD, SWEEP_THRESHOLDS
 
 
+def above(score: str | Column, threshold: float) -> Column:
+    """score > threshold; false for a NULL or NaN score (as the numeric comparison has it)."""
+    c = F.col(score) if isinstance(score, str) else score
+    return F.coalesce((c > F.lit(float(threshold))) & ~F.isnan(c), F.lit(False))
+
+
+def positive(y: str) -> Column:
+    """label = 1; a NULL label counts as the negative class."""
+    return F.coalesce(F.col(y) == 1, F.lit(False))
+
+
 def predict(df: DataFrame, threshold: float = OFFLINE_MSE_THRESHOLD, score: str = "mse",
             name: str = "y_pred") -> DataFrame:
-    return df.withColumn(name, (F.col(score) > F.lit(threshold)).cast("int"))
+    return df.withColumn(name, above(score, threshold).cast("int"))
 
 
 def _cnt(cond: Column) -> Column:
@@ -20,9 +31,8 @@ def _cnt(cond: Column) -> Column:
 
 def confusion(df: DataFrame, threshold: float = OFFLINE_MSE_THRESHOLD, y: str = "y_true",
               score: str = "mse") -> DataFrame:
-    """One row tn, fp, fn, tp (the [[TN, FP], [FN, TP]] matrix)."""
-    p = F.col(score) > F.lit(threshold)
-    t = F.col(y) == 1
+    """One row tn, fp, fn, tp (the [[TN, FP], [FN, TP]] matrix); the four add up to the row count."""
+    p, t = above(score, threshold), positive(y)
     return df.agg(_cnt(~t & ~p).alias("tn"), _cnt(~t & p).alias("fp"),
                   _cnt(t & ~p).alias("fn"), _cnt(t & p).alias("tp"))
 
@@ -73,7 +83,8 @@ def report(df: DataFrame, threshold: float = OFFLINE_MSE_THRESHOLD, y: str = "y_
 
 def auc(df: DataFrame, y: str = "y_true", score: str = "score", rows_per_bucket: int = 1_000_000,
         max_buckets: int = 100_000) -> DataFrame:
-    """ROC-AUC with tied scores counted half (Mann-Whitney U / (P*N)); NULL when a class is absent.
+    """ROC-AUC with tied scores counted half (Mann-Whitney U / (P*N)); NULL when a class is absent
+    or any score is NULL or NaN, which have no rank.
 
     No single-partition window over the data:
     1. bucket splits at approximate score quantiles, one bucket per about
@@ -89,8 +100,11 @@ def auc(df: DataFrame, y: str = "y_true", score: str = "score", rows_per_bucket:
 
     from pyspark.ml.feature import Bucketizer
     from pyspark.sql import Window
-    d = df.filter(F.col(score).isNotNull()).select(F.col(y).alias("_y"), F.col(score).cast("double").alias("_s"))
-    n = d.count()
+    d = df.select(F.when(positive(y), 1).otherwise(0).alias("_y"), F.col(score).cast("double").alias("_s"))
+    unranked = F.col("_s").isNull() | F.isnan("_s")
+    n, missing = d.agg(F.count(F.lit(1)), F.count(F.when(unranked, 1))).first()
+    if missing:
+        return df.sparkSession.createDataFrame([(None,)], "roc_auc double")
     buckets = int(min(max(1, math.ceil(n / rows_per_bucket)), max_buckets))
     splits = [float("-inf"), float("inf")]
     if buckets > 1:
@@ -124,10 +138,10 @@ def sweep(df: DataFrame, thresholds=SWEEP_THRESHOLDS, y: str = "y_true", score:
     One aggregation computes every threshold's counts; the rows are then
     unpacked from that single result row.
     """
-    t = F.col(y) == 1
+    t = positive(y)
     aggs = [_cnt(t).alias("_P")]
     for i, th in enumerate(thresholds):
-        p = F.col(score) > F.lit(float(th))
+        p = above(score, th)
         aggs += [_cnt(p).alias(f"_pp{i}"), _cnt(p & t).alias(f"_tp{i}")]
     a = df.agg(*aggs)
     rows = []

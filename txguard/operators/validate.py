@@ -82,6 +82,16 @@ MALFORMED = "Malformed JSON"
 SCHEMA_FAILED = "Schema validation failed"
 
 
+def event_time(payload: Column) -> Column:
+    """``timestamp`` of a message: ISO text or epoch milliseconds; NULL when absent or unreadable."""
+    text = F.try_variant_get(payload, "$.timestamp", "string")
+    epoch = F.try_variant_get(payload, "$.timestamp", "double")
+    number = F.schema_of_variant(F.try_variant_get(payload, "$.timestamp", "variant")).rlike(NUMERIC_TYPE)
+    # beyond these the instant does not fit a timestamp
+    in_range = F.abs(epoch) <= 8.64e15
+    return F.when(number, F.when(in_range, F.timestamp_millis(epoch.cast("bigint")))).otherwise(F.try_to_timestamp(text))
+
+
 def validate_messages(df: DataFrame, value: str = "value") -> DataFrame:
     """Strict type check of JSON messages; extra keys are kept (``payload``).
 
@@ -114,7 +124,7 @@ def validate_messages(df: DataFrame, value: str = "value") -> DataFrame:
     out = fence(out, ["payload", "valid"])
     typed = {f: F.try_variant_get(p, f"$.{f}", "string") for f in STRING_FIELDS}
     typed.update({f: F.try_variant_get(p, f"$.{f}", "double") for f in NUMBER_FIELDS})
-    typed["timestamp"] = F.to_timestamp(F.try_variant_get(p, "$.timestamp", "string"))
+    typed["timestamp"] = event_time(p)
     out = out.withColumns({
         "error_message": F.when(~parsed, F.lit(MALFORMED)).when(~F.col("valid"), F.lit(SCHEMA_FAILED)),
         "retry_count": F.when(~parsed, F.lit(MAX_RETRIES)).otherwise(F.lit(0)),

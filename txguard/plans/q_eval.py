@@ -82,3 +82,40 @@ def q_auc(spark, sf):
           "GROUP BY t.threshold) s")
 def q_sweep(spark, sf):
     return ev.sweep(scores(spark, sf))
+
+
+# Scores and labels with gaps: NULL and NaN scores are predicted 0, NULL labels are the negative class.
+GAPS = [("gaps", "SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 0 ELSE y_true END AS y_true, "
+                 "CASE WHEN event_id % 11 = 0 OR event_id % 13 = 0 THEN -1.0e0 ELSE mse END AS mse FROM eval_scores")]
+
+
+def gaps(spark, sf):
+    return fixtures.eval_gaps(scores(spark, sf))
+
+
+@register("eval_confusion_gaps", "tn:i, fp:i, fn:i, tp:i", CM.replace("eval_scores", "gaps"), GAPS)
+def q_confusion_gaps(spark, sf):
+    return ev.confusion(gaps(spark, sf))
+
+
+@register("eval_predict_gaps", "event_id:i, y_pred:i", "SELECT event_id, CAST(mse > 1.5 AS INT) AS y_pred FROM gaps", GAPS)
+def q_predict_gaps(spark, sf):
+    return ev.predict(gaps(spark, sf)).select("event_id", "y_pred")
+
+
+@register("eval_sweep_gaps", "threshold:d, precision:d, recall:d",
+          "SELECT threshold, CASE WHEN pp = 0 THEN NULL ELSE " + _r("tp", "pp") + " END AS precision, "
+          "CASE WHEN pp = 0 THEN NULL ELSE " + _r("tp", "P") + " END AS recall FROM ("
+          "SELECT t.threshold, count(*) FILTER (WHERE mse > t.threshold) AS pp, "
+          "count(*) FILTER (WHERE mse > t.threshold AND y_true = 1) AS tp, "
+          "(SELECT count(*) FROM gaps WHERE y_true = 1) AS P "
+          "FROM gaps, (VALUES (0.5e0), (1.0e0), (1.5e0), (2.0e0), (2.5e0), (3.0e0), (5.0e0)) t(threshold) "
+          "GROUP BY t.threshold) s", GAPS)
+def q_sweep_gaps(spark, sf):
+    return ev.sweep(gaps(spark, sf))
+
+
+@register("eval_auc_gaps", "roc_auc:d", "SELECT CAST(NULL AS DOUBLE) AS roc_auc", GAPS)
+def q_auc_gaps(spark, sf):
+    """A score without a rank leaves no AUC."""
+    return ev.auc(gaps(spark, sf), score="mse")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from txguard.operators import features as feat
 from txguard.plans.registry import register
 from txguard.plans.sqlfrag import FEATURES_BATCH, feature_spec, hav_asin, win, UNB, rows, flag
 from txguard.schemas import FEATURE_COLS
+from txguard.session import ensure_checkpoint_dir
 from txguard.sources import fixtures
-from txguard.sources.tables import normal_rows, read_table, union_sources
+from txguard.sources.tables import normal_rows, read_raw_csv, read_table, union_sources
 
 
 def cards(spark, sf):
@@ -151,3 +154,13 @@ def q_vector(spark, sf):
 @register("features_batch_blocked", feature_spec(KEYS + ", is_fraud:i"), FEATURES_BATCH)
 def q_features_blocked(spark, sf):
     return feat.engineer_features(cards(spark, sf), skew_safe=True, hot_rows=40, block_rows=60)
+
+
+@register("features_from_csv", feature_spec("cc_num:i"), FEATURES_BATCH)
+def q_features_csv(spark, sf):
+    """CSV files with foreign columns, in another order, written to scratch and read back."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    raw = cards(spark, sf)
+    (raw.select("category", "k", "amt", F.col("trans_date_trans_time").cast("string").alias("trans_date_trans_time"),
+                "merchant", "merch_long", "merch_lat", "long", "lat", "cc_num", F.lit("x").alias("note")).write.option("header", True).csv(path))
+    return feat.engineer_features(read_raw_csv(spark, path))

@@ -91,6 +91,14 @@ def eval_scores(cards: DataFrame) -> DataFrame:
                         ((F.col("event_id") * 104729 % 4000) / 1000.0 + F.col("is_fraud")).alias("mse"))
 
 
+def eval_gaps(scores: DataFrame) -> DataFrame:
+    """Labelled scores with NULL and NaN scores and NULL labels."""
+    ev = F.col("event_id")
+    return scores.select(
+        "event_id", F.when(ev % 17 == 0, F.lit(None)).otherwise(F.col("y_true")).cast("int").alias("y_true"),
+        F.when(ev % 11 == 0, F.lit(None)).when(ev % 13 == 0, F.lit(float("nan"))).otherwise(F.col("mse")).alias("mse"))
+
+
 def ingress_raw(tx: DataFrame) -> DataFrame:
     ev = F.col("event_id")
     return tx.select(

@@ -28,15 +28,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, cache: bool = True)
 
 
 def read_raw_csv(spark: SparkSession, *paths: str) -> DataFrame:
-    """Raw card transactions from CSV with a header, explicit schema (no inference).
+    """Raw card transactions from CSV files with a header.
 
-    Extra columns in a file are ignored; ``is_fraud`` may be absent (NULL).
+    Columns are taken by name, whatever their order; others are ignored and
+    ``is_fraud`` may be absent (NULL).  Text that is not a value of its column
+    becomes NULL.  ``event_id`` is the row's position over the files' splits:
+    unique, the same at every reading of the same files, and in file order, so
+    it breaks ties of time as a stable sort of the file would.
     """
-    df = (spark.read.option("header", True)
-          .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
-          .option("enforceSchema", False)
-          .schema(RAW_TRANSACTION_SCHEMA).csv(list(paths)))
-    return df
+    raw = (spark.read.option("header", True).option("enforceSchema", True).csv(list(paths)))
+    have = set(raw.columns)
+    cols = []
+    for f in RAW_TRANSACTION_SCHEMA:
+        text = F.col(f"`{f.name}`") if f.name in have else F.lit(None).cast("string")
+        cols.append(text.try_cast(f.dataType).alias(f.name))
+    return raw.select(F.monotonically_increasing_id().alias("event_id"), *cols)
 
 
 def union_sources(*frames: DataFrame) -> DataFrame:
