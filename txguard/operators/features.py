@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txguard.functions.geo import haversine_km
+from txguard.plans import sequence as sq
+from txguard.plans.expanding import expanding_median_hot, expanding_median_light
 from txguard.schemas import (FEATURE_COLS, HIGH_DISTANCE_KM, HIGH_RATIO, PLACEHOLDER_FEATURE,
                              RATIO_CAP, ZSCORE_EPS)
 
@@ -37,10 +39,16 @@ def distance_from_home(df: DataFrame) -> DataFrame:
     return df.withColumn("distance_from_home", haversine_km("lat", "long", "merch_lat", "merch_long"))
 
 
+def _card_window_columns(df: DataFrame, cols: tuple[str, ...], lookback: int, order_id: str) -> DataFrame:
+    """Some of the bounded card columns; cards too large for one task are cut into blocks."""
+    def build(w):
+        every = bounded_card_columns(order_id)(w)
+        return {c: every[c] for c in cols}
+    return sq.sequence_window(df, CARD, [TIME, order_id], build, lookback)
+
+
 def prev_location(df: DataFrame, order_id: str = "event_id") -> DataFrame:
-    w = card_window(order_id=order_id)
-    return df.withColumns({"prev_merch_lat": F.lag("merch_lat", 1).over(w),
-                           "prev_merch_long": F.lag("merch_long", 1).over(w)})
+    return _card_window_columns(df, ("prev_merch_lat", "prev_merch_long"), 1, order_id)
 
 
 def distance_from_last(df: DataFrame, order_id: str = "event_id") -> DataFrame:
@@ -50,10 +58,26 @@ def distance_from_last(df: DataFrame, order_id: str = "event_id") -> DataFrame:
     return df.withColumn("distance_from_last_transaction", F.coalesce(F.nanvl(d, F.lit(0.0)), F.lit(0.0)))
 
 
-def expanding_median(df: DataFrame, order_id: str = "event_id") -> DataFrame:
-    """Median of the card's amounts so far, current row included (exact)."""
-    w = card_window(order_id=order_id).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("median_purchase_price", F.percentile(AMT, 0.5).over(w))
+def expanding_median(df: DataFrame, order_id: str = "event_id", hot_rows: int | None = None,
+                     block_rows: int | None = None) -> DataFrame:
+    """Median of the card's amounts so far, current row included (exact); missing amounts are skipped."""
+    light, hot = sq.split_hot(df, CARD, hot_rows or sq.HOT_ROWS)
+    out = expanding_median_light(light, CARD, [TIME, order_id], AMT, "median_purchase_price")
+    if hot is None:
+        return out
+    counted = sq.positions(hot, CARD, [TIME, order_id], counted=_known_amount())
+    return out.unionByName(_with_hot_median(counted, counted, block_rows or sq.BLOCK_ROWS).drop("_g"))
+
+
+def _known_amount() -> Column:
+    return F.col(AMT).isNotNull() & ~F.isnan(AMT)
+
+
+def _with_hot_median(df: DataFrame, counted: DataFrame, block_rows: int) -> DataFrame:
+    med = expanding_median_hot(counted, CARD, AMT, block_rows)
+    return (df.join(med.withColumnRenamed("_c", "_mc"),
+                    F.col(CARD).eqNullSafe(F.col("_k")) & (F.col("_c") == F.col("_mc")), "left")
+            .withColumnRenamed("_med", "median_purchase_price").drop("_k", "_c", "_mc"))
 
 
 def ratio_features(df: DataFrame) -> DataFrame:
@@ -69,61 +93,73 @@ def ratio_features(df: DataFrame) -> DataFrame:
 
 
 def repeat_retailer(df: DataFrame, order_id: str = "event_id") -> DataFrame:
-    w = Window.partitionBy(CARD, MERCHANT).orderBy(TIME, order_id)
-    return df.withColumn("repeat_retailer", flag(F.row_number().over(w) > 1))
+    """1.0 from the card's second purchase at a merchant on; 0.0 without a merchant.
+
+    The first purchase is a partially aggregated min joined back, so no
+    (card, merchant) pair is one window in one task.
+    """
+    here = F.struct(F.col(TIME).alias("t"), F.col(order_id).alias("i"))
+    first = df.groupBy(CARD, MERCHANT).agg(F.min(here).alias("_first"))
+    return (df.join(first, [CARD, MERCHANT], "left")
+            .withColumn("repeat_retailer", flag(here > F.col("_first"))).drop("_first"))
+
+
+def _flag_columns() -> dict[str, Column]:
+    def has(c: str, pattern: str) -> Column:
+        return flag(F.coalesce(F.col(c).rlike(pattern), F.lit(False)))
+    return {"used_chip": has(MERCHANT, "(?i)chip"), "used_pin_number": has(CATEGORY, "(?i)pos"),
+            "online_order": has(CATEGORY, "(?i)net|online")}
 
 
 def flag_features(df: DataFrame) -> DataFrame:
-    return df.withColumns({
-        "used_chip": flag(F.coalesce(F.col(MERCHANT).rlike("(?i)chip"), F.lit(False))),
-        "used_pin_number": flag(F.coalesce(F.col(CATEGORY).rlike("(?i)pos"), F.lit(False))),
-        "online_order": flag(F.coalesce(F.col(CATEGORY).rlike("(?i)net|online"), F.lit(False))),
-    })
+    return df.withColumns(_flag_columns())
 
 
 def rolling_features(df: DataFrame, sizes=(10, 50), order_id: str = "event_id") -> DataFrame:
-    w = card_window(order_id=order_id)
-    cols = {}
-    for n in sizes:
-        f = w.rowsBetween(-(n - 1), Window.currentRow)
-        cols[f"rolling_ratio_mean_{n}"] = F.avg(AMT).over(f)
-        cols[f"rolling_ratio_std_{n}"] = F.coalesce(F.stddev_samp(AMT).over(f), F.lit(0.0))
-    return df.withColumns(cols)
+    cols = tuple(f"rolling_ratio_{k}_{n}" for n in sizes for k in ("mean", "std"))
+    return _card_window_columns(df, cols, max(sizes) - 1, order_id)
 
 
-def temporal_features(df: DataFrame, time: str = TIME, amount: str = AMT,
-                      dow: Column | None = None) -> DataFrame:
-    """Hour/day cycles; batch day-of-week is Monday = 0 (``weekday``)."""
-    hour = F.hour(time)
-    dow = F.weekday(time) if dow is None else dow
-    return df.withColumns({
+def _temporal_columns(time: str = TIME, amount: str = AMT) -> dict[str, Column]:
+    hour, dow = F.hour(time), F.weekday(time)
+    return {
         "time_of_day_sin": F.sin(hour * (TWO_PI / 24)),
         "time_of_day_cos": F.cos(hour * (TWO_PI / 24)),
         "day_of_week_sin": F.sin(dow * (TWO_PI / 7)),
         "day_of_week_cos": F.cos(dow * (TWO_PI / 7)),
         "amt_log": F.log(F.col(amount) + 1.0),
         "is_weekend": flag(dow >= 5),
-    })
+    }
 
 
-def interaction_features(df: DataFrame) -> DataFrame:
-    return df.withColumns({
+def temporal_features(df: DataFrame, time: str = TIME, amount: str = AMT) -> DataFrame:
+    """Hour/day cycles; batch day-of-week is Monday = 0 (``weekday``)."""
+    return df.withColumns(_temporal_columns(time, amount))
+
+
+def _interaction_columns() -> dict[str, Column]:
+    dlast = F.col("distance_from_last_transaction")
+    return {
         "ratio_zscore": F.lit(PLACEHOLDER_FEATURE),
         "distance_ratio": F.lit(PLACEHOLDER_FEATURE),
-        "distance_sum": F.col("distance_from_home") + F.col("distance_from_last_transaction"),
+        "distance_sum": F.col("distance_from_home") + dlast,
         "chip_and_pin": flag((F.col("used_chip") == 1) & (F.col("used_pin_number") == 1)),
         "online_and_repeat": flag((F.col("online_order") == 1) & (F.col("repeat_retailer") == 1)),
         "high_ratio_flag": flag(F.col("ratio_to_median_purchase_price") > HIGH_RATIO),
-        "high_distance_flag": flag(F.col("distance_from_last_transaction") > HIGH_DISTANCE_KM),
-    })
+        "high_distance_flag": flag(dlast > HIGH_DISTANCE_KM),
+    }
 
 
-def zscore_features(df: DataFrame, amount: str = AMT) -> DataFrame:
-    return df.withColumns({
-        f"amt_zscore_{n}": (F.col(amount) - F.col(f"rolling_ratio_mean_{n}"))
+def _zscore_columns() -> dict[str, Column]:
+    return {
+        f"amt_zscore_{n}": (F.col(AMT) - F.col(f"rolling_ratio_mean_{n}"))
         / (F.col(f"rolling_ratio_std_{n}") + ZSCORE_EPS)
         for n in (10, 50)
-    })
+    }
+
+
+def zscore_features(df: DataFrame) -> DataFrame:
+    return df.withColumns(_zscore_columns())
 
 
 def bounded_card_columns(order_id: str = "event_id"):
@@ -141,34 +177,27 @@ def bounded_card_columns(order_id: str = "event_id"):
 
 def _features_plain(df: DataFrame, order_id: str, prepartition: bool) -> DataFrame:
     if prepartition:
-        # one exchange for both window specs (card) and (card, merchant)
+        # one exchange for the window specs (card) and (card, merchant) and the median
         df = df.repartition(CARD)
+    w = card_window(order_id=order_id)
+    df = df.withColumns(bounded_card_columns(order_id)(w))
+    again = F.row_number().over(Window.partitionBy(CARD, MERCHANT).orderBy(TIME, order_id)) > 1
+    df = df.withColumn("repeat_retailer", flag(again & F.col(MERCHANT).isNotNull()))
+    df = expanding_median_light(df, CARD, [TIME, order_id], AMT, "median_purchase_price")
     df = distance_from_home(df)
     df = distance_from_last(df, order_id)
-    df = expanding_median(df, order_id)
-    df = ratio_features(df)
-    df = rolling_features(df, order_id=order_id)
-    df = repeat_retailer(df, order_id)
-    return df
+    return ratio_features(df)
 
 
 def _features_hot(hot: DataFrame, order_id: str, block_rows: int) -> DataFrame:
     """Per-card features for cards too large for one task (see plans.sequence/expanding)."""
-    from txguard.plans import sequence as sq
-    from txguard.plans.expanding import expanding_median_hot
-    order = [TIME, order_id]
-    hb = sq.blocked(sq.positions(hot, CARD, order), 49, block_rows)
+    counted = sq.positions(hot, CARD, [TIME, order_id], counted=_known_amount())
+    hb = sq.blocked(counted, 49, block_rows)
     w = Window.partitionBy(CARD, "_blk").orderBy("_g")
     df = (hb.withColumns(bounded_card_columns(order_id)(w))
             .filter(F.col("_own") == F.col("_blk")).drop("_own", "_blk", "_g"))
-    med = expanding_median_hot(hot, CARD, order, AMT, order_id, block_rows)
-    df = (df.withColumn("_id", F.col(order_id).cast("string")).join(med, "_id")
-            .withColumnRenamed("_med", "median_purchase_price").drop("_id"))
-    # repeat retailer = not the first (time, id) of its (card, merchant) pair;
-    # the first occurrence is a partially aggregated min, not a per-pair window
-    first = hot.groupBy(CARD, MERCHANT).agg(F.min(F.struct(TIME, order_id)).alias("_first"))
-    df = df.join(first, [CARD, MERCHANT], "left")
-    df = df.withColumn("repeat_retailer", flag(F.struct(TIME, order_id) > F.col("_first"))).drop("_first")
+    df = _with_hot_median(df, counted, block_rows)
+    df = repeat_retailer(df, order_id)
     df = distance_from_home(df)
     df = distance_from_last(df, order_id)
     return ratio_features(df)
@@ -176,32 +205,8 @@ def _features_hot(hot: DataFrame, order_id: str, block_rows: int) -> DataFrame:
 
 def row_features(df: DataFrame) -> DataFrame:
     """Flags, interactions, cycles and z-scores: row-local, two projections."""
-    def has(c: str, pattern: str) -> Column:
-        return flag(F.coalesce(F.col(c).rlike(pattern), F.lit(False)))
-
-    chip, pos, net = has(MERCHANT, "(?i)chip"), has(CATEGORY, "(?i)pos"), has(CATEGORY, "(?i)net|online")
-    hour, dow = F.hour(TIME), F.weekday(TIME)
-    r, dlast = F.col("ratio_to_median_purchase_price"), F.col("distance_from_last_transaction")
-    df = df.withColumns({"used_chip": chip, "used_pin_number": pos, "online_order": net})
-    cols = {
-        "ratio_zscore": F.lit(PLACEHOLDER_FEATURE),
-        "distance_ratio": F.lit(PLACEHOLDER_FEATURE),
-        "distance_sum": F.col("distance_from_home") + dlast,
-        "chip_and_pin": flag((F.col("used_chip") == 1) & (F.col("used_pin_number") == 1)),
-        "online_and_repeat": flag((F.col("online_order") == 1) & (F.col("repeat_retailer") == 1)),
-        "high_ratio_flag": flag(r > HIGH_RATIO),
-        "high_distance_flag": flag(dlast > HIGH_DISTANCE_KM),
-        "time_of_day_sin": F.sin(hour * (TWO_PI / 24)),
-        "time_of_day_cos": F.cos(hour * (TWO_PI / 24)),
-        "day_of_week_sin": F.sin(dow * (TWO_PI / 7)),
-        "day_of_week_cos": F.cos(dow * (TWO_PI / 7)),
-        "amt_log": F.log(F.col(AMT) + 1.0),
-        "is_weekend": flag(dow >= 5),
-    }
-    for n in (10, 50):
-        cols[f"amt_zscore_{n}"] = ((F.col(AMT) - F.col(f"rolling_ratio_mean_{n}"))
-                                   / (F.col(f"rolling_ratio_std_{n}") + ZSCORE_EPS))
-    return df.withColumns(cols)
+    return df.withColumns(_flag_columns()).withColumns(
+        {**_interaction_columns(), **_temporal_columns(), **_zscore_columns()})
 
 
 def engineer_features(df: DataFrame, order_id: str = "event_id", prepartition: bool = True,
@@ -218,7 +223,6 @@ def engineer_features(df: DataFrame, order_id: str = "event_id", prepartition: b
     ``block_rows`` (exact; plans.sequence and plans.expanding) so no card is
     ever processed by a single task; other cards use plain per-card windows.
     """
-    from txguard.plans import sequence as sq
     df = df.filter(F.col(CARD).isNotNull())
     if skew_safe:
         light, hot = sq.split_hot(df, CARD, hot_rows or sq.HOT_ROWS)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from txguard.functions.geo import haversine_km_atan2
 from txguard.operators.features import TWO_PI, cap_ratio, flag
+from txguard.plans import sequence as sq
 from txguard.schemas import (HIGH_DISTANCE_KM, HIGH_RATIO, HISTORY_CAP, PLACEHOLDER_FEATURE,
                              ZSCORE_EPS)
 
@@ -29,28 +30,32 @@ def user_window(user: str = USER, ts: str = TS, order_id: str = ID):
     return Window.partitionBy(user).orderBy(ts, order_id)
 
 
-def online_distance_last(df: DataFrame, history: int = HISTORY_CAP, **kw) -> DataFrame:
-    w = user_window(**kw)
-    plat, plon = F.lag("lat", 1).over(w), F.lag("lon", 1).over(w)
-    d = haversine_km_atan2("lat", "lon", plat, plon)
-    has_prev = F.lag(F.lit(1), 1).over(w).isNotNull() if history > 0 else F.lit(False)
-    return df.withColumn("distance_from_last_transaction",
-                         F.when(has_prev, d).otherwise(F.lit(0.0)))
+def _history_window(df: DataFrame, names: tuple[str, ...], history: int, hot_rows: int | None = None,
+                    block_rows: int | None = None) -> DataFrame:
+    """Some of the history columns; users too large for one task are cut into blocks."""
+    def build(w):
+        every = online_history_columns(history)(w)
+        return {c: every[c] for c in names}
+    return sq.sequence_window(df, USER, [TS, ID], build, max(history, 49), hot_rows or sq.HOT_ROWS,
+                              block_rows or sq.BLOCK_ROWS)
+
+
+def _distance_last(df: DataFrame) -> DataFrame:
+    d = haversine_km_atan2("lat", "lon", "_prev_lat", "_prev_lon")
+    return (df.withColumn("distance_from_last_transaction", F.when(F.col("_has_prev"), d).otherwise(F.lit(0.0)))
+            .drop("_prev_lat", "_prev_lon", "_has_prev"))
 
 
-def online_median(df: DataFrame, history: int = HISTORY_CAP, **kw) -> DataFrame:
-    w = user_window(**kw).rowsBetween(-history, Window.currentRow)
-    return df.withColumn("median_purchase_price", F.percentile("amount", 0.5).over(w))
+def online_distance_last(df: DataFrame, history: int = HISTORY_CAP) -> DataFrame:
+    return _distance_last(_history_window(df, ("_prev_lat", "_prev_lon", "_has_prev"), history))
 
 
-def online_rolling(df: DataFrame, sizes=(10, 50), **kw) -> DataFrame:
-    w = user_window(**kw)
-    cols = {}
-    for n in sizes:
-        f = w.rowsBetween(-(n - 1), Window.currentRow)
-        cols[f"rolling_ratio_mean_{n}"] = F.avg("amount").over(f)
-        cols[f"rolling_ratio_std_{n}"] = F.coalesce(F.stddev_samp("amount").over(f), F.lit(0.0))
-    return df.withColumns(cols)
+def online_median(df: DataFrame, history: int = HISTORY_CAP) -> DataFrame:
+    return _history_window(df, ("median_purchase_price",), history)
+
+
+def online_rolling(df: DataFrame, sizes=(10, 50)) -> DataFrame:
+    return _history_window(df, tuple(f"rolling_ratio_{k}_{n}" for n in sizes for k in ("mean", "std")), HISTORY_CAP)
 
 
 def online_ratio(df: DataFrame) -> DataFrame:
@@ -117,18 +122,15 @@ def online_features(tx: DataFrame, history: int = HISTORY_CAP, hot_rows: int | N
     All per-user frames are bounded (<= 50 rows back), so users with very
     many rows are split into blocks (plans.sequence) instead of one task.
     """
-    from txguard.plans import sequence as sq
     tx = tx.withColumn(TS, F.coalesce(F.col(TS), F.current_timestamp().cast(tx.schema[TS].dataType)))
-    df = sq.sequence_window(tx, USER, [TS, ID], online_history_columns(history), max(history, 49),
-                            hot_rows or sq.HOT_ROWS, block_rows or sq.BLOCK_ROWS)
-    d = haversine_km_atan2("lat", "lon", "_prev_lat", "_prev_lon")
-    df = df.withColumn("distance_from_last_transaction", F.when(F.col("_has_prev"), d).otherwise(F.lit(0.0)))
-    df = df.drop("_prev_lat", "_prev_lon", "_has_prev")
+    names = tuple(online_history_columns(history)(user_window()))
+    df = _distance_last(_history_window(tx, names, history, hot_rows, block_rows))
     df = online_ratio(df)
     return online_scalar_features(df)
 
 
 def recent_amounts(df: DataFrame, n: int, name: str = "history") -> DataFrame:
     """Array of the current and up to n-1 previous amounts of the user, newest first."""
-    w = user_window().rowsBetween(-(n - 1), Window.currentRow)
-    return df.withColumn(name, F.reverse(F.collect_list("amount").over(w)))
+    def build(w):
+        return {name: F.reverse(F.collect_list("amount").over(w.rowsBetween(-(n - 1), Window.currentRow)))}
+    return sq.sequence_window(df, USER, [TS, ID], build, n - 1)

@@ -1,4 +1,7 @@
-"""Exact expanding (running) median for keys too large for one task.
+"""Exact expanding (running) median per key; NULL and NaN values are skipped.
+
+Keys that fit in one task keep their values so far in a sorted list, one
+insertion a row.  For keys too large for one task the work is cut:
 
 The median of rows 1..g of a key needs the whole prefix, so it cannot be
 cut with a halo.  For a hot key with n rows:
@@ -23,16 +26,44 @@ MAX_SIDE^2 cells per key.
 
 from __future__ import annotations
 
+from bisect import insort
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from txguard.operators.mutations import bounded_broadcast
 from txguard.plans.sequence import positions
 
 MAX_SIDE = 20_000
 
 
+def running_medians(values: list) -> list:
+    """Median of the values so far at each place, missing ones skipped; None before the first."""
+    seen: list[float] = []
+    out = []
+    for v in values:
+        if v is not None and v == v:
+            insort(seen, v)
+        n = len(seen)
+        out.append(0.5 * seen[(n - 1) // 2] + 0.5 * seen[n // 2] if n else None)
+    return out
+
+
+def expanding_median_light(df: DataFrame, key: str, order: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with the running median, each key in one task."""
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
+
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in order])
+        return table.append_column(name, pa.array(running_medians(table.column(value).to_pylist()), pa.float64()))
+
+    return df.groupBy(key).applyInArrow(one, schema)
+
+
 def _kth_medians(pdf: pd.DataFrame) -> pd.DataFrame:
     off = int(pdf["_off"].fillna(0).iloc[0])
     cand = pdf[pdf["_kind"] == "c"]
@@ -77,21 +108,23 @@ def _kth_medians(pdf: pd.DataFrame) -> pd.DataFrame:
         k1 = (int(g) + 1) // 2 - off
         k2 = int(g) // 2 + 1 - off
         out[i] = 0.5 * xs[kth(k1)] + 0.5 * xs[kth(k2)]
-    return pd.DataFrame({"_id": blk["_id"].to_numpy(), "_med": out})
+    return pd.DataFrame({"_k": blk["_k"].to_numpy(), "_c": blk["_g"].to_numpy(), "_med": out})
+
 
+def expanding_median_hot(counted: DataFrame, key: str, value: str, block_rows: int) -> DataFrame:
+    """(_k, _c, _med): the median of the first ``_c`` values of each hot key.
 
-def expanding_median_hot(hot: DataFrame, key: str, order: list[str], value: str, id_col: str,
-                         block_rows: int) -> DataFrame:
-    """(id_col, median_purchase_price) for every row of the hot keys."""
-    base = hot.select(key, *order, F.col(value).alias("_x"), F.col(id_col).alias("_id"))
-    g = positions(base, key, order, out="_g")
+    ``counted`` has ``_c``, the number of values up to the row (positions).
+    """
+    x = F.col(value)
+    g = counted.filter(x.isNotNull() & ~F.isnan(x)).select(key, x.alias("_x"), F.col("_c").alias("_g"))
     rows = positions(g, key, ["_x", "_g"], out="_v")
     # one row per hot key: its size and block size C (bounded by the hot-key count)
     n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     n = n.withColumn("_C", F.greatest(F.lit(int(block_rows)).cast("bigint"),
                                       F.ceil(F.col("_n") / MAX_SIDE).cast("bigint")))
-    rows = rows.join(F.broadcast(n), key)
-    rows = rows.select(key, "_id", "_x", "_g", "_v",
+    rows = rows.join(bounded_broadcast(n), key)
+    rows = rows.select(key, "_x", "_g", "_v",
                        F.floor((F.col("_g") - 1) / F.col("_C")).cast("bigint").alias("_tb"),
                        F.floor((F.col("_v") - 1) / F.col("_C")).cast("bigint").alias("_bin"))
     C = F.col("_C")
@@ -119,10 +152,8 @@ def expanding_median_hot(hot: DataFrame, key: str, order: list[str], value: str,
     offs = sel.groupBy(key, "_b").agg(F.min("_lt").alias("_off"))
     cands = (rows.join(sel.select(key, "_b", F.col("_q").alias("_bin")), [key, "_bin"])
              .filter(F.col("_tb") < F.col("_b"))
-             .select(key, "_b", F.lit(None).cast("string").alias("_id"), "_x", F.lit(None).cast("bigint").alias("_g"),
-                     "_v", F.lit("c").alias("_kind")))
-    blk = rows.select(key, F.col("_tb").alias("_b"), F.col("_id").cast("string").alias("_id"), "_x", "_g", "_v",
-                      F.lit("b").alias("_kind"))
-    parts = cands.unionByName(blk).join(offs, [key, "_b"], "left")
-    med = parts.groupBy(key, "_b").applyInPandas(_kth_medians, "_id string, _med double")
-    return med
+             .select(key, "_b", "_x", F.lit(None).cast("bigint").alias("_g"), "_v", F.lit("c").alias("_kind")))
+    blk = rows.select(key, F.col("_tb").alias("_b"), "_x", "_g", "_v", F.lit("b").alias("_kind"))
+    parts = cands.unionByName(blk).join(offs, [key, "_b"], "left").withColumnRenamed(key, "_k")
+    kind = counted.schema[key].dataType.simpleString()
+    return parts.groupBy("_k", "_b").applyInPandas(_kth_medians, f"_k {kind}, _c bigint, _med double")

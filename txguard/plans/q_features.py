@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from txguard.operators import features as feat
 from txguard.plans.registry import register
-from txguard.plans.sqlfrag import FEATURES_BATCH, feature_spec, hav_asin, win, UNB, rows, flag
+from txguard.plans.sqlfrag import FEATURES_BATCH, feature_spec, features_batch_sql, hav_asin, win, UNB, rows, flag
 from txguard.schemas import FEATURE_COLS
 from txguard.session import ensure_checkpoint_dir
 from txguard.sources import fixtures
@@ -76,7 +76,7 @@ def q_median(spark, sf):
 
 
 @register("feat_repeat_retailer", KEYS + ", merchant:s, repeat_retailer:d",
-          f"SELECT event_id, cc_num, merchant, {flag(f'row_number() {win(part='cc_num, merchant')} > 1')}"
+          f"SELECT event_id, cc_num, merchant, {flag(f'merchant IS NOT NULL AND row_number() {win(part='cc_num, merchant')} > 1')}"
           " AS repeat_retailer FROM card_tx")
 def q_repeat(spark, sf):
     return feat.repeat_retailer(cards(spark, sf))
@@ -164,3 +164,27 @@ def q_features_csv(spark, sf):
     (raw.select("category", "k", "amt", F.col("trans_date_trans_time").cast("string").alias("trans_date_trans_time"),
                 "merchant", "merch_long", "merch_lat", "long", "lat", "cc_num", F.lit("x").alias("note")).write.option("header", True).csv(path))
     return feat.engineer_features(read_raw_csv(spark, path))
+
+
+CARD_GAPS = [("card_gaps", "SELECT * REPLACE (CASE WHEN event_id % 5 <> 0 THEN amt END AS amt, "
+              "CASE WHEN event_id % 3 <> 0 THEN merchant END AS merchant, "
+              "date_trunc('day', trans_date_trans_time) AS trans_date_trans_time) FROM card_tx")]
+GAP_SPEC = feature_spec(KEYS)
+
+
+@register("features_batch_gaps", GAP_SPEC, features_batch_sql("card_gaps"), CARD_GAPS)
+def q_features_gaps(spark, sf):
+    """Missing amounts and merchants and ties of time, cards in one task each."""
+    return feat.engineer_features(fixtures.card_gaps(cards(spark, sf)))
+
+
+@register("features_batch_gaps_blocked", GAP_SPEC, features_batch_sql("card_gaps"), CARD_GAPS)
+def q_features_gaps_blocked(spark, sf):
+    """The same rows with every card above 40 rows cut into blocks."""
+    return feat.engineer_features(fixtures.card_gaps(cards(spark, sf)), hot_rows=40, block_rows=60)
+
+
+@register("feat_expanding_median_blocked", KEYS + ", median_purchase_price:d",
+          f"SELECT event_id, cc_num, median(amt) {win(frame=UNB)} AS median_purchase_price FROM card_gaps", CARD_GAPS)
+def q_median_blocked(spark, sf):
+    return feat.expanding_median(fixtures.card_gaps(cards(spark, sf)), hot_rows=40, block_rows=60)

@@ -28,11 +28,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from txguard.operators.mutations import bounded_broadcast
 from txguard.session import ensure_checkpoint_dir
 
 HOT_ROWS = 200_000      # keys above this many rows take the blocked path
 BLOCK_ROWS = 100_000    # rows per block on the blocked path
+LISTED_KEYS = 10_000    # so many hot keys are sent along as a list; more are joined by shuffle
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int) -> DataFrame:
@@ -41,32 +41,50 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int) -> DataFrame:
 
 
 def split_hot(df: DataFrame, key: str, hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """(light rows, hot rows); hot rows is None when no key is hot."""
-    keys = hot_keys(df, key, hot_rows)
-    if keys.limit(1).count() == 0:
+    """(light rows, hot rows); hot rows is None when no key is hot.
+
+    One action: the hot keys are counted from the key column alone.  A NULL key
+    is a key like others.
+    """
+    keys = hot_keys(df.select(key), key, hot_rows)
+    found = keys.limit(LISTED_KEYS + 1).collect()
+    if not found:
         return df, None
-    hot = bounded_broadcast(keys)
-    return df.join(hot, key, "left_anti"), df.join(hot, key, "left_semi")
+    if len(found) <= LISTED_KEYS:
+        keys = F.broadcast(df.sparkSession.createDataFrame(found, keys.schema))
+    hot = keys.select(F.col(key).alias("_hot"))
+    same = F.col(key).eqNullSafe(F.col("_hot"))
+    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
 
 
 def positions(hot: DataFrame, key: str, order: list[str], partitions: int | None = None,
-              out: str = "_g") -> DataFrame:
-    """Exact 1-based position of each row inside its key, by ``order`` (must be unique per key)."""
+              out: str = "_g", counted: Column | None = None) -> DataFrame:
+    """Exact 1-based position of each row inside its key, by ``order`` (must be unique per key).
+
+    ``counted``: a condition; adds ``_c``, the number of rows up to this one that meet it.
+    """
     spark = hot.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = (hot.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
+    r = hot.withColumn("_one", F.when(counted, 1).otherwise(0) if counted is not None else F.lit(0))
+    r = (r.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
          .withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()}))
     # The numbering is read twice (stats and rows).  Upstream shuffles make row
     # order nondeterministic, so two evaluations could sample different range
     # bounds; a reliable checkpoint (shared checkpoint folder) fixes one copy.
     ensure_checkpoint_dir(spark)
     r = r.checkpoint(eager=True)
-    stats = r.groupBy("_pid", key).agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_c"))
+    stats = r.groupBy("_pid", key).agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n0"),
+                                       F.sum("_one").alias("_n1"))
     w = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = stats.select("_pid", key, "_m0", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
-    # one row per (partition, key): bounded by partitions + hot keys
-    res = r.join(F.broadcast(offs), ["_pid", key])
-    return res.withColumn(out, F.col("_off") + (F.col("_mid") - F.col("_m0")) + 1).drop("_pid", "_mid", "_m0", "_off")
+    offs = stats.select(F.col("_pid").alias("_opid"), F.col(key).alias("_okey"), "_m0",
+                        F.coalesce(F.sum("_n0").over(w), F.lit(0)).alias("_off"),
+                        F.coalesce(F.sum("_n1").over(w), F.lit(0)).alias("_offc"))
+    res = r.join(offs, (F.col("_pid") == F.col("_opid")) & F.col(key).eqNullSafe(F.col("_okey")))
+    res = res.withColumn(out, F.col("_off") + (F.col("_mid") - F.col("_m0")) + 1)
+    if counted is not None:
+        inside = Window.partitionBy("_pid", key).orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+        res = res.withColumn("_c", F.col("_offc") + F.sum("_one").over(inside))
+    return res.drop("_pid", "_mid", "_m0", "_off", "_offc", "_opid", "_okey", "_one")
 
 
 def blocked(hot_pos: DataFrame, lookback: int, block_rows: int) -> DataFrame:

@@ -81,7 +81,7 @@ FROM (
         coalesce(stddev_samp(amt) {win(frame=rows(9))}, 0.0e0) AS rolling_ratio_std_10,
         avg(amt) {win(frame=rows(49))} AS rolling_ratio_mean_50,
         coalesce(stddev_samp(amt) {win(frame=rows(49))}, 0.0e0) AS rolling_ratio_std_50,
-        {flag(f"row_number() {win(part='cc_num, merchant')} > 1")} AS repeat_retailer,
+        {flag(f"merchant IS NOT NULL AND row_number() {win(part='cc_num, merchant')} > 1")} AS repeat_retailer,
         {flag("coalesce(regexp_matches(merchant, 'chip', 'i'), false)")} AS used_chip,
         {flag("coalesce(regexp_matches(category, 'pos', 'i'), false)")} AS used_pin_number,
         {flag("coalesce(regexp_matches(category, 'net|online', 'i'), false)")} AS online_order

@@ -34,6 +34,15 @@ def card_tx(events: DataFrame) -> DataFrame:
                      merch_lat.alias("merch_lat"), merch_lon.alias("merch_long"), is_fraud.alias("is_fraud"))
 
 
+def card_gaps(cards: DataFrame) -> DataFrame:
+    """Card transactions with NULL amounts and merchants and many equal times."""
+    ev = F.col("event_id")
+    return cards.withColumns({
+        "amt": F.when(ev % 5 != 0, F.col("amt")), "merchant": F.when(ev % 3 != 0, F.col("merchant")),
+        "trans_date_trans_time": F.date_trunc("day", "trans_date_trans_time").cast(
+            cards.schema["trans_date_trans_time"].dataType)})
+
+
 def transactions(cards: DataFrame) -> DataFrame:
     """Stored transactions with every status, including NULL."""
     # repeat retailer: not the first (time, id) of its (card, merchant) pair; the
