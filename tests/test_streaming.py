@@ -35,7 +35,8 @@ def test_stream_equals_replay(spark):
     os.makedirs(src)
     msgs = write_message_files(spark, src)
     tables = Tables(*(os.path.join(root, n) for n in ("tx", "alerts", "counters", "dlq")))
-    job = start_scoring(spark, src, tables, os.path.join(root, "ckpt"), available_now=True, max_files=1)
+    job = start_scoring(spark, src, tables, os.path.join(root, "ckpt"), available_now=True, max_files=1,
+                         **fixtures.fixture_model())
     job.scoring.awaitTermination(300)
     job.dead_letters.awaitTermination(300)
 
@@ -43,7 +44,7 @@ def test_stream_equals_replay(spark):
     # replay: validate the same messages, online features over the valid rows, score
     m = validate_messages(fixtures.load(spark, SF001)["messages"])
     valid = m.filter("valid").select(*STRING_FIELDS, *NUMBER_FIELDS, "timestamp")
-    rep = sc.score_rows(on.online_features(valid))
+    rep = sc.score_rows(on.online_features(valid), **fixtures.fixture_model())
     a = {r["_id"]: (r["fraud_score"], r["status"]) for r in cur.select("_id", "fraud_score", "status").collect()}
     b = {r["_id"]: (r["fraud_score"], r["status"]) for r in rep.select("_id", "fraud_score", "status").collect()}
     assert a.keys() == b.keys()
@@ -58,7 +59,8 @@ def test_stream_equals_replay(spark):
     assert c["flagged"] == sum(1 for v in a.values() if v[1] == "FLAGGED")
 
     # restart from the checkpoint: nothing new, nothing duplicated
-    job2 = start_scoring(spark, src, tables, os.path.join(root, "ckpt"), available_now=True, max_files=1)
+    job2 = start_scoring(spark, src, tables, os.path.join(root, "ckpt"), available_now=True, max_files=1,
+                         **fixtures.fixture_model())
     job2.scoring.awaitTermination(300)
     job2.dead_letters.awaitTermination(300)
     assert spark.read.parquet(tables.dlq).count() == faults
@@ -87,15 +89,99 @@ def test_ingress_stream(spark):
             "repeat_retailer": 1, "used_chip": 0, "used_pin_number": 1, "online_order": 0, "category": "dropped"}
     bad = dict(good, amount=-1, lat=95.0)
     with open(os.path.join(src, "a.json"), "w") as fh:
-        fh.write("\n".join(json.dumps(x) for x in [good, dict(good, userId="u2"), bad]) + "\n")
+        fh.write("\n".join(json.dumps(x) for x in [good, dict(good, userId="u2"), bad, good, dict(good, userId=7)]) + "\n")
     paths = {n: os.path.join(root, n) for n in ("tx", "rejects", "topic", "ckpt")}
     q = start_ingress(spark, src, paths["tx"], paths["rejects"], paths["topic"], paths["ckpt"], available_now=True)
     q.awaitTermination(300)
     stored = VersionedTable(spark, paths["tx"]).current().collect()
-    assert sorted(r["userId"] for r in stored) == ["u1", "u2"]
+    assert sorted(r["userId"] for r in stored) == ["u1", "u1", "u2"]      # equal requests are two
+    assert all(r["timestamp"] is not None for r in stored)
     assert all(r["status"] == "PENDING" and r["fraud_score"] == -1.0 for r in stored)
     assert "category" not in stored[0].asDict()
     published = spark.read.text(paths["topic"]).collect()
-    assert len(published) == 2 and all(json.loads(r["value"])["status"] == "PENDING" for r in published)
-    rej = spark.read.parquet(paths["rejects"]).first()
-    assert [e["field"] for e in rej["errors"]] == ["amount", "lat"]
+    assert len(published) == 3 and all(json.loads(r["value"])["status"] == "PENDING" for r in published)
+    rejects = {tuple((e["field"], e["message"]) for e in r["errors"]) for r in spark.read.parquet(paths["rejects"]).collect()}
+    assert rejects == {(("amount", "Amount must be positive"), ("lat", "Number must be less than or equal to 90")),
+                       (("userId", "Expected string, received number"),)}
+
+
+def test_two_writers_and_compaction(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    row = "_id string, status string, v int, createdAt timestamp, updatedAt timestamp"
+
+    def batch(*rows):
+        return spark.createDataFrame([(i, s, v, *(spark.sql(f"SELECT timestamp'2024-01-01 {h:02d}:00:00'").first()[0]
+                                                  for h in (a, b))) for i, s, v, a, b in rows], row)
+
+    t.write_batch(batch(("a", "PENDING", 1, 1, 1), ("b", "PENDING", 2, 1, 1)), 0, "ingress")
+    t.write_batch(batch(("a", "FLAGGED", 3, 5, 5)), 0, "scoring")
+    assert {r["_id"]: r["v"] for r in t.current().collect()} == {"a": 3, "b": 2}
+    assert t.current().filter("_id = 'a'").first()["createdAt"].hour == 1
+
+    # a batch that arrives while the snapshot is written stays in the tail
+    listed = t.batches
+
+    def late():
+        done = listed()
+        t.batches = listed
+        t.write_batch(batch(("c", "FLAGGED", 9, 7, 7), ("b", "CLEARED", 4, 7, 7)), 1, "scoring")
+        return done
+
+    t.batches = late
+    t.compact()
+    got = {r["_id"]: (r["v"], r["status"]) for r in t.current().collect()}
+    assert got == {"a": (3, "FLAGGED"), "b": (4, "CLEARED"), "c": (9, "FLAGGED")}
+    assert sorted(r["_id"] for r in t.flagged().collect()) == ["a", "c"]
+    t.compact()
+    assert {r["_id"]: (r["v"], r["status"]) for r in t.current().collect()} == got
+    plan = t.flagged()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_state_orders_all_batches_of_a_user(spark):
+    import pandas as pd
+    from txguard.streaming.state import make_state_fn
+    rng = __import__("random").Random(3)
+    n = 260
+    rows = pd.DataFrame({"_id": [f"t{i:04d}" for i in range(n)], "userId": "u", "amount": [rng.random() * 90 for _ in range(n)],
+                         "lat": 1.0, "lon": [float(i) for i in range(n)], "distance_from_home": 1.0, "repeat_retailer": 0.0,
+                         "used_chip": 0.0, "used_pin_number": 0.0, "online_order": 0.0,
+                         "timestamp": pd.date_range("2024-01-01", periods=n, freq="min")})
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    one, two = State(), State()
+    whole = pd.concat(make_state_fn()(("u",), iter([rows]), one))
+    late_first = pd.concat(make_state_fn()(("u",), iter([rows[100:], rows[:100]]), two))
+    pd.testing.assert_frame_equal(whole.reset_index(drop=True), late_first.reset_index(drop=True))
+    assert one.get == two.get and len(one.get[0]) == 50
+    three = State()
+    fn = make_state_fn()
+    parts = pd.concat([*fn(("u",), iter([rows[:70]]), three), *fn(("u",), iter([rows[70:]]), three)])
+    pd.testing.assert_frame_equal(whole.reset_index(drop=True), parts.reset_index(drop=True))
+    replay = on.online_median(spark.createDataFrame(rows)).toPandas().sort_values("_id")
+    assert abs(whole["median_purchase_price"].to_numpy() - replay["median_purchase_price"].to_numpy()).max() < 1e-12
+
+
+def test_records_of_a_failed_batch_become_dead_letters(spark, tmp_path):
+    from txguard.streaming.scoring_stream import make_batch_writer
+    tables = Tables(*(str(tmp_path / n) for n in ("tx", "alerts", "counters", "dlq")))
+    (tmp_path / "tx").write_text("a file where the table's folder should be")
+    valid = fixtures.load(spark, SF001)["messages"].limit(20)
+    feats = on.online_features(validate_messages(valid).filter("valid").select(*STRING_FIELDS, *NUMBER_FIELDS, "timestamp"))
+    make_batch_writer(tables, None, retry_delay=0.01, **fixtures.fixture_model())(feats, 3)
+    dead = spark.read.parquet(tables.failed).collect()
+    assert len(dead) == feats.count() and {r["envelope"]["metadata"]["retryCount"] for r in dead} == {3}
+
+
+def test_threshold_newest_row(spark, tmp_path):
+    from txguard.streaming.scoring_stream import read_threshold
+    path = str(tmp_path / "threshold")
+    assert read_threshold(spark, path).first()["threshold"] == 0.6
+    sc.set_threshold(spark, path, 0.9)
+    sc.set_threshold(spark, path, 0.3)
+    assert read_threshold(spark, path).first()["threshold"] == 0.3

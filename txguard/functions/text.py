@@ -24,11 +24,3 @@ def to_fixed(x, digits: int) -> Column:
     whole = F.floor(n / p).cast("bigint").cast("string")
     frac = F.lpad((n % p).cast("bigint").cast("string"), digits, "0")
     return F.concat(whole, F.lit("."), frac)
-
-
-def js_number(x) -> Column:
-    """Number-to-text the way a JS template literal prints typical values
-    (integral doubles without a trailing '.0')."""
-    x = _c(x)
-    integral = (x == F.floor(x)) & (F.abs(x) < 1e15)
-    return F.when(integral, F.floor(x).cast("bigint").cast("string")).otherwise(x.cast("string"))

@@ -7,7 +7,7 @@ to a versioned table (sources.sinks.VersionedTable).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txguard.schemas import DLQ_TOPIC, MAX_RETRIES, SOURCE_TOPIC
@@ -36,7 +36,7 @@ def stable_uuid(*cols) -> Column:
 
 
 def with_defaults(df: DataFrame, id_from: list[str] | None = None, now: Column | None = None) -> DataFrame:
-    """Insert defaults: _id (uuid), fraud_score -1, status PENDING, createdAt/updatedAt now.
+    """Insert defaults: _id (uuid), fraud_score -1, status PENDING, timestamp/createdAt/updatedAt now.
 
     ``id_from``: columns for a deterministic id (idempotent re-runs); without
     it a random uuid() is drawn, so materialise the result before reusing it.
@@ -48,6 +48,7 @@ def with_defaults(df: DataFrame, id_from: list[str] | None = None, now: Column |
         "fraud_score": F.coalesce(F.col("fraud_score"), F.lit(-1.0)) if "fraud_score" in df.columns else F.lit(-1.0),
         "status": F.coalesce(F.col("status"), F.lit("PENDING")) if "status" in df.columns else F.lit("PENDING"),
         "reasoning": F.col("reasoning") if "reasoning" in df.columns else F.lit(None).cast("string"),
+        "timestamp": F.coalesce(F.col("timestamp"), now) if "timestamp" in df.columns else now,
         "createdAt": now, "updatedAt": now,
     }
     return df.withColumns(cols)
@@ -123,6 +124,16 @@ def review(tx: DataFrame, reviews: DataFrame, analyst: str, bulk: bool = True,
     return updated, audit
 
 
+def store_review(table, reviews: DataFrame, analyst: str, audit_path: str, batch_id: int, bulk: bool = True,
+                 now: Column | None = None) -> None:
+    """Apply decisions to a stored table: the affected rows as a batch of writer ``review``, and the audit rows."""
+    from txguard.sources.sinks import append
+    updated, audit = review(table.current(), reviews, analyst, bulk, now)
+    touched = updated.join(reviews.select("_id").distinct(), "_id", "left_semi")
+    table.write_batch(touched, batch_id, "review")
+    append(audit, audit_path, batch_id)
+
+
 def affected_count(tx: DataFrame, reviews: DataFrame) -> DataFrame:
     """Rows the update touches (0 -> not found for a single review)."""
     return tx.join(reviews.select("_id").distinct(), "_id", "left_semi").agg(F.count(F.lit(1)).alias("affected"))
@@ -143,7 +154,7 @@ def dead_letters(invalid: DataFrame, value: str = "value", error: str = "error_m
     """DLQ envelope; the raw text is kept even when it is not valid JSON."""
     now = F.current_timestamp() if now is None else now
     env = F.struct(
-        F.col(value).alias("originalMessage_raw"),
+        F.col(value).alias("originalMessage_raw"), F.try_parse_json(F.col(value)).alias("originalMessage"),
         F.struct(F.col(error).alias("message"), F.lit(None).cast("string").alias("stack")).alias("error"),
         F.struct(F.lit(topic).alias("originalTopic"),
                  (partition if partition is not None else F.lit(0)).alias("partition"),
@@ -153,6 +164,16 @@ def dead_letters(invalid: DataFrame, value: str = "value", error: str = "error_m
     return invalid.select("*", env.alias("envelope"), F.lit(DLQ_TOPIC).alias("dlq_topic"))
 
 
+def dead_letter_json(dead: DataFrame) -> DataFrame:
+    """(key, value) rows for the dead-letter topic; a message that is JSON stays an object in the envelope."""
+    e = F.col("envelope")
+    body = F.coalesce(F.to_json(e["originalMessage"]), F.to_json(F.struct(e["originalMessage_raw"].alias("raw"))))
+    rest = F.to_json(F.struct(e["error"].alias("error"), e["metadata"].alias("metadata")))
+    return dead.select(F.lit(None).cast("string").alias("key"),
+                       F.concat(F.lit('{"originalMessage":'), body, F.lit(","), F.substring(rest, F.lit(2), F.length(rest)))
+                       .alias("value"), F.col("dlq_topic").alias("topic"))
+
+
 def publish_json(df: DataFrame, key: str | None = None) -> DataFrame:
     """(key, value) rows for a message sink: value = JSON of the whole row."""
     cols = [c for c in df.columns]
@@ -161,4 +182,4 @@ def publish_json(df: DataFrame, key: str | None = None) -> DataFrame:
 
 
 __all__ = ["bounded_broadcast", "stable_uuid", "with_defaults", "latest_per_key", "upsert", "review",
-           "affected_count", "alerts_from", "dead_letters", "publish_json", "MAX_RETRIES", "Window"]
+           "store_review", "affected_count", "alerts_from", "dead_letters", "publish_json", "MAX_RETRIES"]

@@ -124,9 +124,12 @@ def online_features(tx: DataFrame, history: int = HISTORY_CAP, hot_rows: int | N
     """
     tx = tx.withColumn(TS, F.coalesce(F.col(TS), F.current_timestamp().cast(tx.schema[TS].dataType)))
     names = tuple(online_history_columns(history)(user_window()))
-    df = _distance_last(_history_window(tx, names, history, hot_rows, block_rows))
-    df = online_ratio(df)
-    return online_scalar_features(df)
+    return features_from_history(_history_window(tx, names, history, hot_rows, block_rows))
+
+
+def features_from_history(df: DataFrame) -> DataFrame:
+    """The 29 features of rows that carry their history columns (replay or stream state)."""
+    return online_scalar_features(online_ratio(_distance_last(df)))
 
 
 def recent_amounts(df: DataFrame, n: int, name: str = "history") -> DataFrame:

@@ -9,7 +9,6 @@ numbers, a fixed bound independent of the data.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 
 from txguard.functions.text import to_fixed
 from txguard.plans.fence import fence
-from txguard.schemas import (AE_LAYERS, AE_SCORE_DIVISOR, DEFAULT_THRESHOLD, FEATURE_COLS,
+from txguard.schemas import (AE_LAYERS, AE_SCORE_DIVISOR, DEFAULT_THRESHOLD, FEATURE_COLS, FLAG_FIELDS,
                              GEO_REASON_KM, MODEL_FAILURE_SCORE, MODEL_FAILURE_TEXT,
                              REFERENCE_SCALER_MEAN, REFERENCE_SCALER_SCALE, SPEND_REASON_RATIO)
 
@@ -198,7 +197,16 @@ def effective_threshold(config: DataFrame | None, default: float = DEFAULT_THRES
         from pyspark.sql import SparkSession
         spark = SparkSession.getActiveSession()
         return spark.range(1).select(F.lit(default).alias("threshold"))
-    return config.agg(F.coalesce(F.max("threshold").cast("double"), F.lit(default)).alias("threshold"))
+    newest = F.max_by("threshold", "updatedAt") if "updatedAt" in config.columns else F.max("threshold")
+    return config.agg(F.coalesce(newest.cast("double"), F.lit(default)).alias("threshold"))
+
+
+def set_threshold(spark, path: str, value: float) -> None:
+    """Append a threshold to the config table; the newest row is in force."""
+    if not 0 <= value <= 1:
+        raise ValueError("Threshold must be between 0 and 1")
+    spark.range(1).select(F.lit(float(value)).alias("threshold"), F.current_timestamp().alias("updatedAt")) \
+        .write.mode("append").parquet(path)
 
 
 def ensemble(df: DataFrame, sup: str = "xgb_score", mse: str = "mse") -> DataFrame:
@@ -241,14 +249,18 @@ def decide(df: DataFrame, threshold=DEFAULT_THRESHOLD) -> DataFrame:
 
 def score_rows(df: DataFrame, scaler=None, weights: Weights | None = None, supervised=None,
                threshold=DEFAULT_THRESHOLD, cols=FEATURE_COLS, keep_intermediate: bool = False) -> DataFrame:
-    """Add xgb_score, ae_score, mse, fraud_score, status, reasoning to a feature frame."""
+    """Add xgb_score, ae_score, mse, fraud_score, status, reasoning to a feature frame.
+
+    ``weights`` and ``supervised`` are a trained model; there is no default one.
+    """
+    if weights is None or supervised is None:
+        raise ValueError("score_rows needs the autoencoder's weights and a supervised model")
     scaler = Scaler.reference() if scaler is None else scaler
-    weights = seeded_weights() if weights is None else weights
     xs = [f"x{i}" for i in range(len(cols))]
     out = scale_features(df, scaler, cols)
     out = reconstruct(out, weights, xs)
     out = recon_mse(out, len(cols))
-    out = supervised_probability(out, supervised if supervised is not None else LinearProbe.seeded(xs))
+    out = supervised_probability(out, supervised)
     out = fence(out, ["mse", "xgb_score"])
     out = ensemble(out)
     out = decide(out, threshold)
@@ -261,30 +273,16 @@ def score_rows(df: DataFrame, scaler=None, weights: Weights | None = None, super
 def explain_prompt(df: DataFrame) -> DataFrame:
     """Case prompt for flagged rows (input for an outside explainer) and the
     fallback reasoning used when no explanation is available."""
-    from txguard.functions.text import js_number
     from txguard.schemas import EXPLAIN_UNAVAILABLE
-    lines = [
-        F.lit("You are a fraud detection expert. A transaction has been flagged with a fraud score of "),
-        to_fixed("fraud_score", 2), F.lit(".\nFeatures:\nAmount: "), js_number("amount"),
-        F.lit("\nDistance from home: "), js_number("distance_from_home"),
-        F.lit("\nDistance from last transaction: "), js_number("distance_from_last_transaction"),
-        F.lit("\nRepeat retailer: "), js_number("repeat_retailer"),
-        F.lit("\nUsed chip: "), js_number("used_chip"),
-        F.lit("\nUsed pin: "), js_number("used_pin_number"),
-        F.lit("\nOnline order: "), js_number("online_order"),
-        F.lit("\nBase ML Reasoning: "), F.col("reasoning"),
-        F.lit("\n\nExplain concisely (in 2-3 sentences) why this transaction looks suspicious based on these features."),
-    ]
+    parts = [F.lit("Card payment held for review, score "), to_fixed("fraud_score", 2), F.lit(". Paid "), to_fixed("amount", 2),
+             F.lit("; km from home "), to_fixed("distance_from_home", 1), F.lit("; km from the payment before "),
+             to_fixed("distance_from_last_transaction", 1)]
+    for name in FLAG_FIELDS:
+        parts += [F.lit(f"; {name} "), to_fixed(name, 0)]
+    parts += [F.lit(". Model notes: "), F.col("reasoning"), F.lit(". Say in two sentences what an analyst should check.")]
     flagged = F.col("status") == "FLAGGED"
     return df.withColumns({
-        "prompt": F.when(flagged, F.concat(*lines)),
+        "prompt": F.when(flagged, F.concat(*parts)),
         "reasoning": F.when(flagged, F.concat(F.col("reasoning"), F.lit(EXPLAIN_UNAVAILABLE)))
         .otherwise(F.col("reasoning")),
     })
-
-
-def sigmoid_sql(z: str) -> str:
-    return f"(1.0e0 / (1.0e0 + exp(-({z}))))"
-
-
-_ = math  # noqa

@@ -39,6 +39,45 @@ def ingress_rules() -> list[tuple[str, Column, str]]:
     return rules
 
 
+def json_kind(payload: Column, field: str) -> Column:
+    """Type of a JSON member: number, string, boolean, null, object, array; undefined when absent."""
+    t = F.schema_of_variant(F.try_variant_get(payload, f"$.{field}", "variant"))
+    return (F.when(t.isNull(), "undefined").when(t == "VOID", "null").when(t.rlike(NUMERIC_TYPE), "number")
+            .when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").when(t.startswith("ARRAY"), "array")
+            .otherwise("object"))
+
+
+def request_errors(payload: Column) -> Column:
+    """Errors of a JSON request: strict types first, then the ingress rules on members of the right type."""
+    items = []
+    checks = {"userId": [(lambda c: F.length(c) < 1, "userId is required")],
+              "amount": [(lambda c: c <= 0, "Amount must be positive")],
+              "lat": _between(-90, 90), "lon": _between(-180, 180), "distance_from_home": _between(0, None)}
+    checks.update({f: _between(0, 1) for f in FLAG_FIELDS})
+    for field, rules in checks.items():
+        want = "string" if field == "userId" else "number"
+        kind = json_kind(payload, field)
+        value = F.try_variant_get(payload, f"$.{field}", "string" if field == "userId" else "double")
+        message = F.when(kind == "undefined", "Required").when(
+            kind != want, F.concat(F.lit(f"Expected {want}, received "), kind))
+        for failed, text in rules:
+            message = message.when(failed(value), text)
+        items.append(F.when(message.isNotNull(), F.struct(F.lit(field).alias("field"), message.alias("message"))))
+    fields = F.filter(F.array(*items), lambda e: e.isNotNull())
+
+    def whole(text: str) -> Column:
+        return F.array(F.struct(F.lit("").alias("field"), F.lit(text).alias("message")))
+
+    return (F.when(payload.isNull(), whole(MALFORMED))
+            .when(~F.schema_of_variant(payload).startswith("OBJECT"), whole("Expected object"))
+            .otherwise(fields))
+
+
+def _between(lo, hi):
+    rules = [(lambda c: c < lo, f"Number must be greater than or equal to {lo}")]
+    return rules + ([(lambda c: c > hi, f"Number must be less than or equal to {hi}")] if hi is not None else [])
+
+
 def errors_column(rules) -> Column:
     t = F.struct(F.lit("").alias("field"), F.lit("").alias("message"))
     items = [F.when(bad, F.struct(F.lit(f).alias("field"), F.lit(m).alias("message"))) for f, bad, m in rules]

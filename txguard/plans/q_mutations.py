@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from txguard.learning import retrain_features as rt
@@ -14,8 +16,11 @@ from txguard.plans.q_scoring import scored_sql
 from txguard.plans.registry import register
 from txguard.plans.sqlfrag import TWO_PI, feature_spec
 from txguard.schemas import FEATURE_COLS, LATENCY_BUCKETS
+from txguard.session import ensure_checkpoint_dir
 from txguard.sources import fixtures
+from txguard.sources.sinks import VersionedTable
 from txguard.sources.tables import read_table
+from txguard.streaming.ingress_stream import parse_requests
 
 
 def fx(spark, sf):
@@ -130,7 +135,7 @@ SCORED_TX = scored_sql(f"SELECT * EXCLUDE (status, fraud_score) FROM ({ONLINE_SQ
           f"SELECT _id AS transactionId, userId, fraud_score AS score, reasoning, 'OPEN' AS status "
           f"FROM ({SCORED_TX}) s WHERE status_new = 'FLAGGED'")
 def q_alerts_append(spark, sf):
-    scored = sc.score_rows(on.online_features(tx(spark, sf)).drop("status"))
+    scored = sc.score_rows(on.online_features(tx(spark, sf)).drop("status"), **fixtures.fixture_model())
     return mu.alerts_from(scored, now=fixed_now())
 
 
@@ -147,6 +152,64 @@ def q_dlq(spark, sf):
                     (e["originalMessage_raw"] == F.col("value")).alias("raw_kept"))
 
 
+def _request_errors_sql():
+    def number(f, lo, hi, wrong=""):
+        v = f"r.{f}"
+        checks = f"WHEN {v} IS NULL THEN 'Required' "
+        if f == "amount":
+            checks += f"WHEN {v} <= 0 THEN 'Amount must be positive' "
+        else:
+            checks += f"WHEN {v} < {lo} THEN 'Number must be greater than or equal to {lo}' "
+            if hi is not None:
+                checks += f"WHEN {v} > {hi} THEN 'Number must be less than or equal to {hi}' "
+        return f"'{f}: ' || CASE {wrong}{checks}END"
+    user = ("'userId: ' || CASE WHEN event_id % 103 = 0 AND event_id % 107 <> 0 AND event_id % 109 <> 0 THEN "
+            "'Expected string, received number' WHEN length(r.userId) < 1 THEN 'userId is required' END")
+    amount = number("amount", 0, None, "WHEN event_id % 107 = 0 AND event_id % 109 <> 0 THEN 'Expected number, received string' ")
+    lat = number("lat", -90, 90, "WHEN event_id % 109 = 0 THEN 'Expected number, received null' ")
+    parts = [user, amount, lat, number("lon", -180, 180), number("distance_from_home", 0, None)]
+    parts += [number(f, 0, 1) for f in ("repeat_retailer", "used_chip", "used_pin_number", "online_order")]
+    return f"CASE WHEN event_id % 113 = 0 THEN ': Malformed JSON' ELSE concat_ws('; ', {', '.join(parts)}) END"
+
+
+@register("ingress_messages", "event_id:i, errors:s",
+          f"SELECT event_id, {_request_errors_sql()} AS errors FROM ingress_raw r")
+def q_ingress_messages(spark, sf):
+    """Per-field messages of JSON requests with absent, null and wrongly typed members."""
+    r = parse_requests(fixtures.ingress_requests(fx(spark, sf)["ingress_raw"]))
+    text = F.transform("errors", lambda e: F.concat(e["field"], F.lit(": "), e["message"]))
+    return r.select("event_id", F.array_join(text, "; ").alias("errors"))
+
+
+@register("stored_table", "_id:s, status:s, fraud_score:d, createdAt:t",
+          "SELECT _id, CASE WHEN event_id % 2 <> 0 THEN 'PENDING' WHEN s > 0.6e0 AND event_id % 4 = 0 THEN 'BLOCKED' "
+          "WHEN s > 0.6e0 THEN 'FLAGGED' ELSE 'CLEARED' END AS status, "
+          "CASE WHEN event_id % 2 <> 0 THEN -1.0e0 ELSE s END AS fraud_score, createdAt "
+          "FROM (SELECT *, (event_id * 7919 % 1000) / 1000.0e0 AS s FROM transactions) t")
+def q_stored_table(spark, sf):
+    """Ingress, compaction, scoring (with a replay) and review on one stored table; its current rows."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    table = VersionedTable(spark, f"{root}/transactions")
+
+    def at(hour):
+        return F.lit(f"2024-02-01 0{hour}:00:00").cast("timestamp")
+
+    t = tx(spark, sf)
+    pending = t.withColumns({"status": F.lit("PENDING"), "fraud_score": F.lit(-1.0),
+                             "createdAt": F.col("createdAt").cast("timestamp"), "updatedAt": at(0)})
+    table.write_batch(pending, 0, "ingress")
+    table.compact()
+    score = (F.col("event_id") * 7919 % 1000) / 1000.0
+    scored = pending.filter("event_id % 2 = 0").withColumns({
+        "fraud_score": score, "status": F.when(score > 0.6, "FLAGGED").otherwise("CLEARED"),
+        "createdAt": at(1), "updatedAt": at(1)})
+    table.write_batch(scored, 0, "scoring")
+    table.write_batch(scored.withColumn("status", F.lit("REPLAYED")), 0, "scoring")
+    chosen = table.flagged().filter("event_id % 4 = 0").select("_id", F.lit("BLOCKED").alias("new_status"))
+    mu.store_review(table, chosen, "analyst_1", f"{root}/audit", 0, now=at(2))
+    return table.current()
+
+
 # -------------------------------------------------------------- sinks/json --
 
 PUB_COLS = ["_id", "userId", "amount", "lat", "lon", "distance_from_home", "repeat_retailer", "used_chip",
@@ -228,7 +291,7 @@ def q_counters(spark, sf):
     from txguard.operators.metrics import pipeline_counters
     m = va.validate_messages(fx(spark, sf)["messages"])
     valid = m.filter("valid").select("event_id", *va.STRING_FIELDS, *va.NUMBER_FIELDS, "timestamp")
-    scored = sc.score_rows(on.online_features(valid))
+    scored = sc.score_rows(on.online_features(valid), **fixtures.fixture_model())
     return pipeline_counters(scored, m.filter(~F.col("valid")))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txguard.functions.geo import haversine_km
+from txguard.schemas import FEATURE_COLS
 from txguard.sources.tables import read_table
 
 
@@ -108,6 +109,29 @@ def eval_gaps(scores: DataFrame) -> DataFrame:
         F.when(ev % 11 == 0, F.lit(None)).when(ev % 13 == 0, F.lit(float("nan"))).otherwise(F.col("mse")).alias("mse"))
 
 
+def fixture_model() -> dict:
+    """Made-up weights for queries and tests that need some model."""
+    from txguard.operators import scoring as sc
+    inputs = [f"x{i}" for i in range(len(FEATURE_COLS))]
+    return {"weights": sc.seeded_weights(), "supervised": sc.LinearProbe.seeded(inputs)}
+
+
+def ingress_requests(raw: DataFrame) -> DataFrame:
+    """Ingress rows as JSON requests; members are absent where NULL, some have the wrong type.
+
+    event_id % 103 = 0 -> numeric userId; % 107 = 0 -> amount as text; % 109 = 0 -> lat null; % 113 = 0 -> no JSON.
+    """
+    ev = F.col("event_id")
+    names = [c for c in raw.columns if c != "event_id"]
+    good = F.to_json(F.struct(*names))
+    user = F.to_json(F.struct(*[(ev if c == "userId" else F.col(c)).alias(c) for c in names]))
+    text = F.to_json(F.struct(*[(F.col(c).cast("string") if c == "amount" else F.col(c)).alias(c) for c in names]))
+    null = F.concat(F.lit('{"lat":null,'), F.substring(F.to_json(F.struct(*[c for c in names if c != "lat"])), F.lit(2), F.lit(10_000)))
+    value = (F.when(ev % 113 == 0, F.lit("{bad json")).when(ev % 109 == 0, null).when(ev % 107 == 0, text)
+             .when(ev % 103 == 0, user).otherwise(good))
+    return raw.select("event_id", value.alias("value"))
+
+
 def ingress_raw(tx: DataFrame) -> DataFrame:
     ev = F.col("event_id")
     return tx.select(

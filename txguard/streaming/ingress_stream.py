@@ -1,8 +1,9 @@
 """Ingress pipeline as a stream: validate -> defaults -> store PENDING -> publish.
 
-Rejected requests go to an error table with per-field messages.  Ids are
-derived from the request position and content, so replaying a micro-batch
-yields the same ids and overwrites its own output partitions.
+Rejected requests go to an error table with per-field messages.  An id comes
+from the request's position, micro-batch and row, so equal requests are stored
+as two, and a replayed micro-batch gives the same ids and finds its batch
+stored.
 """
 
 from __future__ import annotations
@@ -11,37 +12,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txguard.operators import mutations as mu
-from txguard.operators.validate import INGRESS_COLUMNS, validate_ingress
-from txguard.schemas import INGRESS_FIELDS
+from txguard.operators.validate import INGRESS_COLUMNS, request_errors
+from txguard.plans.fence import fence
 from txguard.sources.sinks import VersionedTable, append, write_json_messages
 
-REQUEST_SCHEMA = "userId string, amount double, lat double, lon double, distance_from_home double, " \
-                 "repeat_retailer double, used_chip double, used_pin_number double, online_order double"
-
 
 def parse_requests(raw: DataFrame) -> DataFrame:
-    r = raw.select("value", F.col("_metadata.file_path").alias("_src"),
-                   F.from_json("value", REQUEST_SCHEMA).alias("r"))
-    return r.select("value", "_src", *[F.col(f"r.{c}").alias(c) for c in INGRESS_FIELDS])
+    """``value``, typed request columns and ``errors`` (empty for a valid request)."""
+    r = fence(raw.withColumn("payload", F.try_parse_json("value")), ["payload"])
+    p = F.col("payload")
+    typed = {c: F.try_variant_get(p, f"$.{c}", "string" if c == "userId" else "double") for c in INGRESS_COLUMNS}
+    return r.withColumns({**typed, "errors": request_errors(p)}).drop("payload")
+
+
+def ingest(batch: DataFrame, batch_id: int, transactions: str, rejects: str, topic_dir: str) -> None:
+    """Store one micro-batch of ``value`` rows."""
+    placed = batch.select("value").withColumn("_row", F.monotonically_increasing_id())
+    req = parse_requests(placed).persist()
+    try:
+        valid = req.filter(F.size("errors") == 0).withColumn("_batch_no", F.lit(int(batch_id)))
+        stored = mu.with_defaults(valid, id_from=["_batch_no", "_row", "value"]).drop("value", "errors", "_row", "_batch_no")
+        VersionedTable(batch.sparkSession, transactions).write_batch(stored, batch_id, "ingress")
+        write_json_messages(mu.publish_json(stored.select("_id", *INGRESS_COLUMNS, "fraud_score", "status", "timestamp",
+                                                          "createdAt", "updatedAt")), topic_dir, batch_id)
+        append(req.filter(F.size("errors") > 0).select("value", "errors"), rejects, batch_id)
+    finally:
+        req.unpersist()
 
 
 def start_ingress(spark: SparkSession, source: str, transactions: str, rejects: str, topic_dir: str,
                   checkpoint: str, available_now: bool = False):
     raw = spark.readStream.format("text").load(source)
-    req = parse_requests(raw)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        valid, invalid = validate_ingress(batch, keep=["value", "_src"])
-        stored = mu.with_defaults(valid, id_from=["_src", "value"]).drop("value", "_src").persist()
-        try:
-            VersionedTable(batch.sparkSession, transactions).write_batch(stored, batch_id)
-            write_json_messages(mu.publish_json(stored.select("_id", *INGRESS_COLUMNS, "fraud_score", "status",
-                                                             "createdAt", "updatedAt")), topic_dir, batch_id)
-            append(invalid.select("value", "errors"), rejects, batch_id)
-        finally:
-            stored.unpersist()
-
-    w = req.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        ingest(batch, batch_id, transactions, rejects, topic_dir)
+
+    w = raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:
         w = w.trigger(availableNow=True)
     return w.start()

@@ -10,8 +10,8 @@ messages (Kafka or JSON text files)
 Every sink write is keyed by the micro-batch id (partition overwrite), so a
 batch replayed after a failure rewrites its own output instead of adding
 duplicates; the checkpoint holds offsets and state.  Transient write failures
-are retried with 1 s, 2 s, 4 s back-off; after that the batch fails and the
-query restarts from its checkpoint.
+are retried with 1 s, 2 s, 4 s back-off; after that the
+batch's records go to the dead letters and the stream goes on.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from txguard.operators import mutations as mu
 from txguard.operators import scoring as sc
+from txguard.operators.metrics import latency_histogram
+from txguard.operators.online import features_from_history
 from txguard.operators.validate import NUMBER_FIELDS, STRING_FIELDS, validate_messages
 from txguard.schemas import DEFAULT_THRESHOLD, EXPLAIN_UNAVAILABLE, HISTORY_CAP, MAX_RETRIES, SOURCE_TOPIC
 from txguard.sources.sinks import VersionedTable, append
@@ -50,8 +52,9 @@ def read_messages(spark: SparkSession, source: str, fmt: str = "text", max_files
 def stateful_features(valid: DataFrame, history: int = HISTORY_CAP) -> DataFrame:
     v = valid.withColumn("timestamp", F.coalesce(F.col("timestamp"), F.current_timestamp()))
     v = v.select(*STRING_FIELDS, *NUMBER_FIELDS, "timestamp")
-    return v.groupBy("userId").applyInPandasWithState(
+    rows = v.groupBy("userId").applyInPandasWithState(
         make_state_fn(history), output_schema(), STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    return features_from_history(rows)
 
 
 def with_retry(fn, retries: int = MAX_RETRIES, base_delay: float = 1.0):
@@ -72,23 +75,29 @@ class Tables:
     dlq: str
     threshold: str | None = None      # parquet dir with a ``threshold`` column (optional)
 
+    @property
+    def failed(self) -> str:
+        """Dead letters of batches that failed after the last retry."""
+        return f"{self.dlq.rstrip('/')}_failed"
+
 
 def read_threshold(spark: SparkSession, path: str | None) -> DataFrame:
-    cfg = None
+    """The threshold in force; the default only where none was ever written (a failed read is an error)."""
+    cfg = spark.createDataFrame([], "threshold double")
     if path:
-        try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
             cfg = spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - not configured yet
-            cfg = None
-    return sc.effective_threshold(cfg if cfg is not None else spark.createDataFrame([], "threshold double"),
-                                  DEFAULT_THRESHOLD)
+    return sc.effective_threshold(cfg, DEFAULT_THRESHOLD)
 
 
-def make_batch_writer(tables: Tables, scaler=None, weights=None, supervised=None, retry_delay: float = 1.0):
+def make_batch_writer(tables: Tables, scaler, weights, supervised, retry_delay: float = 1.0):
+    if weights is None or supervised is None:
+        raise ValueError("the scoring stream needs a trained model")
     tx_cols = ["_id", "userId", "amount", "timestamp", "lat", "lon", "distance_from_home", "repeat_retailer",
                "used_chip", "used_pin_number", "online_order", "fraud_score", "status", "reasoning"]
 
-    def write(batch: DataFrame, batch_id: int) -> None:
+    def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         t0 = time.time()
         thr = read_threshold(spark, tables.threshold)                  # live threshold (T8)
@@ -99,19 +108,27 @@ def make_batch_writer(tables: Tables, scaler=None, weights=None, supervised=None
         scored = scored.persist()
         try:
             now = F.current_timestamp()
+            # readers keep the earliest createdAt of a key, so a row that ingress stored first keeps its own
             txs = scored.select(*tx_cols).withColumns({"createdAt": now, "updatedAt": now})
-            with_retry(lambda: VersionedTable(spark, tables.transactions).write_batch(txs, batch_id),
-                       base_delay=retry_delay)
-            with_retry(lambda: append(mu.alerts_from(scored), tables.alerts, batch_id), base_delay=retry_delay)
+            VersionedTable(spark, tables.transactions).write_batch(txs, batch_id, "scoring")
+            append(mu.alerts_from(scored), tables.alerts, batch_id)
             counts = scored.agg(F.count(F.lit(1)).alias("processed"),
                                 F.count(F.when(flagged, 1)).alias("flagged"),
                                 F.count(F.when(F.col("model_failed"), 1)).alias("model_errors"))
             counts = counts.withColumns({"batch_id": F.lit(batch_id).cast("bigint"),
                                          "seconds": F.lit(time.time() - t0)})
-            with_retry(lambda: append(counts, tables.counters, batch_id), base_delay=retry_delay)
+            append(counts, tables.counters, batch_id)
         finally:
             scored.unpersist()
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        try:
+            with_retry(lambda: store(batch, batch_id), base_delay=retry_delay)
+        except Exception as e:  # noqa: BLE001 - after the last retry the records go to the dead letters
+            rows = batch.select(F.to_json(F.struct(*STRING_FIELDS, *NUMBER_FIELDS, "timestamp")).alias("value"))
+            failed = rows.withColumns({"error_message": F.lit(str(e)[:500]), "retry_count": F.lit(MAX_RETRIES)})
+            append(mu.dead_letters(failed).select("envelope", "dlq_topic"), tables.failed, batch_id)
+
     return write
 
 
@@ -130,7 +147,7 @@ class ScoringJob:
 
 
 def start_scoring(spark: SparkSession, source: str, tables: Tables, checkpoint: str, fmt: str = "text",
-                  history: int = HISTORY_CAP, scaler=None, weights=None, supervised=None,
+                  history: int = HISTORY_CAP, *, weights, supervised, scaler=None,
                   available_now: bool = False, max_files: int | None = None) -> ScoringJob:
     msgs = validate_messages(read_messages(spark, source, fmt, max_files))
     feats = stateful_features(msgs.filter("valid"), history)
@@ -152,3 +169,8 @@ def stream_counters(spark: SparkSession, tables: Tables) -> DataFrame:
         F.sum("model_errors").alias("model_errors"))
     d = spark.read.parquet(tables.dlq).agg(F.count(F.lit(1)).alias("dlq"))
     return c.crossJoin(d)
+
+
+def stream_latency(spark: SparkSession, tables: Tables) -> DataFrame:
+    """A14 over the sinks: histogram of the seconds each micro-batch took."""
+    return latency_histogram(spark.read.parquet(tables.counters), "seconds")

@@ -1,23 +1,22 @@
 """Per-user bounded history as keyed streaming state (applyInPandasWithState).
 
-State per userId: the newest HISTORY_CAP {amount, lat, lon}, newest first.
-Each input record is scored against the history as it was before the record
-and then pushed onto it, so one output row is emitted per input row.  The
-group's rows arrive as a stream of Arrow batches; memory is bounded by the
-history cap plus one batch.
+State per userId: the newest HISTORY_CAP {amount, lat, lon}, newest first.  The
+rows of a user in a micro-batch are put in (time, id) order over all Arrow
+batches before anything is computed, so a user with more rows than one Arrow
+batch gets the history the replay gives.  The state function returns only what
+needs the history - previous location, median, rolling statistics - computed
+for all rows at once; everything else is the replay's own row-local columns.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import types as T
 
-from txguard.schemas import (FEATURE_COLS, HIGH_DISTANCE_KM, HIGH_RATIO, HISTORY_CAP, PLACEHOLDER_FEATURE,
-                             RATIO_CAP, ZSCORE_EPS)
+from txguard.schemas import HISTORY_CAP
 
 STATE_SCHEMA = T.StructType([
     T.StructField("amounts", T.ArrayType(T.DoubleType())),
@@ -25,105 +24,59 @@ STATE_SCHEMA = T.StructType([
     T.StructField("lons", T.ArrayType(T.DoubleType())),
 ])
 
-INPUT_COLS = ["_id", "userId", "amount", "lat", "lon", "distance_from_home", "repeat_retailer", "used_chip",
-              "used_pin_number", "online_order", "timestamp"]
+INPUT_NUMBERS = ["amount", "lat", "lon", "distance_from_home", "repeat_retailer", "used_chip", "used_pin_number",
+                 "online_order"]
+ROLLING = (10, 50)
+CHUNK = 10_000      # rows whose windows are laid out at once
 
 
-def output_schema(extra: list[T.StructField] | None = None) -> T.StructType:
-    fields = [T.StructField("_id", T.StringType()), T.StructField("userId", T.StringType())]
-    fields += [T.StructField(c, T.DoubleType()) for c in
-               ["amount", "lat", "lon", "distance_from_home", "repeat_retailer", "used_chip",
-                "used_pin_number", "online_order"]]
+def output_schema() -> T.StructType:
+    """Input columns plus the history columns of the online replay."""
+    fields = [T.StructField(c, T.StringType()) for c in ("_id", "userId")]
+    fields += [T.StructField(c, T.DoubleType()) for c in INPUT_NUMBERS]
     fields += [T.StructField("timestamp", T.TimestampType())]
-    fields += [T.StructField(c, T.DoubleType()) for c in FEATURE_COLS if c not in
-               ("distance_from_home", "repeat_retailer", "used_chip", "used_pin_number", "online_order")]
-    return T.StructType(fields + (extra or []))
-
-
-def _haversine_atan2(lat1, lon1, lat2, lon2):
-    r = math.radians
-    a = (math.sin(r(lat2 - lat1) / 2) ** 2
-         + math.cos(r(lat1)) * math.cos(r(lat2)) * math.sin(r(lon2 - lon1) / 2) ** 2)
-    return 6371.0 * 2 * math.atan2(math.sqrt(a), math.sqrt(1 - a))
-
-
-def _std(a: np.ndarray) -> float:
-    return float(np.std(a, ddof=1)) if len(a) > 1 else 0.0
-
-
-def record_features(rec: dict, amounts: list, lats: list, lons: list) -> dict:
-    """29 features of one record given the history before it (newest first)."""
-    amt = rec["amount"]
-    if amounts:
-        dlast = _haversine_atan2(rec["lat"], rec["lon"], lats[0], lons[0])
-    else:
-        dlast = 0.0
-    hist = np.asarray([amt] + amounts, dtype="float64")
-    med = float(np.median(hist))
-    if med > 0:
-        ratio = amt / med
-    elif amt > 0:
-        ratio = amt
-    else:
-        ratio = 1.0
-    if ratio > RATIO_CAP:
-        ratio = RATIO_CAP
-    l10, l50 = hist[:10], hist[:50]
-    m10, m50 = float(l10.mean()), float(l50.mean())
-    s10, s50 = _std(l10), _std(l50)
-    ts = rec["timestamp"]
-    hour = ts.hour
-    dow = (ts.dayofweek + 1) % 7        # Sunday = 0 on the online path
-    two_pi = 2.0 * math.pi
-    flag = lambda c: 1.0 if c else 0.0
-    return {
-        "distance_from_last_transaction": dlast,
-        "ratio_to_median_purchase_price": ratio,
-        "ratio_zscore": PLACEHOLDER_FEATURE,
-        "ratio_log": math.log(ratio + 1) if ratio + 1 > 0 else float("nan"),
-        "ratio_squared": ratio * ratio,
-        "ratio_sqrt": math.sqrt(ratio) if ratio >= 0 else float("nan"),
-        "distance_ratio": PLACEHOLDER_FEATURE,
-        "distance_sum": rec["distance_from_home"] + dlast,
-        "chip_and_pin": flag(rec["used_chip"] == 1 and rec["used_pin_number"] == 1),
-        "online_and_repeat": flag(rec["online_order"] == 1 and rec["repeat_retailer"] == 1),
-        "high_ratio_flag": flag(ratio > HIGH_RATIO),
-        "high_distance_flag": flag(dlast > HIGH_DISTANCE_KM),
-        "rolling_ratio_mean_10": m10, "rolling_ratio_std_10": s10,
-        "rolling_ratio_mean_50": m50, "rolling_ratio_std_50": s50,
-        "time_of_day_sin": math.sin(hour * (two_pi / 24)),
-        "time_of_day_cos": math.cos(hour * (two_pi / 24)),
-        "day_of_week_sin": math.sin(dow * (two_pi / 7)),
-        "day_of_week_cos": math.cos(dow * (two_pi / 7)),
-        "amt_log": math.log(amt + 1) if amt + 1 > 0 else float("nan"),
-        "is_weekend": flag(dow in (0, 6)),
-        "amt_zscore_10": (amt - m10) / (s10 + ZSCORE_EPS),
-        "amt_zscore_50": (amt - m50) / (s50 + ZSCORE_EPS),
-    }
+    fields += [T.StructField(c, T.DoubleType()) for c in ("_prev_lat", "_prev_lon")]
+    fields += [T.StructField("_has_prev", T.BooleanType()), T.StructField("median_purchase_price", T.DoubleType())]
+    fields += [T.StructField(f"rolling_ratio_{k}_{n}", T.DoubleType()) for n in ROLLING for k in ("mean", "std")]
+    return T.StructType(fields)
+
+
+def history_columns(new: np.ndarray, before: np.ndarray, history: int) -> dict[str, np.ndarray]:
+    """Statistics of each new amount with the ones before it; ``before`` is oldest first."""
+    width = max(history + 1, *ROLLING)
+    line = np.concatenate([np.full(width - 1, np.nan), before, new])
+    windows = np.lib.stride_tricks.sliding_window_view(line, width)[len(before):]
+    out = {"median_purchase_price": np.nanmedian(windows[:, -(history + 1):], axis=1)}
+    for n in ROLLING:
+        last = windows[:, -n:]
+        known = np.sum(~np.isnan(last), axis=1)
+        out[f"rolling_ratio_mean_{n}"] = np.nanmean(last, axis=1)
+        spread = np.nansum((last - out[f"rolling_ratio_mean_{n}"][:, None]) ** 2, axis=1)
+        out[f"rolling_ratio_std_{n}"] = np.sqrt(spread / np.maximum(known - 1, 1))
+    return out
 
 
 def make_state_fn(history: int = HISTORY_CAP):
-    out_cols = [f.name for f in output_schema().fields]
+    cols = [f.name for f in output_schema().fields]
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            amounts, lats, lons = (list(x) for x in state.get)
-        else:
-            amounts, lats, lons = [], [], []
-        for pdf in pdfs:
-            if pdf.empty:
-                continue
-            pdf = pdf.sort_values(["timestamp", "_id"], kind="mergesort")
-            rows = []
-            for rec in pdf.to_dict("records"):
-                rec["timestamp"] = pd.Timestamp(rec["timestamp"])
-                f = record_features(rec, amounts, lats, lons)
-                rows.append({**rec, **f})
-                amounts.insert(0, rec["amount"])
-                lats.insert(0, rec["lat"])
-                lons.insert(0, rec["lon"])
-                del amounts[history:], lats[history:], lons[history:]
-            yield pd.DataFrame(rows)[out_cols]
-        state.update((amounts, lats, lons))
+        old = [np.array(list(x)[::-1], dtype="float64") for x in state.get] if state.exists else [np.empty(0)] * 3
+        rows = [p for p in pdfs if not p.empty]
+        if not rows:
+            return
+        pdf = pd.concat(rows, ignore_index=True).sort_values(["timestamp", "_id"], kind="mergesort", ignore_index=True)
+        line = [np.concatenate([o, pdf[c].to_numpy("float64")]) for o, c in zip(old, ("amount", "lat", "lon"))]
+        seen = len(old[0])
+        has_prev = np.arange(len(pdf)) + seen > 0
+        for lo in range(0, len(pdf), CHUNK):
+            part = pdf.iloc[lo:lo + CHUNK].copy()
+            a, b = seen + lo, seen + lo + len(part)
+            for name, values in history_columns(line[0][a:b], line[0][max(0, a - max(history, 49)):a], history).items():
+                part[name] = values
+            part["_has_prev"] = has_prev[lo:lo + len(part)]
+            for name, values in (("_prev_lat", line[1]), ("_prev_lon", line[2])):
+                part[name] = np.concatenate([[np.nan], values])[a:b]
+            yield part[cols]
+        state.update(tuple(x[::-1][:history].tolist() for x in line))
 
     return fn
