@@ -13,7 +13,8 @@ from txguard.llm.langid import predict, train
 from txguard.llm.license_scan import scan_licenses
 from txguard.llm.line_dedup import line_dedup
 from txguard.llm.packing import pack_documents
-from txguard.llm.quality import quality_rules
+from txguard.llm.quality import (BOILERPLATE, END_MARKS, MAX_LOST_PERCENT, MAX_REPEAT_PERCENT, MIN_WORDS, NAVIGATION_WORDS,
+                                 quality_rules)
 from txguard.llm.substring_dedup import repeated_substrings
 from txguard.llm.token_files import read_tokens, write_tokens
 from txguard.llm.url_filter import judge_urls
@@ -75,7 +76,37 @@ def op5_license_scans(spark, sf_dir):
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
-@query("op4_quality_rules")
+_PHRASES = " OR ".join(f"contains(lower(l), '{p}')" for p in BOILERPLATE)
+_MARKS = ", ".join("'" + c.replace("'", "''") + "'" for c in END_MARKS)
+
+
+@query("op4_quality_rules", rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, i, array_to_string(w[i:i + 2], ' ') AS s
+        FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+again AS (SELECT r, s FROM win GROUP BY r, s HAVING count(*) > 1),
+cover AS (SELECT r, count(DISTINCT i + k) AS n FROM win JOIN again USING (r, s), range(0, 3) AS x(k) GROUP BY r),
+line AS (SELECT r, l, regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g') AS s
+         FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+judged AS (SELECT r, l, s, 10 * len(regexp_extract_all(s, '[#*$%&|<>]')) > length(s)
+           OR CASE WHEN len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) > {NAVIGATION_WORDS} THEN right(s, 1) NOT IN ({_MARKS})
+                   ELSE len(regexp_extract_all(s, '[|»›·•>]')) >= 2 END
+           OR {_PHRASES} AS fails FROM line),
+lines AS (SELECT r, count(*) - count(DISTINCT l) AS dup, coalesce(sum(length(s)) FILTER (WHERE fails), 0) AS lost
+          FROM judged GROUP BY r),
+c AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+             len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines,
+             coalesce(n, 0) AS n_repeat_words, coalesce(lost, 0) AS lost
+      FROM d LEFT JOIN cover USING (r) LEFT JOIN lines USING (r))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+       CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+       n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+       NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words)
+           AND 100 * lost <= {MAX_LOST_PERCENT} * word_chars AS kept
+FROM c
+""")
 def op4_quality_rules(spark, sf_dir):
     return quality_rules(_table(spark, sf_dir, "documents"), with_text=False)
 
