@@ -2,14 +2,14 @@
 
 Per epoch, one job: every partition starts from the broadcast weights, runs
 mini-batch Adam over its rows (streamed as Arrow batches, so memory is one
-batch), and returns its weights and loss sums — one row per partition.  The
-driver averages the P weight vectors by row count (P x 1,253 numbers, bounded
-by the partition count, not the data).  Validation loss is an aggregate over
-the validation rows using the JVM forward pass.
+batch), and returns its weights and loss sums.  They are averaged by row count
+in the JVM, one sum per weight, so 1,255 numbers reach the driver whatever the
+partition count.  Validation loss is one aggregate over the validation rows.
 
 The training frame is written once to the session's checkpoint folder, so
 every epoch re-reads a materialised table (lineage cut; survives executor
-loss) instead of recomputing features.
+loss) instead of recomputing features; it is deleted after the fit.  Rows with
+a missing feature cannot be trained on; they are left out and counted.
 """
 
 from __future__ import annotations
@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txguard.schemas import AE_LAYERS
+from txguard.session import ensure_checkpoint_dir
 
 
 def hash_split(df: DataFrame, key: str, seed: int = 42, train_pct: int = 80) -> tuple[DataFrame, DataFrame]:
-    """Seeded split by key hash: stable under any repartitioning or retry."""
-    b = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100))
+    """Seeded split by key hash: stable under any repartitioning or retry, and the same in other engines."""
+    text = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    b = F.conv(F.substring(text, 1, 8), 16, 10).cast("bigint") % 100
     return df.filter(b < train_pct), df.filter(b >= train_pct)
 
 
@@ -112,7 +114,7 @@ def _epoch_fn(flat_bc, cols, batch_size, lr, seed, epoch, layers):
         ws = unflatten(np.asarray(flat_bc.value), layers)
         opt = Adam(ws, lr)
         rng = np.random.default_rng([seed, epoch, pid])
-        n, loss_sum, steps = 0, 0.0, 0
+        n, loss_sum = 0, 0.0
         for pdf in it:
             if pdf.empty:
                 continue
@@ -123,12 +125,11 @@ def _epoch_fn(flat_bc, cols, batch_size, lr, seed, epoch, layers):
                 loss, gs = grads(ws, xb)
                 ws = opt.step(ws, gs)
                 loss_sum += loss * len(xb)
-                steps += 1
             n += len(X)
         if n == 0:
             return
-        yield pd.DataFrame({"n": [n], "loss_sum": [loss_sum], "steps": [steps],
-                            "weights": [flatten(ws).tolist()]})
+        # weights times rows, then the rows and the loss sum: adding these up gives all an epoch needs
+        yield pd.DataFrame({"sums": [[*(flatten(ws) * n).tolist(), float(n), loss_sum]]})
     return run
 
 
@@ -136,21 +137,23 @@ def _epoch_fn(flat_bc, cols, batch_size, lr, seed, epoch, layers):
 class FitResult:
     weights: list
     history: list = field(default_factory=list)     # (epoch, train_loss, val_loss)
+    dropped: int = 0                                # rows left out for a missing feature
 
     def losses_frame(self, spark) -> DataFrame:
         return spark.createDataFrame(self.history, "epoch int, train_loss double, val_loss double")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under the session checkpoint folder and read it back."""
+def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` under the session checkpoint folder and read it back; also the path, for ``discard``."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        from txguard.session import ensure_checkpoint_dir
-        base = ensure_checkpoint_dir(spark)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def discard(spark, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _sse_fn(flat_bc, cols, layers):
@@ -171,39 +174,45 @@ def val_loss(val: DataFrame, weights, cols, layers=AE_LAYERS) -> float:
     """Mean squared reconstruction error over all validation cells."""
     spark = val.sparkSession
     bc = spark.sparkContext.broadcast(flatten(weights).tolist())
-    parts = val.mapInPandas(_sse_fn(bc, cols, layers), "n long, sse double").collect()
+    row = (val.mapInPandas(_sse_fn(bc, cols, layers), "n long, sse double")
+           .agg(F.sum("n").alias("n"), F.sum("sse").alias("sse")).first())
     bc.unpersist()
-    n = sum(p["n"] for p in parts)
-    return sum(p["sse"] for p in parts) / n if n else float("nan")
+    return row["sse"] / row["n"] if row["n"] else float("nan")
 
 
 def fit_autoencoder(train: DataFrame, cols: list[str], val: DataFrame | None = None, epochs: int = 15,
                     batch_size: int = 256, lr: float = 1e-3, seed: int = 42, keep: str = "last",
-                    layers=AE_LAYERS, materialize_input: bool = True) -> FitResult:
+                    layers=AE_LAYERS) -> FitResult:
     """Train on scaled feature columns ``cols``; keep='last' (parity) or 'best'."""
     spark = train.sparkSession
-    data = train.select(*[F.col(c).cast("double") for c in cols]).na.drop()
+    numbers = [F.col(c).cast("double").alias(c) for c in cols]
+    data, path = materialize(train.select(*numbers), "ae-train")
+    paths = [path]
     if val is not None:
-        val = val.select(*[F.col(c).cast("double") for c in cols]).na.drop()
-    if materialize_input:
-        data = materialize(data, "ae-train")
-        val = materialize(val, "ae-val") if val is not None else None
+        val, path = materialize(val.select(*numbers), "ae-val")
+        paths.append(path)
+        val = val.na.drop()
     ws = init_weights(seed, layers)
     best, best_loss = ws, float("inf")
-    res = FitResult(ws)
-    schema = "n long, loss_sum double, steps long, weights array<double>"
+    missing = F.greatest(*[(F.col(c).isNull() | F.isnan(c)).cast("int") for c in cols])
+    res = FitResult(ws, dropped=data.filter(missing == 1).count())
+    data = data.na.drop()
     for epoch in range(epochs):
         bc = spark.sparkContext.broadcast(flatten(ws).tolist())
-        parts = data.mapInPandas(_epoch_fn(bc, cols, batch_size, lr, seed, epoch, layers), schema).collect()
+        sums = (data.mapInPandas(_epoch_fn(bc, cols, batch_size, lr, seed, epoch, layers), "sums array<double>")
+                .select(F.posexplode("sums").alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("x")))
+        found = dict(sums.collect())           # one number per weight
         bc.unpersist()
-        total = sum(p["n"] for p in parts)
-        avg = sum(np.asarray(p["weights"]) * p["n"] for p in parts) / total
-        ws = unflatten(avg, layers)
-        train_loss = sum(p["loss_sum"] for p in parts) / total
+        if not found:
+            raise ValueError("no row to train on")
+        *weights, total, loss_sum = (found[k] for k in range(len(found)))
+        ws = unflatten(np.asarray(weights) / total, layers)
         vl = val_loss(val, ws, cols) if val is not None else float("nan")
-        res.history.append((epoch + 1, float(train_loss), vl))
+        res.history.append((epoch + 1, loss_sum / total, vl))
         if val is not None and vl < best_loss:
             best, best_loss = ws, vl
+    for path in paths:
+        discard(spark, path)
     res.weights = best if keep == "best" and val is not None else ws
     return res
 
@@ -229,3 +238,12 @@ def weights_from_frame(df: DataFrame) -> list:
         v = np.asarray(r["values"])
         out.setdefault(r["layer"], {})[r["kind"]] = v.reshape(r["n_in"], r["n_out"]) if r["kind"] == "W" else v
     return [(out[l]["W"], out[l]["b"]) for l in sorted(out)]
+
+
+def save_weights(spark, weights, path: str) -> None:
+    """The model as a table, one row per layer and kind."""
+    weights_frame(spark, weights).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_weights(spark, path: str) -> list:
+    return as_lists(weights_from_frame(spark.read.parquet(path)))

@@ -93,3 +93,12 @@ def retrain(tx: DataFrame, scaler: Scaler, min_rows: int = MIN_RETRAIN_ROWS, epo
         return None
     scaled = scale_features(retrain_features(src), scaler)
     return fit_autoencoder(scaled, XS, None, epochs, batch_size, lr, seed)
+
+
+def save_supervised(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_supervised(path: str):
+    from pyspark.ml import PipelineModel
+    return PipelineModel.load(path)

@@ -1,5 +1,5 @@
-"""Learning-job registrations (M1-M8).  Iterative training has no SQL oracle;
-the evaluation pipeline with fixed weights does."""
+"""Learning-job registrations (M1-M8).  Fits are compared by facts that do not
+depend on an engine's arithmetic; the evaluation pipeline has fixed weights."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from txguard.learning import jobs
 from txguard.learning.autoencoder import hash_split
+from txguard.operators import evaluate as ev
 from txguard.operators import scoring as sc
 from txguard.operators.features import engineer_features
 from txguard.plans.q_eval import _r  # noqa: F401
@@ -21,8 +22,9 @@ def cards(spark, sf):
     return fixtures.card_tx(read_table(spark, sf, "events"))
 
 
-# xxhash64 is Spark's own hash; the split has no DuckDB twin, so this key is rows-only.
-@register("train_split", "event_id:i, part:s", None)
+@register("train_split", "event_id:i, part:s",
+          "SELECT event_id, CASE WHEN CAST('0x' || substr(md5('42:' || CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 80 "
+          "THEN 'train' ELSE 'val' END AS part FROM card_tx")
 def q_split(spark, sf):
     c = cards(spark, sf)
     tr, va = hash_split(c, "event_id")
@@ -30,27 +32,38 @@ def q_split(spark, sf):
         va.select("event_id", F.lit("val").alias("part")))
 
 
-@register("autoencoder_fit", "epoch:i, train_loss:d, val_loss:d", None)
+def _facts(spark, history, val: bool):
+    """Facts of a fit that hold whatever the arithmetic of the engine: epochs run, and whether losses fell."""
+    first, last = history[0], history[-1]
+    return spark.createDataFrame([(len(history), last[1] < first[1], last[2] < first[2] if val else None)],
+                                 "epochs int, train_fell boolean, val_fell boolean")
+
+
+@register("autoencoder_fit", "epochs:i, train_fell:b, val_fell:b", "SELECT 15 AS epochs, true AS train_fell, true AS val_fell")
 def q_fit(spark, sf):
-    scaler, res = jobs.training_job(cards(spark, sf))
-    return res.losses_frame(spark)
+    _, res = jobs.training_job(cards(spark, sf))
+    return _facts(spark, res.history, True)
 
 
-@register("supervised_fit", "event_id:i, is_fraud:i, p_fraud:d", None)
+@register("supervised_fit", "n:i, in_range:b, ranks:b",
+          "SELECT count(*) AS n, true AS in_range, true AS ranks FROM card_tx")
 def q_supervised(spark, sf):
+    """Rows scored, probabilities within 0 and 1, and an AUC above 0.8 on the training rows."""
     feats = engineer_features(cards(spark, sf))
     model = jobs.fit_supervised(feats)
-    out = sc.supervised_probability(feats, model, "p_fraud")
-    return out.select("event_id", "is_fraud", "p_fraud")
+    out = sc.supervised_probability(feats, model, "p_fraud").select(F.col("is_fraud").alias("y_true"), "p_fraud")
+    ranked = ev.auc(out, score="p_fraud").select((F.col("roc_auc") > 0.8).alias("ranks"))
+    return out.agg(F.count(F.lit(1)).alias("n"), F.min(F.col("p_fraud").between(0, 1)).alias("in_range")).crossJoin(ranked)
 
 
-@register("retrain_fit", "epoch:i, train_loss:d, val_loss:d", None)
+@register("retrain_fit", "epochs:i, train_fell:b",
+          "SELECT 5 AS epochs, true AS train_fell FROM transactions WHERE status = 'CLEARED' HAVING count(*) >= 100")
 def q_retrain(spark, sf):
     tx = fixtures.transactions(cards(spark, sf))
     res = jobs.retrain(tx, sc.Scaler.reference())
     if res is None:
-        return spark.createDataFrame([], "epoch int, train_loss double, val_loss double")
-    return res.losses_frame(spark)
+        return spark.createDataFrame([], "epochs int, train_fell boolean")
+    return _facts(spark, res.history, False)
 
 
 EVAL_CM = ("SELECT count(*) FILTER (WHERE is_fraud <> 1 AND NOT mse > 1.5) AS tn, "
