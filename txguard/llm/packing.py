@@ -39,8 +39,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: in
     for batch in batches:
         for part in byte_pieces(batch, "text"):
             owner, rows = [], []
-            texts = [t or "" for t in part.column(1).to_pylist()]
-            for d, ids in enumerate(encode(texts)):
+            for d, ids in enumerate(encode(part.column(1))):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 edges = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(edges, edges[1:])):

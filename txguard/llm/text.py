@@ -44,18 +44,23 @@ def pieces(batch: pa.RecordBatch, col: str, limit: int = PIECE_BYTES) -> Iterato
         lo = hi
 
 
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts and where each starts (and the last ends); null is empty."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    raw = texts.buffers()[2]
+    buf = np.frombuffer(raw, dtype=np.uint8)[offsets[0]:offsets[-1]] if raw is not None else np.empty(0, np.uint8)
+    return buf, offsets - offsets[0]
+
+
 class Words:
     """All words of an Arrow string array: ``start``/``end`` bytes, ``first[d]`` the first word of text d."""
 
     def __init__(self, texts: pa.Array, lower: bool = False):
-        texts = pc.fill_null(texts, "").cast(pa.large_string())
-        offs = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
-        raw = texts.buffers()[2]
-        buf = np.frombuffer(raw, dtype=np.uint8)[offs[0]:offs[-1]] if raw is not None else np.empty(0, np.uint8)
+        buf, self.offsets = text_bytes(texts)
         if lower:
             buf = buf | (((buf >= 65) & (buf <= 90)).astype(np.uint8) << 5)
         self.buf = buf
-        self.offsets = offs - offs[0]
         inside = ~((buf == 32) | ((buf >= 9) & (buf <= 13)))
         cut = np.zeros(len(buf) + 1, dtype=bool)          # a text starts (or the buffer ends) here
         cut[self.offsets] = True

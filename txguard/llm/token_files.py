@@ -38,9 +38,20 @@ BLOCK_SCHEMA = ("shard int, block int, first long, n_ids long, doc_ids array<{id
                 "ranked binary, control binary, data binary")
 
 
+def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids, each id's place among them, and their counts."""
+    if not len(ids) or ids.max() >= 1 << 24:
+        return np.unique(ids, return_inverse=True, return_counts=True)
+    n = np.bincount(ids)
+    distinct = np.flatnonzero(n)
+    place = np.zeros(len(n), np.uint32)
+    place[distinct] = np.arange(len(distinct), dtype=np.uint32)
+    return distinct, place[ids], n[distinct]
+
+
 def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """``ranked`` (ids by falling frequency), control bytes and data bytes of a block."""
-    distinct, back, n = np.unique(ids, return_inverse=True, return_counts=True)
+    distinct, back, n = _distinct(ids)
     order = np.lexsort((distinct, -n))
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
@@ -77,7 +88,7 @@ def _write_blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int, sch
     held = 0
     for batch in batches:
         for part in pieces(batch, "text"):
-            for doc, ids in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()])):
+            for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1))):
                 doc_ids.append(doc)
                 parts.append(np.append(ids, np.uint32(end_id)))
                 held += len(parts[-1])

@@ -1,52 +1,89 @@
 """Token ids of whole texts with a public byte-level BPE tokenizer.
 
-Such a tokenizer never joins characters across a space that stands between two
-non-blank characters, so a text is the concatenation of units (an optional
-space and what follows up to the next one) whose ids can be remembered.  Texts
-with a space beside other white space go to the library whole.
+Such a tokenizer cuts a text into pre-tokens before it merges anything, so ids
+of a text are those of its units one after the other, wherever units end at
+pre-token borders.  Three borders can be told from the bytes: before white
+space that follows something else, between an ASCII letter and another ASCII
+character, and between a single newline and an ASCII letter.  Units repeat far
+more than texts, and each distinct one is encoded once per batch and remembered
+by its hash.  Texts that hold a special token, or white space outside ASCII
+before ASCII white space, go to the library whole.
 """
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
 
 import numpy as np
+import pyarrow as pa
+
+from txguard.llm.text import span_hashes, text_bytes
 
 CACHE_UNITS = 1_000_000
-_BESIDE = re.compile(r" \s|\s ")
+#: White space outside ASCII, in UTF-8, before ASCII white space.
+_WIDE_SPACE = re.compile(rb"(?:\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)[\x09-\x0d\x20]")
 _READY: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Ids of texts as arrays; remembers at most ``CACHE_UNITS`` units per Python worker."""
+    """Ids of texts; remembers at most ``CACHE_UNITS`` units."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"      # a task has one core
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.seen: dict[str, bytes] = {}
+        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        self.seen: dict[int, bytes] = {}
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         found = self.tok.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        units = []
-        for t in texts:
-            if _BESIDE.search(t):
-                units.append([t])
-            else:
-                first, *rest = t.split(" ")
-                units.append([first, *[" " + p for p in rest]])
-        seen = self.seen
-        new = [u for u in {u for part in units for u in part} if u not in seen]
-        made = dict(zip(new, self._encode(new)))
-        if len(seen) < CACHE_UNITS:
-            seen.update((u, b) for u, b in made.items() if len(u) < 64)
-
-        def ids(u: str) -> bytes:
-            return seen[u] if u in seen else made[u]
-
-        return [np.frombuffer(b"".join(map(ids, part)), dtype="<u4") for part in units]
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _whole(self, raw: bytes, offsets: np.ndarray) -> set[int]:
+        """Texts to be encoded as one unit."""
+        at = [m.start() for m in _WIDE_SPACE.finditer(raw)] if any(c in raw for c in (b"\xc2", b"\xe1", b"\xe2", b"\xe3")) else []
+        for s in self.special:
+            if s in raw:
+                at += [m.start() for m in re.finditer(re.escape(s), raw)]
+        return {int(np.searchsorted(offsets, a, side="right")) - 1 for a in at}
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        buf, offsets = text_bytes(texts)
+        raw = buf.tobytes()
+        white = (buf == 32) | ((buf >= 9) & (buf <= 13))
+        lower = buf | 32
+        letter = (lower >= 97) & (lower <= 122) & (buf < 128)
+        cut = np.zeros(len(buf) + 1, bool)
+        if len(buf):
+            cut[1:-1] = white[1:] & ~white[:-1]
+            cut[1:-1] |= letter[:-1] & ~letter[1:] & (buf[1:] < 128)
+            cut[2:-1] |= letter[2:] & (buf[1:-1] == 10) & ~white[:-2]
+        for d in self._whole(raw, offsets):
+            cut[offsets[d]:offsets[d + 1]] = False
+        cut[offsets] = True
+        start = np.flatnonzero(cut[:-1])
+        end = np.append(start[1:], len(buf))
+        key, first, back = np.unique(span_hashes(buf, start, end), return_index=True, return_inverse=True)
+        keys = key.tolist()
+        parts = list(map(self.seen.get, keys))
+        new = [k for k, p in enumerate(parts) if p is None]
+        if new:
+            made = self._encode([raw[start[first[k]]:end[first[k]]].decode() for k in new])
+            for k, b in zip(new, made):
+                parts[k] = b
+            if len(self.seen) < CACHE_UNITS:
+                self.seen.update((keys[k], b) for k, b in zip(new, made) if len(b) <= 64)
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        flat = np.frombuffer(b"".join(parts), "<u4")
+        n = size[back]
+        stop = np.cumsum(n)
+        # each unit's place in ``flat`` less its place in the output, once per id
+        shift = ((np.cumsum(size) - size)[back] - (stop - n)).astype(np.int32)
+        ids = flat[np.repeat(shift, n) + np.arange(stop[-1] if len(stop) else 0, dtype=np.int32)]
+        edge = np.concatenate([[0], stop])[np.searchsorted(start, offsets)]
+        return [ids[a:b] for a, b in zip(edge, edge[1:])]
 
 
 def encoder(path: str) -> Encoder:
