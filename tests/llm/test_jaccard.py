@@ -117,3 +117,16 @@ def test_dedup_keeps_one_of_each_group(spark):
         groups.setdefault(c if n else ("none", d), []).append(d)
     got = jaccard_dedup(spark, spark.createDataFrame(rows, DOCS))
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(min(g) for g in groups.values())
+
+
+def test_sketch_never_rules_out_a_link():
+    from txguard.llm.jaccard_join import differences, parity
+    rng = np.random.default_rng(4)
+    for size in (10, 50, 300, 3000):
+        a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        for drop in range(0, size // 5, max(1, size // 40)):
+            b = np.unique(np.concatenate([a[drop:], rng.integers(0, 2**63, drop // 2).astype(np.uint64)]))
+            far = int(np.bitwise_count((parity(a) ^ parity(b)).view(np.uint64)).sum())
+            assert far <= len(np.setxor1d(a, b))
+            if linked(a, b):
+                assert far <= differences(len(a), len(b))
