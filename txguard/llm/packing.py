@@ -152,7 +152,8 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, piece int, start long, length long, ids_crc32 long"
-    cut = rows.mapInArrow(lambda it: _cut(it, tokenizer, end_id, capacity), schema)
+    # written before the range sort, which reads its input twice
+    cut = scratch.write(rows.mapInArrow(lambda it: _cut(it, tokenizer, end_id, capacity), schema))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["length", "id", "ids_crc32"]
     ranged = scratch.write(cut.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()))
