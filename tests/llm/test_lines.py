@@ -1,3 +1,5 @@
+import random
+
 from tests.llm.helpers import DOCS, edge_docs, edge_rows, empty_docs
 from txguard.llm.line_dedup import line_dedup
 
@@ -29,3 +31,34 @@ def test_null_site_is_a_site(spark):
     rows = [(i, f"a{i}\nmenu\nb{i}", "en", s, 1) for i, s in enumerate([None, "a", "b", "c", "d"] * 4)]
     got = line_dedup(spark, spark.createDataFrame(rows, DOCS)).collect()
     assert {r["n_removed"] for r in got} == {1}
+
+
+def test_blocks_go_and_copies_do_not_dilute(spark):
+    menu, foot = ["Home", "About us", "Contact"], ["All rights kept", "Printed here"]
+    rows = [(i, "\n".join([*menu, f"Own first {i}.", f"Own last {i}.", *foot]), "en", f"s{i % 7}", 1) for i in range(40)]
+    copy = "A story that is told.\nShared with others\nAnd here it ends."
+    rows += [(100 + i, copy, "en", f"s{i % 7}", 1) for i in range(1000)]
+    rows += [(2000 + i, f"Before {i}.\nShared with others\nAfter {i}.", "en", f"s{i % 7}", 1) for i in range(10)]
+    got = {r["doc_id"]: r for r in line_dedup(spark, spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[3]["text"] == "Own first 3.\nOwn last 3." and got[3]["n_removed"] == 5
+    assert got[2003]["text"] == "Before 3.\nAfter 3."
+    assert {got[100 + i]["text"] for i in range(1000)} == {"A story that is told.\nAnd here it ends."}
+
+
+def test_lines_and_documents_against_brute_force(spark):
+    rng = random.Random(5)
+    blocks = [[f"block {b} line {k}" for k in range(rng.randint(1, 4))] for b in range(12)]
+    rows = []
+    for i in range(150):
+        own = [f"own {i} {k}" for k in range(rng.randint(0, 3))]
+        rows.append((i, "\n".join([*rng.choice(blocks), *own, *rng.choice(blocks)]), "en", rng.choice([None, *"abcdef"]), 1))
+    rows += [(200 + i, rows[i % 5][1], "en", rng.choice("abcdef"), 1) for i in range(60)]
+    sites, texts = {}, {}
+    for _, t, _, s, _ in rows:
+        for x in t.split("\n"):
+            sites.setdefault(x, set()).add(s)
+            texts.setdefault(x, set()).add(frozenset(t.split("\n")))
+    bad = {x for x in sites if len(sites[x]) >= 5 and len(texts[x]) >= 5}
+    want = {r[0]: "\n".join(x for x in r[1].split("\n") if x not in bad) for r in rows}
+    got = {r["doc_id"]: r["text"] for r in line_dedup(spark, spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == want and 0 < len(bad) < len(sites)

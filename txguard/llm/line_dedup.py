@@ -1,12 +1,16 @@
 """Line dedup: remove lines that spread over many sites.
 
 Lines are known by their hash.  Per line hash, HyperLogLog sketches of the
-sites and of the neighbouring lines merge by aggregation; lines whose estimate
-lies near a threshold get exact distinct counts.  A line is boilerplate when it
-stands on at least ``min_sites`` sites and its places have mostly different
-neighbours.  The second condition tells a menu line, which meets other text
-everywhere, from the lines of a document that was copied to many sites: those
-keep their neighbours, and stay.
+sites and of the documents merge by aggregation; lines whose estimate lies near
+a threshold get exact distinct counts.  A line is boilerplate when it stands on
+at least ``min_sites`` sites and in at least as many distinct documents, copies
+counted once.  The second condition tells a menu line, alone or in a block,
+from the lines of a document that was copied to many sites: those stand in one
+document, and stay.
+
+``op7_line_dedup`` keeps the rule of its SQL, which counts distinct neighbours
+of the line's places instead (``beside="line"``) and so keeps most lines of
+repeated blocks.
 
 Functions of Spark only.  Single-site lines, nearly all of them, leave after
 one small count; a line on a third of all documents is spread over salts before
@@ -42,13 +46,24 @@ def _neighbour(i: Column) -> Column:
 
 
 def spread_lines(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITES, site_col: str = "source",
-                 text_col: str = "text") -> DataFrame:
-    """Hashes (``line``) of the boilerplate lines; a null site is a site of its own."""
-    places = (docs.select(F.xxhash64(F.col(site_col)).alias("site"), _solid(_lines(F.col(text_col))).alias("solid"))
-              .select("site", F.explode(F.transform("solid", lambda s, i: F.struct(
-                  F.xxhash64(s).alias("line"),
-                  F.when(_neighbour(i).isNotNull(), F.xxhash64(_neighbour(i))).alias("beside")))).alias("p"))
-              .select("site", "p.line", "p.beside"))
+                 text_col: str = "text", beside: str = "document") -> DataFrame:
+    """Hashes (``line``) of the boilerplate lines; a null site is a site of its own.
+
+    ``beside`` names what is counted next to sites: the ``document`` (the set of
+    its lines, which for a given line is as good as the rest of the text), or
+    the neighbouring ``line``.
+    """
+    if beside not in ("document", "line"):
+        raise ValueError(f"beside is document or line, not {beside!r}")
+    places = docs.select(F.xxhash64(F.col(site_col)).alias("site"), _solid(_lines(F.col(text_col))).alias("solid"))
+    if beside == "document":
+        own = F.array_sort(F.array_distinct(F.transform("solid", lambda s: F.xxhash64(s))))
+        places = places.select("site", own.alias("own")).select("site", F.explode("own").alias("line"), F.xxhash64("own").alias("beside"))
+    else:
+        places = (places.select("site", F.explode(F.transform("solid", lambda s, i: F.struct(
+                      F.xxhash64(s).alias("line"),
+                      F.when(_neighbour(i).isNotNull(), F.xxhash64(_neighbour(i))).alias("beside")))).alias("p"))
+                  .select("site", "p.line", "p.beside"))
     several = (places.groupBy("line").agg(F.min("site").alias("a"), F.max("site").alias("b"), F.count(F.lit(1)).alias("n"))
                .filter((F.col("a") != F.col("b")) & (F.col("n") >= min_sites)))
     salted = several.select("line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
@@ -62,7 +77,10 @@ def spread_lines(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITE
     def near(value: str, bound: Column) -> Column:
         return F.abs(F.col(value) - bound) <= F.greatest(F.lit(1.0), F.lit(NEAR) * bound)
 
-    least = F.lit(MIN_FRESH_PERCENT / 100) * F.col("n")
+    if beside == "document":
+        least, enough = F.lit(float(min_sites)), F.col("fresh") >= min_sites
+    else:
+        least, enough = F.lit(MIN_FRESH_PERCENT / 100) * F.col("n"), 100 * F.col("fresh") >= MIN_FRESH_PERCENT * F.col("n")
     rough = rough.withColumn("near", near("sites", F.lit(float(min_sites))) | near("fresh", least))
     clear = rough.filter(~F.col("near") & (F.col("sites") >= min_sites) & (F.col("fresh") >= least)).select("line")
     open_ = rough.filter("near").select("line", "n")
@@ -71,12 +89,12 @@ def spread_lines(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITE
     fresh = (part.filter("beside is not null").select("line", "beside").distinct()
              .groupBy("line").agg(F.count(F.lit(1)).alias("fresh")))
     exact = (open_.join(sites, "line").join(fresh, "line")
-             .filter((F.col("sites") >= min_sites) & (100 * F.col("fresh") >= MIN_FRESH_PERCENT * F.col("n"))))
+             .filter((F.col("sites") >= min_sites) & enough))
     return clear.unionByName(exact.select("line"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id",
-               site_col: str = "source", text_col: str = "text") -> DataFrame:
+               site_col: str = "source", text_col: str = "text", beside: str = "document") -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text, and ``n_lines``, ``n_removed``.
 
     Lines are what stands between ``\\n``; ``n_lines`` counts those with a word,
@@ -86,7 +104,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITES,
     own text.  Columns of ``docs`` named ``n_lines`` or ``n_removed`` are
     replaced.  An empty table gives an empty result.
     """
-    spread = Scratch(spark, "line-dedup").write(spread_lines(spark, docs, min_sites, site_col, text_col))
+    spread = Scratch(spark, "line-dedup").write(spread_lines(spark, docs, min_sites, site_col, text_col, beside))
     hashes = F.array_distinct(F.transform(_solid(_lines(F.col(text_col))), lambda s: F.xxhash64(s)))
     mine = (docs.select(F.col(id_col).alias("__id"), F.explode(hashes).alias("line"))
             .join(spread, "line", "left_semi").groupBy("__id").agg(F.collect_set("line").alias("__bad")))

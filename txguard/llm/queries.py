@@ -140,7 +140,7 @@ FROM d, bad
 """)
 def op7_line_dedup(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return line_dedup(spark, docs).select("doc_id", "n_lines", "n_removed", "text")
+    return line_dedup(spark, docs, beside="line").select("doc_id", "n_lines", "n_removed", "text")
 
 
 @query("op9_language_id")
