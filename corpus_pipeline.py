@@ -24,6 +24,8 @@ from txguard.session import ship_package
 #: A document whose best language scores less is rejected; so is one without letters.  At 0.5 ordinary texts with many
 #: unknown words were lost (29 of 51,282 on check_h).
 MIN_LANGUAGE_SCORE = 0.3
+#: Near copies share 80 % of their five-word shingles or more; op8_ngram_jaccard has three words and 90 %.
+COPY_SHINGLE, COPY_PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def line_cleaning(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return jaccard_dedup(spark, docs)
+    return jaccard_dedup(spark, docs, shingle=COPY_SHINGLE, percent=COPY_PERCENT)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

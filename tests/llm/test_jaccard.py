@@ -130,3 +130,64 @@ def test_sketch_never_rules_out_a_link():
             assert far <= len(np.setxor1d(a, b))
             if linked(a, b):
                 assert far <= differences(len(a), len(b))
+
+
+def kept_by_brute(rows, k, percent):
+    """Smallest id of each component by k-word shingles; rows without words all stay."""
+    sets = []
+    for _, t in rows:
+        w = words(lower(t))
+        sets.append({tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    least = [r[0] for r in rows]
+    links = [(i, j) for i, a in enumerate(sets) for j in range(i)
+             if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j])]
+    while True:
+        before = list(least)
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+        if least == before:
+            return sorted(d for (d, _), m in zip(rows, least) if d == m)
+
+
+def test_the_pipelines_near_copies_against_brute_force(spark):
+    from corpus_pipeline import near_copies
+    rng = random.Random(6)
+    texts = [t for _, t in corpus(5)]
+    for size in [5, 6, 8, 9, 10, 11, 13, 16, 26, 100]:
+        base = prose(rng, size)
+        texts += [base, base + " tail", "head " + base, *[edited(rng, base, max(1, size // 40)) for _ in range(6)]]
+    base = prose(rng, 100).split()
+    texts += [" ".join(base), " ".join([*base[:30], "x", *base[31:70], "y", *base[71:]])]      # 0.811 of five words, 0.885 of three
+    rows = list(enumerate(texts))
+    got = near_copies(spark, spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], DOCS), "")
+    ids = sorted(r["doc_id"] for r in got.collect())
+    assert ids == kept_by_brute(rows, 5, 80) != kept_by_brute(rows, 3, 90)
+    assert len(texts) - 1 not in ids
+
+
+def test_every_pair_linked_at_80_shares_a_key():
+    from txguard.llm.jaccard_join import differences, parity
+    rng = np.random.default_rng(7)
+    for wide in (None, 3, 1000):
+        plan = schemes({500: 1000}, 30_000, wide, 80)
+        lows = np.array([p.low for p in plan])
+
+        def keys(u):
+            band = int(np.searchsorted(lows, len(u), side="right")) - 1
+            out = set(plan[band].keys(u).tolist()) if band >= 0 else set()
+            if 100 * len(u) >= 80 * plan[band + 1].low:
+                out |= set(plan[band + 1].keys(u).tolist())
+            return out
+
+        some = 0
+        for _ in range(3000):
+            size = int(rng.choice([4, 5, 6, 7, 8, 9, 10, 11, 12, 17, 18, 22, 27, 28, 33, 42, 63, 96, 150]))
+            a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+            new = rng.integers(0, 2**63, int(rng.integers(0, size // 5 + 2))).astype(np.uint64)
+            b = np.unique(np.concatenate([a[int(rng.integers(0, size // 5 + 2)):], new]))
+            if len(b) and not np.array_equal(a, b) and linked(a, b, 80):
+                some += 1
+                assert keys(a) & keys(b)
+                far = int(np.bitwise_count((parity(a) ^ parity(b)).view(np.uint64)).sum())
+                assert far <= len(np.setxor1d(a, b)) <= differences(len(a), len(b), 80)
+        assert some > 500
