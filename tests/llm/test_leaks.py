@@ -80,3 +80,33 @@ def test_edges(spark):
     assert find_leaks(spark, empty_docs(spark), items).count() == 0
     assert find_leaks(spark, edge_docs(spark), items.limit(0)).count() == 0
     assert decontaminate(spark, edge_docs(spark), items.limit(0)).count() == len(edge_rows())
+
+
+def test_small_blocks_give_the_same_similarities_on_edited_passages(spark, monkeypatch):
+    from txguard.llm import decontaminate as m
+    rng = random.Random(12)
+    frame = prose(rng, 9)
+    items = [(i, f"{prose(rng, 12)} {frame} {prose(rng, 12)}") for i in range(30)]
+    items += [(30 + i, prose(rng, 15)) for i in range(10)] + [(40 + i, f"  {t.upper()}\n") for i, (_, t) in enumerate(items[:5])]
+    docs = []
+    for d in range(200):
+        passage = items[rng.randrange(40)][1].split()
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            passage[rng.choice([0, -1, rng.randrange(len(passage))])] = f"edit{d}"
+        docs.append((d, " ".join([prose(rng, 20), *passage, prose(rng, 20), frame])))
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEMS)
+
+    def found():
+        return sorted((r["doc_id"], r["item_id"], round(r["similarity"], 9)) for r in find_leaks(spark, docs, bench).collect())
+
+    whole = found()
+    monkeypatch.setattr(m, "ITEMS_PER_PASS", 6)
+    assert found() == whole and len({s for _, _, s in whole}) > 3
+
+
+def test_an_item_that_repeats_keeps_its_near_copies(spark):
+    text = prose(random.Random(3), 15)
+    docs = spark.createDataFrame([(1, "a b " + text.rsplit(" ", 1)[0] + " other c d")], "doc_id long, text string")
+    for ids in ([7], [7, 8, None]):
+        got = find_leaks(spark, docs, spark.createDataFrame([(i, text) for i in ids], ITEMS)).collect()
+        assert {r["item_id"] for r in got} == set(ids) and {round(r["similarity"], 3) for r in got} == {0.833}
