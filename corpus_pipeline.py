@@ -63,7 +63,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Trained scores and token ids are not SQL; the stages are tested against brute force.
+#: Trained scores and token ids are not SQL; README says what the stages are tested against.
 ORACLE_SQL = None
 
 
