@@ -16,7 +16,7 @@ def test_entry_lists_them():
     import __spark_entry__ as e
     names = set(e.queries())
     assert set(QUERIES) | {"pipeline"} <= names
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
 
 
 def test_pipeline_stages(spark):

@@ -12,6 +12,7 @@ from txguard.llm.jaccard_join import jaccard_components
 from txguard.llm.langid import predict, train
 from txguard.llm.license_scan import scan_licenses
 from txguard.llm.line_dedup import line_dedup
+from txguard.llm.middle import fill_in_middle, restore_texts
 from txguard.llm.packing import pack_documents
 from txguard.llm.quality import (BOILERPLATE, END_MARKS, MAX_LOST_PERCENT, MAX_REPEAT_PERCENT, MIN_WORDS, NAVIGATION_WORDS,
                                  quality_rules)
@@ -198,3 +199,27 @@ FROM sets s JOIN reach ON reach.r = s.r JOIN sets t ON t.r = reach.m GROUP BY s.
 """)
 def op8_ngram_jaccard(spark, sf_dir):
     return jaccard_components(spark, _table(spark, sf_dir, "documents"))
+
+
+@query("op13_fill_in_middle", r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+           regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w FROM documents),
+h AS (SELECT *, len(w) AS n, ('0x' || h[1:8])::UBIGINT AS h1, ('0x' || h[9:16])::UBIGINT AS h2,
+             ('0x' || h[17:24])::UBIGINT AS h3, ('0x' || h[25:32])::UBIGINT AS h4 FROM t),
+c AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                     OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+             least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM h),
+p AS (SELECT *, array_to_string(w[1:a], '') AS pre, array_to_string(w[a + 1:b], '') AS mid,
+             array_to_string(w[b + 1:], '') AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+""")
+def op13_fill_in_middle(spark, sf_dir):
+    done = restore_texts(fill_in_middle(_table(spark, sf_dir, "documents")))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2("restored", 256).alias("restored_sha256"))
