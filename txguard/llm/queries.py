@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txguard.llm.conversation_repair import damage, repair_conversations, repair_report
 from txguard.llm.decontaminate import find_leaks
 from txguard.llm.jaccard_join import jaccard_components
 from txguard.llm.langid import predict, train
@@ -223,3 +224,76 @@ def op13_fill_in_middle(spark, sf_dir):
     done = restore_texts(fill_in_middle(_table(spark, sf_dir, "documents")))
     return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
                        F.sha2("restored", 256).alias("restored_sha256"))
+
+
+# one row per place and state: (cost, edits, repaired text) of the cheapest edits so far, least string first
+_TURN = """struct_pack(c := {s}.c + 3, a := {s}.a || 'I', m := {s}.m || chr(10) || '{role}:')"""
+_USER_IN, _ASSISTANT_IN = (_TURN.format(s=s, role=r) for s, r in (("{s}", "user"), ("{s}", "assistant")))
+
+
+def _least(*options: str) -> str:
+    return f"list_sort([{', '.join(options)}])[1]"
+
+
+def _edit(state: str, letter: str, cost: str, text: str | None) -> str:
+    said = f" || chr(10) || {text} || ':' || t" if text else ""
+    return f"struct_pack(c := {state}.c + {cost}, a := {state}.a || '{letter}', m := {state}.m{said})"
+
+
+def _kept(state: str, initial: str) -> str:
+    return f"CASE WHEN k = '{initial}' THEN {_edit(state, 'K', '3 * late', 'role')} ELSE struct_pack(c := 1000000000, a := '', m := '') END"
+
+
+def _rerole(state: str, role: str) -> str:
+    return (f"CASE WHEN k <> 'X' THEN {_edit(state, 'R', '(3 + 3 * late)', repr(role))} "
+            "ELSE struct_pack(c := 1000000000, a := '', m := '') END")
+
+
+_NEW_N = _edit("n", "D", "4", None)
+_NEW_S = _least(_edit("s", "D", "4", None), _kept("n", "s"))
+_NEW_U = _least(_edit("u", "D", "4", None), *(x for f in "nsa" for x in (_kept(f, "u"), _rerole(f, "user"))))
+_NEW_A = _least(_edit("a", "D", "4", None), _kept("u", "a"), _rerole("u", "assistant"))
+_INS_U = _least("u", *(_USER_IN.format(s=f) for f in "nsa"))
+
+
+@query("op12_conversation_repair", rf"""
+WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+bits AS (SELECT name, list_reduce([4294967295::UBIGINT] || list_transform(range(1, length(name) + 1), lambda i: ord(name[i])::UBIGINT),
+         lambda h, b: list_reduce([xor(h, b)] || [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0],
+            lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END)) AS h FROM (SELECT DISTINCT name FROM src)),
+kinds AS (SELECT src.*, xor(h, 4294967295::UBIGINT) % 20 AS kind FROM src JOIN bits USING (name)),
+hurt AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS t
+         FROM kinds, range(0, 2) AS x(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, t) AS i FROM hurt),
+seen AS (SELECT *, rtrim(t, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS solid,
+                row_number() OVER (PARTITION BY conv_id, role, t ORDER BY i) > 1 AS again FROM placed),
+fault AS (SELECT *, CASE WHEN solid = '' THEN 'blank' WHEN again THEN 'duplicate'
+                         WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS f,
+                 left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM seen),
+turns AS (SELECT conv_id, i, role, t, CASE WHEN f IN ('blank', 'duplicate') THEN 'X' WHEN initial IN ('s', 'u', 'a') THEN initial ELSE 'o' END AS k,
+                 CASE WHEN f = 'truncated' THEN 1 ELSE 0 END AS late FROM fault),
+convs AS (SELECT DISTINCT conv_id FROM conversations),
+raw(conv_id, i, n, s, u, a) AS (
+  SELECT conv_id, 0::BIGINT, struct_pack(c := 0, a := '', m := ''), struct_pack(c := 1000000, a := '', m := ''),
+         struct_pack(c := 1000000, a := '', m := ''), struct_pack(c := 1000000, a := '', m := '') FROM convs
+  UNION ALL
+  SELECT conv_id, i, {_NEW_N}, {_NEW_S}, {_NEW_U}, {_NEW_A}
+  FROM (SELECT conv_id, i, role, t, k, late, n, s, u, {_least("a", _ASSISTANT_IN.format(s="u"))} AS a
+        FROM (SELECT turns.conv_id, turns.i, role, t, k, late, n, s, a, {_INS_U} AS u
+              FROM raw JOIN turns ON raw.conv_id IS NOT DISTINCT FROM turns.conv_id AND turns.i = raw.i + 1))),
+ends AS (SELECT conv_id, {_least("n", "a", _ASSISTANT_IN.format(s="u"))} AS z FROM (
+         SELECT conv_id, n, a, {_INS_U} AS u FROM raw QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1)),
+figures AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'blank') AS blank,
+        count(*) FILTER (f = 'duplicate') AS duplicate, count(*) FILTER (f = 'truncated') AS truncated,
+        count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM fault GROUP BY conv_id)
+SELECT ends.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+       CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(z.c AS BIGINT) AS cost, z.a AS audit,
+       sha256(z.m[2:]) AS repaired_sha256
+FROM ends LEFT JOIN figures ON ends.conv_id IS NOT DISTINCT FROM figures.conv_id
+""")
+def op12_conversation_repair(spark, sf_dir):
+    hurt = damage(_table(spark, sf_dir, "conversations"))
+    return repair_report(repair_conversations(spark, hurt, dropped_col="dropped"))
