@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +45,53 @@ def connect(spark: SparkSession, scratch: Scratch, labels: DataFrame, links: Dat
     fresh = (now.select(F.col("x").alias("node"), F.col("to").alias("label"))
              .join(labels.select("node"), "node", "left_anti"))
     return scratch.write(old.unionByName(fresh))
+
+
+#: Groups up to this size are compared whole once their first pivot is done.
+SMALL = 32
+
+
+def link_groups(spark: SparkSession, scratch: Scratch, groups: DataFrame, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``node, label`` of all nodes with links, from groups (``key, node``) inside which links may be.
+
+    ``compare`` gets pairs (``left, right``) and returns those that are linked.
+    Each turn, pivots of every group are compared with the members of other
+    components and then leave the group: they have met everyone in it.  One
+    pivot comes first, the node in most groups, which settles a group of near
+    copies at once; groups that stay apart get four times as many each turn, or
+    end with all their pairs once they are small.  So every pair of a group is
+    compared or lies in one component, and no group is expanded at once.
+    """
+    weight = groups.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
+    shared = scratch.write(groups.join(weight, "node").select("key", "weight", "node"))
+    about = ["weight", "node"]      # the order makes the heaviest the largest
+    labels = spark.createDataFrame([], "node long, label long")
+    pivots = 1
+    while True:
+        if pivots > 1:
+            marked = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            open_ = (marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
+                                               F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("key", "size"))
+            here = scratch.write(marked.join(open_, "key").select("key", *about, "label", "size"))
+            scratch.drop(shared)
+            if here.isEmpty():
+                return labels
+        else:
+            here = shared.withColumns({"label": F.col("node"), "size": F.lit(SMALL + 1)})
+        # every member of a small group is a pivot; of a larger one the heaviest of each of so many parts
+        part = F.when(F.col("size") <= SMALL, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(pivots)))
+        heavy = scratch.write(here.groupBy("key", part.alias("part")).agg(F.max(F.struct(*about, "label")).alias("p"))
+                              .select("key", F.col("p.node").alias("p_node"), F.col("p.label").alias("p_label")))
+        pairs = (here.join(heavy, "key").filter("label <> p_label")
+                 .select(F.least("node", "p_node").alias("left"), F.greatest("node", "p_node").alias("right")).distinct())
+        links = compare(pairs)
+        met = heavy.select("key", F.col("p_node").alias("node"))
+        rest = scratch.write(here.join(met, ["key", "node"], "left_anti").select("key", *about))
+        labels = connect(spark, scratch, labels, links)
+        for table in (here, heavy):
+            if table is not here or pivots > 1:
+                scratch.drop(table)
+        if pivots == 1:
+            scratch.drop(shared)
+        shared = rest
+        pivots *= 4

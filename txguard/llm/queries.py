@@ -14,6 +14,7 @@ from txguard.llm.langid import predict, train
 from txguard.llm.license_scan import scan_licenses
 from txguard.llm.line_dedup import line_dedup
 from txguard.llm.middle import fill_in_middle, restore_texts
+from txguard.llm.minhash_dedup import minhash_components
 from txguard.llm.packing import pack_documents
 from txguard.llm.quality import (BOILERPLATE, END_MARKS, MAX_LOST_PERCENT, MAX_REPEAT_PERCENT, MIN_WORDS, NAVIGATION_WORDS,
                                  quality_rules)
@@ -181,20 +182,19 @@ def op6_substring_dedup(spark, sf_dir):
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-COMPONENTS_SQL = rf"""
+COMPONENTS_SQL = r"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
-                     regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+                     regexp_extract_all(@LOWER, '[^\x20\x09-\x0D]+') AS w FROM documents),
 sets AS (SELECT r, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
          ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s FROM d),
 flat AS (SELECT r, len(s) AS n, unnest(s) AS x FROM sets),
 both_ AS (SELECT a.r AS a, b.r AS b, a.n AS an, b.n AS bn, count(*) AS c FROM flat a JOIN flat b USING (x)
-          WHERE a.r <> b.r AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL),
-link AS (SELECT a, b FROM both_ WHERE 100 * c >= 90 * (an + bn - c)),
+          WHERE a.r <> b.r AND 100 * least(a.n, b.n) >= @PERCENT * greatest(a.n, b.n) GROUP BY ALL),
+link AS (SELECT a, b FROM both_ WHERE 100 * c >= @PERCENT * (an + bn - c)),
 reach(r, m) AS (SELECT r, r FROM sets UNION SELECT reach.r, link.b FROM reach JOIN link ON reach.m = link.a)
-"""
+""".replace("@LOWER", _LOWER)
 
-
-@query("op8_ngram_jaccard", COMPONENTS_SQL + """
+@query("op8_ngram_jaccard", COMPONENTS_SQL.replace("@PERCENT", "90") + """
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(t.doc_id) AS component_id
 FROM sets s JOIN reach ON reach.r = s.r JOIN sets t ON t.r = reach.m GROUP BY s.r, s.doc_id, s.s
 """)
@@ -297,3 +297,11 @@ FROM ends LEFT JOIN figures ON ends.conv_id IS NOT DISTINCT FROM figures.conv_id
 def op12_conversation_repair(spark, sf_dir):
     hurt = damage(_table(spark, sf_dir, "conversations"))
     return repair_report(repair_conversations(spark, hurt, dropped_col="dropped"))
+
+
+@query("op11_minhash_dedup", COMPONENTS_SQL.replace("@PERCENT", "85") + """
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(t.doc_id) AS component_id, s.doc_id = min(t.doc_id) AS kept
+FROM sets s JOIN reach ON reach.r = s.r JOIN sets t ON t.r = reach.m GROUP BY s.r, s.doc_id, s.s
+""")
+def op11_minhash_dedup(spark, sf_dir):
+    return minhash_components(spark, _table(spark, sf_dir, "documents"))
