@@ -7,44 +7,38 @@ from pyspark.sql import functions as F
 
 from txguard.llm.scratch import Scratch
 
-#: Bits of a filter per value, and its largest size; beyond that it lets more through, never less.
-BITS_PER_VALUE = 10
-MOST_BITS = 1 << 26
-_PAGE_BITS = 32768          # bits of one row of bitmap_construct_agg
+#: Bits of a filter per value, and its most words of 64 bits; beyond that it lets more through, never less.
+BITS_PER_VALUE = 12
+MOST_WORDS = 1 << 20
 
 
-def _bits_of(value: Column, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.lit(salt), value), F.lit(bits)) for salt in (1, 2)]
+def _word(value: Column, words: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(1), value), F.lit(words))
 
 
-def likely(df: DataFrame, value: Column, wanted: DataFrame, count: int | None = None) -> DataFrame:
-    """The rows of ``df`` whose value may be in the one long column of ``wanted``: all that are, and few others.
+def _pattern(value: Column) -> Column:
+    """Three bits of a word."""
+    h = F.xxhash64(F.lit(2), value)
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 6 * k), F.lit(64)).cast("int")) for k in range(3)]
+    return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
 
-    A Bloom filter is built by aggregation and sent with the plan, at most
-    ``MOST_BITS`` / 8 bytes (8 MB) however many values there are, so nothing is
-    shuffled but the values themselves.
+
+def likely(df: DataFrame, value: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose long column ``value`` may be in the one column of ``wanted``: all that are, and few others.
+
+    A Bloom filter in words of 64 bits is built by aggregation and broadcast, at
+    most ``MOST_WORDS`` rows of two longs (16 MB) however many values there are,
+    so rows that are not wanted never leave their task.
     """
+    words = 64
+    while words < min(MOST_WORDS, BITS_PER_VALUE * wanted.count() // 64):
+        words *= 2
     col = F.col(wanted.columns[0])
-    n = wanted.count() if count is None else count
-    bits = _PAGE_BITS
-    while bits < min(MOST_BITS, BITS_PER_VALUE * n):
-        bits *= 2
-    # the bitmap functions count from 1: number k + 1 is bit k % 32768 of page k // 32768 + 1
-    at = wanted.select(F.explode(F.array(*[b + 1 for b in _bits_of(col, bits)])).alias("number"))
-    pages = (at.groupBy(F.bitmap_bucket_number("number").alias("page"))
-             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bitmap")).collect())
-    filled = bytearray(bits // 8)
-    for page in pages:
-        lo = (page["page"] - 1) * _PAGE_BITS // 8
-        filled[lo:lo + len(page["bitmap"])] = page["bitmap"]
-    table = F.lit(bytes(filled))
-
-    def is_set(bit: Column) -> Column:
-        byte = F.conv(F.hex(F.substring(table, (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        return F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1
-
-    first, second = _bits_of(value, bits)
-    return df.filter(is_set(first) & is_set(second))
+    masks = (wanted.select(_word(col, words).alias("__word"), _pattern(col).alias("__bits"))
+             .groupBy("__word").agg(F.bit_or("__bits").alias("__mask")))
+    mine = _pattern(df[value])
+    return df.join(F.broadcast(masks), (_word(df[value], words) == masks["__word"]) & (masks["__mask"].bitwiseAND(mine) == mine),
+                   "left_semi")
 
 
 def one_per_member_list(postings: DataFrame, key: str = "key", node: str = "node") -> DataFrame:
@@ -65,6 +59,6 @@ def texts_of(scratch: Scratch, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     Only rows whose print may be a node's leave their task, and equal texts are
     one row before they do.
     """
-    mine = likely(rows, F.col("print"), nodes.select("print")).select("print", "check", "text")
+    mine = likely(rows, "print", nodes.select("print")).select("print", "check", "text")
     mine = mine.groupBy("print", "check").agg(F.first("text").alias("text"))
     return scratch.write(mine.join(nodes.select("node", "print", "check"), ["print", "check"]).select("node", "text"))

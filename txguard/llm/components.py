@@ -40,6 +40,7 @@ def connect(spark: SparkSession, scratch: Scratch, labels: DataFrame, links: Dat
         now = new
         if not changed:
             break
+    scratch.drop(edges)
     final = now.select(F.col("x").alias("label"), "to")
     old = (labels.join(final, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
     fresh = (now.select(F.col("x").alias("node"), F.col("to").alias("label"))

@@ -11,7 +11,8 @@ pairs it shares with others and leaves the search if c < m.  Two sets with m
 agreements share one of the c - m + 1 rarest pairs of each, and only these
 short posting lists are merged.  *Skip*: the long lists are never merged; how
 often a candidate pair agrees over all coordinates is read off its two
-signatures.  Pairs with m agreements are verified exactly on their full sets.
+signatures.  Pairs with m agreements, which sizes and parity sketches do not rule
+out, are verified exactly on their full sets.
 
 Equal sets are one node from the start, and posting lists with the same members
 are merged once.  Inside a list members are compared with a few pivots at a
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from txguard.llm.candidates import likely, one_per_member_list, texts_of
 from txguard.llm.components import link_groups
-from txguard.llm.jaccard_join import linked, shingle_sets
+from txguard.llm.jaccard_join import SKETCH, linked, may_link, parity, shingle_sets
 from txguard.llm.scratch import Scratch
 from txguard.llm.text import mix, pieces
 
@@ -41,8 +42,8 @@ PERCENT = 85
 COORDINATES = 48
 #: Greatest probability that a pair at exactly ``PERCENT`` has too few agreements to be verified.
 LOSS = 1e-10
-#: Shingles whose minima are taken at once.
-CHUNK = 1 << 16
+#: Shingles whose minima are taken at once, and bytes of text in hand.
+CHUNK, TEXT_BYTES = 1 << 16, 1 << 20
 
 
 def match_threshold(coordinates: int, percent: int, loss: float) -> int:
@@ -90,7 +91,7 @@ def signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch], shingle: int, coordinates: int, least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in pieces(batch, "text"):
+        for part in pieces(batch, "text", TEXT_BYTES):
             sets = shingle_sets(part.column(1), shingle)
             n = np.array([len(s) for s in sets], np.int64)
             a = [int(mix(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else None for s in sets]
@@ -100,13 +101,14 @@ def _sign(batches: Iterator[pa.RecordBatch], shingle: int, coordinates: int, lea
             offsets = np.concatenate([[0], np.cumsum(np.where(n >= least, coordinates, 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sig.ravel()))
             yield pa.record_batch([part.column(0), pc.fill_null(part.column(2), 0), pc.fill_null(part.column(3), 0), pa.array(n),
-                                   pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists],
-                                  names=["id", "print", "check", "n", "a", "b", "sig"])
+                                   pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists,
+                                   pa.array([parity(s) for s in sets], pa.list_(pa.int64()))],
+                                  names=["id", "print", "check", "n", "a", "b", "sig", "sketch"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in pieces(batch, "left_text"):
+        for part in pieces(batch, "left_text", TEXT_BYTES):
             left, right = shingle_sets(part.column(2), shingle), shingle_sets(part.column(3), shingle)
             ok = pa.array([linked(x, y, percent) for x, y in zip(left, right)], pa.bool_())
             yield part.select([0, 1]).filter(ok)
@@ -117,7 +119,7 @@ def _prefixes(spark: SparkSession, scratch: Scratch, nodes: DataFrame, m: int) -
     value = F.posexplode("sig").alias("k", "v")
     posted = nodes.select("node", value).select(F.xxhash64("k", "v").alias("key"), "node")
     often = scratch.write(posted.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
-    mine = likely(posted, F.col("key"), often.select("key")).join(often, "key")
+    mine = likely(posted, "key", often.select("key")).join(often, "key")
     lists = mine.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("members", "key"))).alias("l"))     # one per coordinate
     short = lists.filter(F.size("l") >= m).select("node", F.explode(F.slice("l", F.lit(1), F.size("l") - (m - 1))).alias("p"))
     return short.select(F.col("p.key").alias("key"), "node")
@@ -144,24 +146,27 @@ def minhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("print"),
                        F.xxhash64(F.lit(1), text).alias("check"))
-    schema = (f"id {rows.schema['id'].dataType.simpleString()}, print long, check long, n long, a long, b long, sig array<long>")
+    schema = (f"id {rows.schema['id'].dataType.simpleString()}, print long, check long, n long, a long, b long, sig array<long>, "
+              "sketch array<long>")
     sets = scratch.write(rows.mapInArrow(lambda it: _sign(it, shingle, coordinates, least), schema)
                          .withColumn("row", F.monotonically_increasing_id()))
     # equal sets are one node
     owner = scratch.write(sets.filter("n > 0").groupBy("a", "b").agg(F.min("row").alias("node")))
     nodes = sets.filter(F.col("n") >= least).withColumnRenamed("row", "node").join(owner.select("node"), "node", "left_semi")
     groups = scratch.write(one_per_member_list(scratch.write(_prefixes(spark, scratch, nodes, m))))
-    about = scratch.write(nodes.join(groups.select("node").distinct(), "node", "left_semi").select("node", "print", "check", "n", "sig"))
+    about = scratch.write(nodes.join(groups.select("node").distinct(), "node", "left_semi")
+                          .select("node", "print", "check", "n", "sig", *[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH)]))
     texts = texts_of(scratch, rows, about)
 
-    def side(name: str, *cols: str) -> DataFrame:
-        return about.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in cols])
+    def side(name: str) -> DataFrame:
+        return about.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in about.columns[3:]])
 
     def compare(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(side("left", "n", "sig"), "left").join(side("right", "n", "sig"), "right")
+        both = pairs.join(side("left"), "left").join(side("right"), "right")
         agree = F.size(F.filter(F.zip_with("left_sig", "right_sig", lambda x, y: x == y), lambda e: e))
-        size = 100 * F.least("left_n", "right_n") >= percent * F.greatest("left_n", "right_n")
-        found = scratch.write(both.filter(size & (agree >= m)).select("left", "right"))
+        # sizes and parity sketches rule out for certain, so that fewer texts move
+        found = both.filter(may_link("left_", "right_", percent)).filter(agree >= m).select("left", "right")
+        found = scratch.write(found)
         if found.isEmpty():
             return found
         full = (found.join(texts.select(F.col("node").alias("left"), F.col("text").alias("left_text")), "left")

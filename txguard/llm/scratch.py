@@ -21,18 +21,26 @@ class Scratch:
         self.spark = spark
         self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self._n = 0
-        self._path: dict[int, str] = {}
+        self._path: dict[int, tuple[DataFrame, str]] = {}      # with the frame, so that its id stays its own
 
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self._n}"
         self._n += 1
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._path[id(out)] = path
+        self._path[id(out)] = out, path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        path = self._path.pop(id(df))
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables of this run that no later step reads."""
+        for df in tables:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(self._path.pop(id(df))[1])
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def own_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
