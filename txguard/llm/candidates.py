@@ -42,15 +42,15 @@ def likely(df: DataFrame, value: str, wanted: DataFrame) -> DataFrame:
 
 
 def one_per_member_list(postings: DataFrame, key: str = "key", node: str = "node") -> DataFrame:
-    """Of keys with exactly the same nodes one is kept, those of single nodes go; rows ``key, node``.
+    """Of keys with exactly the same nodes one is kept, those of single nodes go; rows ``key, node, members``.
 
     Two lists are the same when their lengths and two 64-bit sums over hashed
     nodes are.  All three are sums, so a long list is never one group in one task.
     """
     sums = [F.sum(F.shiftright(F.xxhash64(F.lit(salt), node), 20)).alias(f"h{salt}") for salt in (1, 2, 3)]
     lists = postings.groupBy(key).agg(F.count(F.lit(1)).alias("members"), *sums).filter("members > 1")
-    kept = lists.groupBy("members", "h1", "h2", "h3").agg(F.min(key).alias(key)).select(key)
-    return postings.join(kept, key, "left_semi").select(key, node)
+    kept = lists.groupBy("members", "h1", "h2", "h3").agg(F.min(key).alias(key)).select(key, "members")
+    return postings.select(key, node).join(kept, key).select(key, node, "members")
 
 
 def texts_of(scratch: Scratch, rows: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txguard.llm.scratch import Scratch
@@ -52,47 +52,55 @@ def connect(spark: SparkSession, scratch: Scratch, labels: DataFrame, links: Dat
 SMALL = 32
 
 
-def link_groups(spark: SparkSession, scratch: Scratch, groups: DataFrame, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``node, label`` of all nodes with links, from groups (``key, node``) inside which links may be.
+def link_groups(spark: SparkSession, scratch: Scratch, groups: DataFrame, about: DataFrame, may: Callable[[str, str], str],
+                compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``node, label`` of all nodes with links, from groups (``key, node, members``) inside which links may be.
 
-    ``compare`` gets pairs (``left, right``) and returns those that are linked.
-    Each turn, pivots of every group are compared with the members of other
-    components and then leave the group: they have met everyone in it.  One
-    pivot comes first, the node in most groups, which settles a group of near
-    copies at once; groups that stay apart get four times as many each turn, or
-    end with all their pairs once they are small.  So every pair of a group is
-    compared or lies in one component, and no group is expanded at once.
+    ``may`` gives SQL that rules a pair out for certain by columns of ``about``
+    (one row per node) with two prefixes; ``compare`` gets the pairs (``left,
+    right``) that are left and returns those that are linked.
+
+    First every node meets the node in most groups of its own largest one, which
+    settles clusters of near copies.  Then, each turn, pivots of every group
+    that still has two labels meet its members of other components and leave the
+    group: they have met everyone in it.  A group gets one pivot first and four
+    times as many each turn, or all its pairs once it is small.  So every pair of
+    a group is compared or lies in one component, and a group that has become
+    one component is never expanded.
     """
-    weight = groups.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
-    shared = scratch.write(groups.join(weight, "node").select("key", "weight", "node"))
-    about = ["weight", "node"]      # the order makes the heaviest the largest
-    labels = spark.createDataFrame([], "node long, label long")
-    pivots = 1
+    info = [c for c in about.columns if c != "node"]
+    largest = F.max_by("key", F.struct("members", "key"))
+    per = groups.groupBy("node").agg(F.count(F.lit(1)).alias("weight"), largest.alias("top"), F.collect_list("key").alias("keys"))
+    per = scratch.write(per.join(about, "node"))
+    cols = ["weight", "node", *info]      # the order makes the node in most groups the largest
+
+    def met_by(here: DataFrame, part: Column) -> tuple[DataFrame, DataFrame]:
+        """The heaviest node of every part of every group, and its pairs with the group's members of other components."""
+        heavy = here.groupBy("key", part.alias("part")).agg(F.max(F.struct(*cols, "label")).alias("p"))
+        heavy = scratch.write(heavy.select("key", *[F.col(f"p.{c}").alias(f"p_{c}") for c in [*cols, "label"]]))
+        pairs = here.join(heavy, "key").filter("label <> p_label and " + may("", "p_"))
+        return heavy, pairs.select(F.least("node", "p_node").alias("left"), F.greatest("node", "p_node").alias("right")).distinct()
+
+    here = per.select(F.col("top").alias("key"), *cols, F.col("node").alias("label"))
+    heavy, pairs = met_by(here, F.lit(0))
+    labels = connect(spark, scratch, spark.createDataFrame([], "node long, label long"), compare(pairs))
+    scratch.drop(heavy)
+    rest, pivots = per, 1
     while True:
-        if pivots > 1:
-            marked = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            open_ = (marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
-                                               F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("key", "size"))
-            here = scratch.write(marked.join(open_, "key").select("key", *about, "label", "size"))
-            scratch.drop(shared)
-            if here.isEmpty():
-                return labels
-        else:
-            here = shared.withColumns({"label": F.col("node"), "size": F.lit(SMALL + 1)})
+        marked = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        if rest is per:
+            marked = marked.select(F.explode("keys").alias("key"), *cols, "label")
+        open_ = (marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"))
+                 .filter("lo <> hi").select("key", "size"))
+        here = scratch.write(marked.join(open_, "key").select("key", *cols, "label", "size"))
+        scratch.drop(rest)
+        if here.isEmpty():
+            return labels
         # every member of a small group is a pivot; of a larger one the heaviest of each of so many parts
-        part = F.when(F.col("size") <= SMALL, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(pivots)))
-        heavy = scratch.write(here.groupBy("key", part.alias("part")).agg(F.max(F.struct(*about, "label")).alias("p"))
-                              .select("key", F.col("p.node").alias("p_node"), F.col("p.label").alias("p_label")))
-        pairs = (here.join(heavy, "key").filter("label <> p_label")
-                 .select(F.least("node", "p_node").alias("left"), F.greatest("node", "p_node").alias("right")).distinct())
+        heavy, pairs = met_by(here, F.when(F.col("size") <= SMALL, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(pivots))))
         links = compare(pairs)
         met = heavy.select("key", F.col("p_node").alias("node"))
-        rest = scratch.write(here.join(met, ["key", "node"], "left_anti").select("key", *about))
+        rest = scratch.write(here.join(met, ["key", "node"], "left_anti").select("key", *cols))
         labels = connect(spark, scratch, labels, links)
-        for table in (here, heavy):
-            if table is not here or pivots > 1:
-                scratch.drop(table)
-        if pivots == 1:
-            scratch.drop(shared)
-        shared = rest
+        scratch.drop(here, heavy)
         pivots *= 4

@@ -159,14 +159,12 @@ def minhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     texts = texts_of(scratch, rows, about)
 
     def side(name: str) -> DataFrame:
-        return about.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in about.columns[3:]])
+        return about.select(F.col("node").alias(name), F.col("sig").alias(f"{name}_sig"))
 
     def compare(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(side("left"), "left").join(side("right"), "right")
         agree = F.size(F.filter(F.zip_with("left_sig", "right_sig", lambda x, y: x == y), lambda e: e))
-        # sizes and parity sketches rule out for certain, so that fewer texts move
-        found = both.filter(may_link("left_", "right_", percent)).filter(agree >= m).select("left", "right")
-        found = scratch.write(found)
+        both = scratch.write(pairs).join(side("left"), "left").join(side("right"), "right")
+        found = scratch.write(both.filter(agree >= m).select("left", "right"))
         if found.isEmpty():
             return found
         full = (found.join(texts.select(F.col("node").alias("left"), F.col("text").alias("left_text")), "left")
@@ -174,7 +172,8 @@ def minhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
                 .select("left", "right", "left_text", "right_text"))
         return scratch.write(full.mapInArrow(lambda it: _verify(it, shingle, percent), "left long, right long"))
 
-    labels = link_groups(spark, scratch, groups, compare)
+    # sizes and parity sketches rule out for certain, so that fewer pairs are looked up
+    labels = link_groups(spark, scratch, groups, about.drop("print", "check", "sig"), lambda x, y: may_link(x, y, percent), compare)
     placed = scratch.write(sets.select("id", "n", "a", "b").join(owner, ["a", "b"], "left").join(labels, "node", "left")
                            .select("id", "n", F.coalesce("label", "node").alias("label")))
     best = placed.filter("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
