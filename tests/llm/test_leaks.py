@@ -110,3 +110,15 @@ def test_an_item_that_repeats_keeps_its_near_copies(spark):
     for ids in ([7], [7, 8, None]):
         got = find_leaks(spark, docs, spark.createDataFrame([(i, text) for i in ids], ITEMS)).collect()
         assert {r["item_id"] for r in got} == set(ids) and {round(r["similarity"], 3) for r in got} == {0.833}
+
+
+def test_columns_of_any_name(spark):
+    from tests.llm.helpers import edge_docs, edge_rows
+    from txguard.llm.decontaminate import decontaminate
+    docs = edge_docs(spark)
+    for name in ("__text", "text_to_scan", "_text_to_scan"):
+        docs = docs.withColumn(name, docs["source"])
+    items = spark.createDataFrame([(1, "five words that nobody has written here")], "item_id long, text string")
+    got = decontaminate(spark, docs, items)
+    assert got.columns == docs.columns
+    assert got.filter("__text <=> source and text_to_scan <=> source").count() == len(edge_rows())

@@ -2,7 +2,8 @@ import random
 import re
 
 from tests.llm.helpers import SF001, edge_docs, edge_rows, empty_docs
-from txguard.llm.license_scan import scan_licenses
+from txguard.llm.license_scan import BASE as BASE_TEMPLATES
+from txguard.llm.license_scan import TEMPLATES, scan_licenses
 
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
@@ -51,3 +52,51 @@ def test_edges(spark):
 def test_main_path_has_no_python(spark):
     plan = scan_licenses(spark.read.parquet(f"{SF001}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def label_brute(text):
+    """All labels and the score: templates whose key phrases stand at their place, by looking everywhere."""
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    labels, best = set(), 0.0
+    for t in (*BASE_TEMPLATES, *TEMPLATES):
+        own = t.text.split()
+        phrases = [p.split() for p in ([t.text] if t.base else t.keys)]
+        at = [next(i for i in range(len(own)) if own[i:i + len(p)] == p) for p in phrases]
+        for s in range(len(w)):
+            if all(w[s + a:s + a + len(p)] == p for a, p in zip(at, phrases)):
+                labels.add(t.label)
+                best = max(best, sum(s + k < len(w) and w[s + k] == x for k, x in enumerate(own)) / len(own))
+        # a template may begin in front of the file
+    return ",".join(sorted(labels)), best
+
+
+def test_labels_and_score_against_brute_force(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(300):
+        t = rng.choice([*BASE_TEMPLATES, *TEMPLATES]).text.split()
+        lo = rng.randrange(len(t)) if rng.random() < 0.3 else 0
+        part = [x for x in t[lo:] if rng.random() > 0.03]
+        texts.append(" ".join([*rng.choices(["word", "license", "gnu", "public", "the"], k=rng.randrange(4)), *part, "and", *rng.choices(t, k=3)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r["labels"], r["score"]) for r in scan_licenses(docs).orderBy("doc_id").collect()]
+    assert [g[0] for g in got] == [label_brute(t)[0] for t in texts]
+    assert max(abs(g[1] - label_brute(t)[1]) for g, t in zip(got, texts)) < 1e-12
+    assert len({g[0] for g in got}) > 10
+
+
+def test_a_notice_with_its_key_phrase_is_found_whatever_else_it_has(spark):
+    texts = ["Distributed under GNU General Public License, version 3, by us", "See the Mozilla Public License, v. 2.0.",
+             "under the GNU Lesser General Public License", "CC0 1.0 Universal",
+             "Creative Commons Attribution-ShareAlike 4.0", "Licensed under the Apache License, Version 2.0"]
+    filler = " ".join(["some words that come before the notice and are not of it"] * 3)
+    docs = spark.createDataFrame([(k, f"{filler} {t}") for k, t in enumerate(texts)], "doc_id long, text string")
+    got = [r["labels"] for r in scan_licenses(docs).orderBy("doc_id").collect()]
+    assert got == ["gpl-3", "mpl-2", "lgpl", "cc0", "cc-by-sa", "apache-2"]
+
+
+def test_the_plan_does_not_grow_with_the_templates(spark):
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    steps = [scan_licenses(docs, templates=t)._jdf.queryExecution().optimizedPlan().toString().count("Project") for t in (TEMPLATES[:2], TEMPLATES)]
+    assert steps[0] == steps[1]

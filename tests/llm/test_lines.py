@@ -62,3 +62,24 @@ def test_lines_and_documents_against_brute_force(spark):
     want = {r[0]: "\n".join(x for x in r[1].split("\n") if x not in bad) for r in rows}
     got = {r["doc_id"]: r["text"] for r in line_dedup(spark, spark.createDataFrame(rows, DOCS)).collect()}
     assert got == want and 0 < len(bad) < len(sites)
+
+
+def test_the_query_takes_menus_and_leaves_copies(spark, tmp_path):
+    """A three-line menu on all sites goes, a document copied a thousand times stays."""
+    from txguard.llm.queries import QUERIES
+    menu = ["Home", "About us", "Contact"]
+    rows = [(i, "\n".join([*menu, f"Own line {i}."]), "en", f"s{i % 9}", 1) for i in range(90)]
+    copy = "A story that is told.\nIt goes on.\nAnd here it ends."
+    rows += [(1000 + i, copy, "en", f"s{i % 9}", 1) for i in range(1000)]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in QUERIES["op7_line_dedup"](spark, str(tmp_path)).collect()}
+    assert all(got[i]["text"] == f"Own line {i}." and got[i]["n_removed"] == 3 for i in range(90))
+    assert all(got[1000 + i]["text"] == copy for i in range(1000))
+
+
+def test_columns_of_any_name(spark):
+    docs = edge_docs(spark)
+    for name in ("__id", "__bad", "__lines", "__kept", "line_id", "line_bad", "line_all", "LINE_KEPT"):
+        docs = docs.withColumn(name, docs["source"])
+    got = line_dedup(spark, docs)
+    assert got.filter("__lines <=> source and line_all <=> source and LINE_KEPT <=> source and __id <=> source").count() == len(edge_rows())

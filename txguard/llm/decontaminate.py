@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txguard.llm.scratch import Scratch
+from txguard.llm.scratch import Scratch, own_name
 from txguard.llm.text import Rolling, Words, mix, pieces
 
 SHINGLE = 5
@@ -239,14 +239,14 @@ def _hits(batches: Iterator[pa.RecordBatch], index, shared) -> Iterator[pa.Recor
                                   names=["id", "item_id", "similarity", "first_word", "n_words"])
 
 
-def _clean(batches: Iterator[pa.RecordBatch], index, shared) -> Iterator[pa.RecordBatch]:
+def _clean(batches: Iterator[pa.RecordBatch], index, shared, text: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at = batch.schema.get_field_index("__text")
-        for part in pieces(batch, "__text"):
+        at = batch.schema.get_field_index(text)
+        for part in pieces(batch, text):
             clean = pa.array([not hits for hits in index.value.scan(part.column(at), shared.value)], pa.bool_())
             kept = part.filter(clean)
             yield pa.record_batch([c for k, c in enumerate(kept.columns) if k != at],
-                                  names=[n for n in kept.schema.names if n != "__text"])
+                                  names=[n for n in kept.schema.names if n != text])
 
 
 def find_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -271,8 +271,8 @@ def find_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: s
 
 def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; all columns stay."""
+    """``docs`` without the documents that hold a benchmark item; all columns stay, whatever their names."""
+    schema, text = docs.schema, own_name(docs, "text_to_scan")
     for index, shared in _passes(spark, items, item_col, item_text_col):
-        schema = docs.schema
-        docs = docs.select("*", F.col(text_col).alias("__text")).mapInArrow(lambda it, x=index, s=shared: _clean(it, x, s), schema)
+        docs = docs.select("*", F.col(text_col).alias(text)).mapInArrow(lambda it, x=index, s=shared: _clean(it, x, s, text), schema)
     return docs

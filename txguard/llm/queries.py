@@ -130,10 +130,8 @@ _SOLID = r"list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: NOT
 
 @query("op7_line_dedup", rf"""
 WITH d AS (SELECT doc_id, coalesce(source, chr(0)) AS site, text, {_SOLID} AS solid FROM documents),
-p AS (SELECT site, solid[i] AS line, coalesce(solid[i + 1], CASE WHEN i > 1 THEN solid[i - 1] END) AS beside
-      FROM (SELECT site, solid, unnest(range(1, len(solid) + 1)) AS i FROM d)),
-spread AS (SELECT line FROM p GROUP BY line
-           HAVING count(DISTINCT site) >= 5 AND 100 * count(DISTINCT beside) >= 50 * count(*)),
+p AS (SELECT site, unnest(list_distinct(solid)) AS line, list_sort(list_distinct(solid)) AS own FROM d),
+spread AS (SELECT line FROM p GROUP BY line HAVING count(DISTINCT site) >= 5 AND count(DISTINCT own) >= 5),
 bad AS (SELECT coalesce(list(line), []) AS b FROM spread)
 SELECT doc_id, CAST(len(solid) AS BIGINT) AS n_lines,
        CAST(len(list_filter(solid, lambda s: list_contains(b, s))) AS BIGINT) AS n_removed,
@@ -143,7 +141,7 @@ FROM d, bad
 """)
 def op7_line_dedup(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return line_dedup(spark, docs, beside="line").select("doc_id", "n_lines", "n_removed", "text")
+    return line_dedup(spark, docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
 @query("op9_language_id")
