@@ -21,9 +21,9 @@ from txguard.llm.queries import tokenizer_path
 from txguard.llm.scratch import Scratch
 from txguard.session import ship_package
 
-#: A document whose best language scores less is rejected; so is one without letters.  At 0.5 ordinary texts with many
-#: unknown words were lost (29 of 51,282 on check_h).
-MIN_LANGUAGE_SCORE = 0.3
+#: A document is rejected if less of it than this is known to its best language (words, or n-grams of other words), or if
+#: it has no letter.  Unlike a score over the learned languages this does not depend on how many there are.
+MIN_KNOWN = 0.5
 #: Near copies share 80 % of their five-word shingles or more; op8_ngram_jaccard has three words and 90 %.
 COPY_SHINGLE, COPY_PERCENT = 5, 80
 
@@ -31,7 +31,7 @@ COPY_SHINGLE, COPY_PERCENT = 5, 80
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     found = predict(spark, docs, train(spark, docs))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("known") >= MIN_KNOWN)).select(docs.columns)
 
 
 def line_cleaning(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
