@@ -2,7 +2,7 @@
 
 No row is updated in place: each operation returns the new version of the
 affected rows (or the whole table as a lazy plan) and the caller appends it
-to a versioned table (sources.sinks.VersionedTable).
+to a stored table (sources.sinks.StoredTable).
 """
 
 from __future__ import annotations

@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from txguard.learning import retrain_features as rt
+from txguard.learning.autoencoder import materialize
 from txguard.operators import mutations as mu
 from txguard.operators import online as on
 from txguard.operators import scoring as sc
 from txguard.operators import validate as va
+from txguard.operators.metrics import pipeline_counters
 from txguard.plans.q_online import ONLINE_SQL
 from txguard.plans.q_scoring import scored_sql
 from txguard.plans.registry import register
@@ -18,7 +20,8 @@ from txguard.plans.sqlfrag import TWO_PI, feature_spec
 from txguard.schemas import FEATURE_COLS, LATENCY_BUCKETS
 from txguard.session import ensure_checkpoint_dir
 from txguard.sources import fixtures
-from txguard.sources.sinks import VersionedTable
+from txguard.sources import message_log
+from txguard.sources.sinks import StoredTable
 from txguard.sources.tables import read_table
 from txguard.streaming.ingress_stream import parse_requests
 
@@ -187,9 +190,9 @@ def q_ingress_messages(spark, sf):
           "CASE WHEN event_id % 2 <> 0 THEN -1.0e0 ELSE s END AS fraud_score, createdAt "
           "FROM (SELECT *, (event_id * 7919 % 1000) / 1000.0e0 AS s FROM transactions) t")
 def q_stored_table(spark, sf):
-    """Ingress, compaction, scoring (with a replay) and review on one stored table; its current rows."""
+    """Ingress, scoring (with a replay) and review of the published flagged rows on one stored table; its current rows."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    table = VersionedTable(spark, f"{root}/transactions")
+    table = StoredTable(spark, f"{root}/transactions")
 
     def at(hour):
         return F.lit(f"2024-02-01 0{hour}:00:00").cast("timestamp")
@@ -198,14 +201,14 @@ def q_stored_table(spark, sf):
     pending = t.withColumns({"status": F.lit("PENDING"), "fraud_score": F.lit(-1.0),
                              "createdAt": F.col("createdAt").cast("timestamp"), "updatedAt": at(0)})
     table.write_batch(pending, 0, "ingress")
-    table.compact()
     score = (F.col("event_id") * 7919 % 1000) / 1000.0
     scored = pending.filter("event_id % 2 = 0").withColumns({
         "fraud_score": score, "status": F.when(score > 0.6, "FLAGGED").otherwise("CLEARED"),
         "createdAt": at(1), "updatedAt": at(1)})
     table.write_batch(scored, 0, "scoring")
     table.write_batch(scored.withColumn("status", F.lit("REPLAYED")), 0, "scoring")
-    chosen = table.flagged().filter("event_id % 4 = 0").select("_id", F.lit("BLOCKED").alias("new_status"))
+    published = table.publish(f"{root}/published")
+    chosen = published.filter("status = 'FLAGGED' AND event_id % 4 = 0").select("_id", F.lit("BLOCKED").alias("new_status"))
     mu.store_review(table, chosen, "analyst_1", f"{root}/audit", 0, now=at(2))
     return table.current()
 
@@ -226,6 +229,30 @@ def q_publish(spark, sf):
                     F.get_json_object(v, "$.status").alias("status"))
 
 
+@register("message_topics", "topic:s, key:s, amount:d, message:s, dense:b",
+          "SELECT 'transactions' AS topic, _id AS key, amount, NULL AS message, true AS dense FROM transactions UNION ALL "
+          "SELECT 'transactions-dlq', NULL, CASE WHEN event_id % 97 <> 0 THEN amount END, "
+          "CASE WHEN event_id % 97 = 0 THEN 'Malformed JSON' ELSE 'Schema validation failed' END, true "
+          f"FROM transactions WHERE {FAULTS}")
+def q_topics(spark, sf):
+    """Both topics published to a message log and read back: what a record says, and whether offsets have neither gap nor double."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/topics-{uuid.uuid4().hex}"
+    message_log.publish(mu.publish_json(tx(spark, sf).select(*PUB_COLS), key="_id"), f"{root}/transactions")
+    invalid = va.validate_messages(fx(spark, sf)["messages"]).filter(~F.col("valid"))
+    message_log.publish(mu.dead_letter_json(mu.dead_letters(invalid, now=fixed_now())), f"{root}/transactions-dlq")
+    v = F.col("value")
+    seen = {"transactions": (F.get_json_object(v, "$.amount"), F.lit(None).cast("string")),
+            "transactions-dlq": (F.get_json_object(v, "$.originalMessage.amount"), F.get_json_object(v, "$.error.message"))}
+    out = None
+    for topic, (amount, message) in seen.items():
+        log = message_log.read_log(spark, f"{root}/{topic}")
+        places = log.agg(((F.count_distinct("offset") == F.count(F.lit(1))) & (F.max("offset") + 1 == F.count(F.lit(1)))).alias("dense"))
+        rows = log.select(F.lit(topic).alias("topic"), "key", amount.cast("double").alias("amount"), message.alias("message"))
+        rows = rows.crossJoin(F.broadcast(places))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @register("json_roundtrip", "_id:s, amount:d, lat:d, lon:d, fraud_score:d, status:s",
           "SELECT _id, amount, lat, lon, fraud_score, status FROM transactions")
 def q_json(spark, sf):
@@ -288,10 +315,10 @@ def _valid_online_sql():
           f"count(*) FILTER (WHERE model_failed) AS model_errors "
           f"FROM ({scored_sql(f'SELECT * EXCLUDE (status, fraud_score) FROM ({_valid_online_sql()}) o')}) s")
 def q_counters(spark, sf):
-    from txguard.operators.metrics import pipeline_counters
-    m = va.validate_messages(fx(spark, sf)["messages"])
-    valid = m.filter("valid").select("event_id", *va.STRING_FIELDS, *va.NUMBER_FIELDS, "timestamp")
-    scored = sc.score_rows(on.online_features(valid), **fixtures.fixture_model())
+    """Messages are parsed and checked once, into a table from which both sides are counted."""
+    m = va.validate_messages(fx(spark, sf)["messages"]).select("event_id", "valid", *va.STRING_FIELDS, *va.NUMBER_FIELDS, "timestamp")
+    m, _ = materialize(m, "checked-messages")
+    scored = sc.score_rows(on.online_features(m.filter("valid").drop("valid")), **fixtures.fixture_model())
     return pipeline_counters(scored, m.filter(~F.col("valid")))
 
 

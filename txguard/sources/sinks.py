@@ -1,173 +1,98 @@
-"""Sinks: versioned (merge-on-read) tables, append tables, JSON message files.
-
-Without a lakehouse format there is no in-place MERGE.  A ``VersionedTable`` is
-a log of committed batches plus snapshots:
-
-* ``log/_writer=w/_batch=n``: the rows one writer stored in its batch n.  Each
-  batch is written once; a replayed batch finds its folder and leaves it, so
-  replays change nothing and writers never touch each other's batches.
-* ``snapshots/<n>``: one row per key, partitioned by status, made from the
-  batches listed with it.
-* ``current/<n>``: a one-line pointer to a snapshot and its batches; the highest
-  complete one counts.  Compaction writes a new snapshot first and the pointer
-  last, so a batch that arrives meanwhile stays in the tail, and a crash leaves
-  the old pointer in force.
-
-Readers merge the snapshot with the tail of newer batches.  The newest version
-of a key is the one with the latest ``updatedAt`` (then writer, batch, row);
-``createdAt`` is the earliest of all its versions.
+"""Sinks: stored batches of rows and append tables; messages go to ``message_log``.
+
+Everything is Parquet in partition folders that Spark itself writes,
+commits, discovers and prunes.  A ``StoredTable`` keeps what several writers
+stored, partitioned by writer, batch and part; its current rows are one
+aggregation over them, which ``publish`` writes partitioned by status for
+readers that want few rows.  A batch belongs to its writer and is written once:
+a replayed batch finds itself stored, so replays change nothing and writers
+never touch each other's folders.  The newest version of a key is the one with
+the latest ``updatedAt`` (then writer, batch, part, row); ``createdAt`` is the
+earliest of all its versions.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+WHOLE = "all"                                  # the part of a batch that was not cut
+VERSION = ["_at", "_writer", "_batch", "_part", "_seq"]
+
+
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
 
-from txguard.operators.mutations import bounded_broadcast
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _folder(spark, path)
+    return fs.exists(p)
 
-VERSION = ["_at", "_writer", "_batch", "_seq"]
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a batch's folder, if there is one."""
+    fs, p = _folder(spark, path)
+    fs.delete(p, True)
 
-class VersionedTable:
+
+def read_or_empty(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """The rows under ``path``; none where nothing was ever written (a failed read is an error)."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+class StoredTable:
     def __init__(self, spark: SparkSession, path: str, key: str = "_id"):
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
 
-    # ---- files -----------------------------------------------------------
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _children(self, path: str) -> list[str]:
-        fs, p = self._fs(path)
-        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
-
-    def batches(self) -> list[tuple[str, int]]:
-        """(writer, batch) of all committed batches."""
-        out = []
-        for w in self._children(f"{self.path}/log"):
-            if w.startswith("_writer="):
-                names = self._children(f"{self.path}/log/{w}")
-                out += [(w[8:], int(n[7:])) for n in names if n.startswith("_batch=")
-                        and "_SUCCESS" in self._children(f"{self.path}/log/{w}/{n}")]
-        return out
-
-    def _pointer(self) -> dict | None:
-        names = [n for n in self._children(f"{self.path}/current") if n.isdigit()]
-        if not names:
-            return None
-        # a folder with _SUCCESS is complete
-        for n in sorted(names, key=int, reverse=True):
-            if "_SUCCESS" in self._children(f"{self.path}/current/{n}"):
-                return json.loads(self.spark.read.text(f"{self.path}/current/{n}").first()[0])
-        return None
-
-    # ---- writes ----------------------------------------------------------
-    def write_batch(self, df: DataFrame, batch_id: int, writer: str = "main") -> bool:
-        """Store a batch; False if this writer's batch is stored already (a replay)."""
-        if (writer, int(batch_id)) in self.batches():
+    def folder(self, writer: str, batch_id: int, part: str | None = None) -> str:
+        batch = f"{self.path}/_writer={writer}/_batch={int(batch_id)}"
+        return batch if part is None else f"{batch}/_part={part}"
+
+    def write_batch(self, df: DataFrame, batch_id: int, writer: str = "main", part: str = WHOLE) -> bool:
+        """Store a batch, or a part of one; False if it is stored already (a replay)."""
+        folder = self.folder(writer, batch_id, part)
+        if exists(self.spark, f"{folder}/_SUCCESS"):
             return False
-        out = df.withColumn("_seq", F.monotonically_increasing_id())
-        out.write.mode("overwrite").parquet(f"{self.path}/log/_writer={writer}/_batch={int(batch_id)}")
+        df.withColumn("_seq", F.monotonically_increasing_id()).write.mode("overwrite").parquet(folder)
         return True
 
-    def compact(self) -> None:
-        """Fold all batches committed by now into a new snapshot."""
-        pointer, done = self._pointer(), self.batches()
-        number = (pointer["snapshot"] if pointer else 0) + 1
-        snap = self._merged(pointer, done)
-        if snap is None:
-            return
-        writer = snap.write.mode("overwrite")
-        if "status" in snap.columns:
-            snap = snap.withColumn("_status", F.coalesce("status", F.lit("")))
-            writer = snap.write.mode("overwrite").partitionBy("_status")
-        writer.parquet(f"{self.path}/snapshots/{number}")
-        line = json.dumps({"snapshot": number, "batches": done})
-        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(
-            f"{self.path}/current/{number}")
-
-    # ---- reads -----------------------------------------------------------
-    def exists(self) -> bool:
-        return bool(self.batches())
-
     def log(self) -> DataFrame:
-        """Rows of all batches, with their writer and batch."""
-        return self._read(self.batches())
-
-    def _read(self, batches: list[tuple[str, int]]) -> DataFrame | None:
-        out = None
-        by_writer: dict[str, list[int]] = {}
-        for w, n in batches:
-            by_writer.setdefault(w, []).append(n)
-        for w, numbers in by_writer.items():
-            paths = [f"{self.path}/log/_writer={w}/_batch={n}" for n in numbers]
-            rows = (self.spark.read.option("basePath", f"{self.path}/log/_writer={w}").option("mergeSchema", True)
-                    .parquet(*paths).withColumns({"_writer": F.lit(w), "_batch": F.col("_batch").cast("bigint")}))
-            out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-        return out
-
-    def _versioned(self, rows: DataFrame) -> DataFrame:
-        at = F.col("updatedAt") if "updatedAt" in rows.columns else F.lit(None).cast("timestamp")
-        return rows.withColumn("_at", at)
+        """Rows of all batches, with their writer, batch and part; a column that a writer does not have is NULL."""
+        if not exists(self.spark, self.path):
+            raise ValueError(f"{self.path} holds no batch")
+        rows = self.spark.read.option("mergeSchema", True).parquet(self.path)
+        return rows.withColumns({"_batch": F.col("_batch").cast("bigint"), "_part": F.col("_part").cast("string"),
+                                 "_writer": F.col("_writer").cast("string")})
 
-    def _newest(self, rows: DataFrame) -> DataFrame:
-        """Newest version per key by a partially aggregated max."""
+    def current(self) -> DataFrame:
+        """One row per key, the newest version, by a partially aggregated maximum."""
+        rows = self.log()
+        at = F.col("updatedAt") if "updatedAt" in rows.columns else F.lit(None).cast("timestamp")
+        rows = rows.withColumn("_at", at)
         cols = [c for c in rows.columns if c != self.key and c not in VERSION]
-        aggs = [F.max_by(F.struct(*cols), F.struct(*VERSION)).alias("_row"), F.max(F.struct(*VERSION)).alias("_v")]
+        aggs = [F.max_by(F.struct(*cols), F.struct(*VERSION)).alias("_row")]
         if "createdAt" in cols:
             aggs.append(F.min("createdAt").alias("_first"))
-        g = rows.groupBy(self.key).agg(*aggs)
-        out = [F.col("_first").alias(c) if c == "createdAt" else F.col(f"_row.{c}").alias(c) for c in cols]
-        return g.select(self.key, *out, *[F.col(f"_v.{v}").alias(v) for v in VERSION])
-
-    def _merged(self, pointer: dict | None, batches: list, where=None) -> DataFrame | None:
-        """Current rows with their version; ``where`` is pushed into the snapshot."""
-        folded = {tuple(b) for b in pointer["batches"]} if pointer else set()
-        tail = self._read([b for b in batches if b not in folded])
-        tail = self._versioned(tail) if tail is not None else None
-        if pointer is None:
-            return None if tail is None else self._filtered(self._newest(tail), where)
-        snap = self.spark.read.parquet(f"{self.path}/snapshots/{pointer['snapshot']}")
-        snap = snap.drop("_status")
-        if tail is None:
-            return self._filtered(snap, where)
-        keys = bounded_broadcast(tail.select(self.key).distinct())      # few batches since the last compaction
-        touched = snap.join(keys, self.key, "left_semi").unionByName(tail, allowMissingColumns=True)
-        rest = self._filtered(snap, where).join(keys, self.key, "left_anti")
-        return rest.unionByName(self._filtered(self._newest(touched), where), allowMissingColumns=True)
-
-    @staticmethod
-    def _filtered(df: DataFrame, where) -> DataFrame:
-        return df if where is None else df.filter(where)
-
-    def current(self, where=None) -> DataFrame:
-        """One row per key; ``where`` filters the current rows and prunes the snapshot."""
-        rows = self._merged(self._pointer(), self.batches(), where)
-        if rows is None:
-            raise ValueError(f"{self.path} holds no batch")
-        return rows.drop(*VERSION)
+        newest = rows.groupBy(self.key).agg(*aggs)
+        return newest.select(self.key, *[F.col("_first").alias(c) if c == "createdAt" else F.col(f"_row.{c}").alias(c) for c in cols])
 
-    def flagged(self) -> DataFrame:
-        """Current FLAGGED rows; the snapshot is read through its status, not shuffled."""
-        return self.current(F.col("status") == "FLAGGED")
+    def publish(self, path: str) -> DataFrame:
+        """Write the current rows to ``path``, partitioned by status, and read them back.
 
+        A filter on status then reads that status' folder and shuffles nothing.
+        Publish to a new path each time, so that readers of the last one go on.
+        """
+        self.current().write.mode("overwrite").partitionBy("status").parquet(path)
+        return self.spark.read.parquet(path)
 
-def append(df: DataFrame, path: str, batch_id: int | None = None) -> None:
-    """Append rows; with a batch id the batch's own partition is replaced (idempotent)."""
+
+def append(df: DataFrame, path: str, batch_id: int | None = None, part: str = WHOLE) -> None:
+    """Append rows; with a batch id the part's own folder is replaced (idempotent)."""
     if batch_id is None:
         df.write.mode("append").parquet(path)
     else:
-        (df.withColumn("_batch", F.lit(int(batch_id)).cast("bigint"))
-           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-           .partitionBy("_batch").parquet(path))
-
-
-def write_json_messages(df: DataFrame, path: str, batch_id: int | None = None) -> None:
-    """Message sink for environments without a broker: one JSON text per row."""
-    out = df.select("value")
-    if batch_id is not None:
-        out.write.mode("overwrite").text(f"{path.rstrip('/')}/batch={int(batch_id)}")
-    else:
-        out.write.mode("append").text(path)
+        df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/_batch={int(batch_id)}/_part={part}")

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from txguard.operators import mutations as mu
 from txguard.operators.validate import INGRESS_COLUMNS, request_errors
 from txguard.plans.fence import fence
-from txguard.sources.sinks import VersionedTable, append, write_json_messages
+from txguard.sources.message_log import publish
+from txguard.sources.sinks import StoredTable, append
 
 
 def parse_requests(raw: DataFrame) -> DataFrame:
@@ -25,27 +26,27 @@ def parse_requests(raw: DataFrame) -> DataFrame:
     return r.withColumns({**typed, "errors": request_errors(p)}).drop("payload")
 
 
-def ingest(batch: DataFrame, batch_id: int, transactions: str, rejects: str, topic_dir: str) -> None:
-    """Store one micro-batch of ``value`` rows."""
+def ingest(batch: DataFrame, batch_id: int, transactions: str, rejects: str, topic: str) -> None:
+    """Store one micro-batch of ``value`` rows and publish it to the message log ``topic``."""
     placed = batch.select("value").withColumn("_row", F.monotonically_increasing_id())
     req = parse_requests(placed).persist()
     try:
         valid = req.filter(F.size("errors") == 0).withColumn("_batch_no", F.lit(int(batch_id)))
         stored = mu.with_defaults(valid, id_from=["_batch_no", "_row", "value"]).drop("value", "errors", "_row", "_batch_no")
-        VersionedTable(batch.sparkSession, transactions).write_batch(stored, batch_id, "ingress")
-        write_json_messages(mu.publish_json(stored.select("_id", *INGRESS_COLUMNS, "fraud_score", "status", "timestamp",
-                                                          "createdAt", "updatedAt")), topic_dir, batch_id)
+        StoredTable(batch.sparkSession, transactions).write_batch(stored, batch_id, "ingress")
+        publish(mu.publish_json(stored.select("_id", *INGRESS_COLUMNS, "fraud_score", "status", "timestamp",
+                                              "createdAt", "updatedAt")), topic, f"ingress-{batch_id}")
         append(req.filter(F.size("errors") > 0).select("value", "errors"), rejects, batch_id)
     finally:
         req.unpersist()
 
 
-def start_ingress(spark: SparkSession, source: str, transactions: str, rejects: str, topic_dir: str,
+def start_ingress(spark: SparkSession, source: str, transactions: str, rejects: str, topic: str,
                   checkpoint: str, available_now: bool = False):
     raw = spark.readStream.format("text").load(source)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        ingest(batch, batch_id, transactions, rejects, topic_dir)
+        ingest(batch, batch_id, transactions, rejects, topic)
 
     w = raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:
