@@ -62,7 +62,7 @@ def expanding_median(df: DataFrame, order_id: str = "event_id", hot_rows: int |
                      block_rows: int | None = None) -> DataFrame:
     """Median of the card's amounts so far, current row included (exact); missing amounts are skipped."""
     light, hot = sq.split_hot(df, CARD, hot_rows or sq.HOT_ROWS)
-    out = expanding_median_light(light, CARD, [TIME, order_id], AMT, "median_purchase_price")
+    out = expanding_median_light(light.repartition(CARD), CARD, [TIME, order_id], AMT, "median_purchase_price")
     if hot is None:
         return out
     counted = sq.positions(hot, CARD, [TIME, order_id], counted=_known_amount())
@@ -175,10 +175,9 @@ def bounded_card_columns(order_id: str = "event_id"):
     return build
 
 
-def _features_plain(df: DataFrame, order_id: str, prepartition: bool) -> DataFrame:
-    if prepartition:
-        # one exchange for the window specs (card) and (card, merchant) and the median
-        df = df.repartition(CARD)
+def _features_plain(df: DataFrame, order_id: str) -> DataFrame:
+    # one exchange for the window specs (card) and (card, merchant) and the median
+    df = df.repartition(CARD)
     w = card_window(order_id=order_id)
     df = df.withColumns(bounded_card_columns(order_id)(w))
     again = F.row_number().over(Window.partitionBy(CARD, MERCHANT).orderBy(TIME, order_id)) > 1
@@ -209,7 +208,7 @@ def row_features(df: DataFrame) -> DataFrame:
         {**_interaction_columns(), **_temporal_columns(), **_zscore_columns()})
 
 
-def engineer_features(df: DataFrame, order_id: str = "event_id", prepartition: bool = True,
+def engineer_features(df: DataFrame, order_id: str = "event_id",
                       skew_safe: bool = True, hot_rows: int | None = None,
                       block_rows: int | None = None) -> DataFrame:
     """All 29 features on raw card transactions.
@@ -228,7 +227,7 @@ def engineer_features(df: DataFrame, order_id: str = "event_id", prepartition: b
         light, hot = sq.split_hot(df, CARD, hot_rows or sq.HOT_ROWS)
     else:
         light, hot = df, None
-    out = _features_plain(light, order_id, prepartition)
+    out = _features_plain(light, order_id)
     if hot is not None:
         out = out.unionByName(_features_hot(hot, order_id, block_rows or sq.BLOCK_ROWS),
                               allowMissingColumns=True)

@@ -10,11 +10,12 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txguard.schemas import (ALERTS_DEFAULT, ALERTS_MAX, FLAGGED_LIMIT, PAGE_DEFAULT, PAGE_MAX)
 
+
 def newest_first() -> list[Column]:
     return [F.col("createdAt").desc(), F.col("_id").asc()]
 
@@ -77,6 +78,62 @@ def search(tx: DataFrame, user_id=None, status=None, min_amount=None, max_amount
     return rows, info
 
 
+def _place() -> list[Column]:
+    """The page order as three ascending keys: missing times last, newest first, then the id."""
+    return [F.col("createdAt").isNull().alias("late"), (-F.unix_micros(F.col("createdAt").cast("timestamp"))).alias("age"),
+            F.col("_id").alias("id")]
+
+
+def page_after(tx: DataFrame, created_at=None, id_: str | None = None, limit=None) -> DataFrame:
+    """The page behind the row with this time and id, or the first one: a filter and a top-n, however far down it is."""
+    _, n = page_params(1, limit)
+    if id_ is None:
+        return newest(tx, n)
+    later = F.col("_id") > F.lit(id_)
+    if created_at is None:
+        return newest(tx.filter(F.col("createdAt").isNull() & later), n)
+    t = F.lit(created_at)
+    return newest(tx.filter((F.col("createdAt") < t) | ((F.col("createdAt") == t) & later) | F.col("createdAt").isNull()), n)
+
+
+def page_index(tx: DataFrame, ranges: int = 1000) -> DataFrame:
+    """One row per range of the page order: how many rows are before it (``start``) and in it (``n``), its first and last place.
+
+    The ranges are those of a range exchange of time and id, so rows of one time
+    are cut as well.  Keep the index as a table beside ``tx`` and make it anew
+    when ``tx`` changes.
+    """
+    keys = tx.select(*_place()).repartitionByRange(ranges, "late", "age", "id")
+    place = F.struct("late", "age", "id")
+    r = keys.groupBy(F.spark_partition_id().alias("range")).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"),
+                                                               F.max(place).alias("last"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)           # ``ranges`` rows
+    return r.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), "n", "first", "last")
+
+
+def page_at(tx: DataFrame, index: DataFrame, page=None, limit=None) -> DataFrame:
+    """Page ``page`` of all rows by reading only the ranges it lies in; the same rows as with an offset."""
+    p, n = page_params(page, limit)
+    offset = (p - 1) * n
+    hit = index.filter((F.col("start") < offset + n) & (F.col("start") + F.col("n") > offset)).orderBy("range").collect()
+    if not hit:
+        return tx.limit(0)
+    first, last = hit[0]["first"], hit[-1]["last"]
+    late, age, id_ = _place()
+    place = F.struct(late, age, id_)
+
+    def literal(k):
+        return F.struct(F.lit(k["late"]).alias("late"), F.lit(k["age"]).cast("bigint").alias("age"), F.lit(k["id"]).alias("id"))
+
+    rows = tx.filter((place >= literal(first)) & (place <= literal(last)))
+    # the same bounds on the stored column, which the scan can use to skip files and row groups
+    kind = tx.schema["createdAt"].dataType
+    if not last["late"]:
+        oldest, newest_ = (F.timestamp_micros(F.lit(-k["age"])).cast(kind) for k in (last, first))
+        rows = rows.filter(F.col("createdAt").between(oldest, newest_))
+    return rows.orderBy(*newest_first()).offset(offset - hit[0]["start"]).limit(n)
+
+
 def by_id(tx: DataFrame, id_: str) -> DataFrame:
     """Point lookup; an empty result means not found."""
     return tx.filter(F.col("_id") == F.lit(id_))
@@ -138,7 +195,6 @@ def newest(tx: DataFrame, n: int = PAGE_DEFAULT) -> DataFrame:
 def risk_series(tx: DataFrame, n: int = PAGE_DEFAULT) -> DataFrame:
     """Chart rows: newest n, in ascending time, with fraud_score in percent."""
     top = newest(tx, n)
-    from pyspark.sql import Window
     w = Window.orderBy(F.col("createdAt").asc(), F.col("_id").desc())  # over n rows only
     return top.select(F.row_number().over(w).alias("pos"),
                       F.date_format("createdAt", "HH:mm:ss").alias("time"), "amount",

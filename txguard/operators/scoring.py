@@ -11,14 +11,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from txguard.functions.text import to_fixed
+from txguard.plans.asof import as_of
 from txguard.plans.fence import fence
-from txguard.schemas import (AE_LAYERS, AE_SCORE_DIVISOR, DEFAULT_THRESHOLD, FEATURE_COLS, FLAG_FIELDS,
-                             GEO_REASON_KM, MODEL_FAILURE_SCORE, MODEL_FAILURE_TEXT,
-                             REFERENCE_SCALER_MEAN, REFERENCE_SCALER_SCALE, SPEND_REASON_RATIO)
+from txguard.schemas import (AE_LAYERS, AE_SCORE_DIVISOR, ANOMALY_TEXT, DEFAULT_THRESHOLD, FEATURE_COLS, FLAG_FIELDS,
+                             GEO_REASON_KM, GEO_TEXT, MODEL_FAILURE_SCORE, MODEL_FAILURE_TEXT, REFERENCE_SCALER_MEAN,
+                             REFERENCE_SCALER_SCALE, RISK_TEXT, SPEND_REASON_RATIO, SPEND_TEXT)
 
 # ---------------------------------------------------------------- scaler ----
 
@@ -153,6 +156,30 @@ def recon_mse(df: DataFrame, n: int = len(FEATURE_COLS), x: str = "x", r: str =
     return fence(out, [name])
 
 
+def recon_mse_batches(df: DataFrame, weights: Weights, inputs: list[str], name: str = "mse", batch_size: int = 10_000) -> DataFrame:
+    """The reconstruction error by matrix products over Arrow batches, equal to ``reconstruct`` and ``recon_mse``.
+
+    The inputs go to Python and one number comes back, no reconstructed columns.
+    A missing input gives NaN, which counts as a model failure like NULL.
+    """
+    def make():
+        import numpy as np
+        layers = [(np.asarray(W, dtype="float64"), np.asarray(b, dtype="float64")) for W, b in weights]
+
+        def errors(x):
+            h = x
+            for k, (W, b) in enumerate(layers):
+                h = h @ W + b
+                if k < len(layers) - 1:
+                    h = np.maximum(h, 0.0)
+            return ((h - x) ** 2).mean(axis=1)
+        return errors
+
+    batches = predict_batch_udf(make, return_type=DoubleType(), batch_size=batch_size, input_tensor_shapes=[[len(inputs)]])
+    known = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in inputs]
+    return df.withColumn(name, batches(F.array(*known)))
+
+
 # ------------------------------------------------------- supervised side ----
 
 
@@ -209,6 +236,19 @@ def set_threshold(spark, path: str, value: float) -> None:
         .write.mode("append").parquet(path)
 
 
+def decide_as_of(scored: DataFrame, history: DataFrame, time: str = "timestamp", default: float = DEFAULT_THRESHOLD,
+                 **cut) -> DataFrame:
+    """Add ``threshold``, the one in force at the record's own time, and ``status`` by it.
+
+    ``history`` has one row per change, ``threshold`` and ``updatedAt``; a record
+    before the first change, or without a time, gets the default.  A replay of
+    old records so decides as the day did, not as today would.
+    """
+    out = as_of(scored.drop("threshold", "status"), history, time, "updatedAt", "threshold", "threshold", **cut)
+    out = out.withColumn("threshold", F.coalesce(F.col("threshold").cast("double"), F.lit(default)))
+    return out.withColumn("status", F.when(F.col("fraud_score") > F.col("threshold"), "FLAGGED").otherwise("CLEARED"))
+
+
 def ensemble(df: DataFrame, sup: str = "xgb_score", mse: str = "mse") -> DataFrame:
     """ae = min(mse/1.5, 1); score = 0.5*sup + 0.5*ae; NULL/NaN -> model failure."""
     m = F.col(mse)
@@ -224,12 +264,10 @@ def ensemble(df: DataFrame, sup: str = "xgb_score", mse: str = "mse") -> DataFra
 def reasoning(sup: str = "xgb_score") -> Column:
     dist = F.col("distance_from_last_transaction")
     ratio = F.col("ratio_to_median_purchase_price")
-    base = F.concat(F.lit("XGBoost Risk: "), to_fixed(F.col(sup) * 100, 1),
-                    F.lit("% | Autoencoder Anomaly Score: "), to_fixed(F.col("ae_score") * 100, 1), F.lit("%"))
-    geo = F.when(dist > GEO_REASON_KM, F.concat(F.lit(" | Geographic Anomaly: "), to_fixed(dist, 0),
-                                                F.lit("km distance jump."))).otherwise(F.lit(""))
-    spend = F.when(ratio > SPEND_REASON_RATIO, F.concat(F.lit(" | Spend Anomaly: "), to_fixed(ratio, 1),
-                                                        F.lit("x higher than usual."))).otherwise(F.lit(""))
+    base = F.concat(F.lit(RISK_TEXT), to_fixed(F.col(sup) * 100, 1),
+                    F.lit(ANOMALY_TEXT), to_fixed(F.col("ae_score") * 100, 1), F.lit("%"))
+    geo = F.when(dist > GEO_REASON_KM, F.concat(F.lit(GEO_TEXT[0]), to_fixed(dist, 0), F.lit(GEO_TEXT[1]))).otherwise(F.lit(""))
+    spend = F.when(ratio > SPEND_REASON_RATIO, F.concat(F.lit(SPEND_TEXT[0]), to_fixed(ratio, 1), F.lit(SPEND_TEXT[1]))).otherwise(F.lit(""))
     return F.when(F.col("model_failed"), F.lit(MODEL_FAILURE_TEXT)).otherwise(F.concat(base, geo, spend))
 
 

@@ -27,6 +27,7 @@ MAX_SIDE^2 cells per key.
 from __future__ import annotations
 
 from bisect import insort
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,27 +42,29 @@ from txguard.plans.sequence import positions
 MAX_SIDE = 20_000
 
 
-def running_medians(values: list) -> list:
-    """Median of the values so far at each place, missing ones skipped; None before the first."""
-    seen: list[float] = []
-    out = []
-    for v in values:
-        if v is not None and v == v:
-            insort(seen, v)
-        n = len(seen)
-        out.append(0.5 * seen[(n - 1) // 2] + 0.5 * seen[n // 2] if n else None)
-    return out
+def running_medians(batches: Iterator[pa.RecordBatch], key: str, value: str, name: str) -> Iterator[pa.RecordBatch]:
+    """Rows in order of key and time, with the median of the key's values so far; None before the first value."""
+    current, seen = None, []
+    for batch in batches:
+        out = []
+        for k, v in zip(batch.column(batch.schema.get_field_index(key)).to_pylist(),
+                        batch.column(batch.schema.get_field_index(value)).to_pylist()):
+            if k != current:
+                current, seen = k, []
+            if v is not None and v == v:
+                insort(seen, v)
+            n = len(seen)
+            out.append(0.5 * seen[(n - 1) // 2] + 0.5 * seen[n // 2] if n else None)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, name])
 
 
 def expanding_median_light(df: DataFrame, key: str, order: list[str], value: str, name: str) -> DataFrame:
-    """``df`` with the running median, each key in one task."""
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
-
-    def one(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in order])
-        return table.append_column(name, pa.array(running_medians(table.column(value).to_pylist()), pa.float64()))
+    """``df``, already dealt out by key, with the running median: one pass over each partition's sorted rows.
 
-    return df.groupBy(key).applyInArrow(one, schema)
+    No group is built: a task holds one Arrow batch and the values of one key.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
+    return df.sortWithinPartitions(key, *order).mapInArrow(lambda it: running_medians(it, key, value, name), schema)
 
 
 def _kth_medians(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -65,6 +65,25 @@ def q_page(spark, sf):
         Window.orderBy(F.col("createdAt").desc(), F.col("_id"))) + 20)
 
 
+DEEP_PAGE = 47
+
+
+@register("tx_page_seek", TX, TXSQL + f" ORDER BY createdAt DESC, _id LIMIT 20 OFFSET {20 * (DEEP_PAGE - 1)}")
+def q_page_seek(spark, sf):
+    """A page far down, reached over the index of ranges of the page order."""
+    t = tx(spark, sf)
+    return qy.page_at(t, qy.page_index(t, 16), DEEP_PAGE, 20)
+
+
+@register("tx_page_after", TX, TXSQL + " WHERE (createdAt, _id) IN (SELECT (createdAt, _id) FROM transactions ORDER BY createdAt DESC, _id "
+          "LIMIT 20 OFFSET 20)")
+def q_page_after(spark, sf):
+    """The page behind the last row of the first one, found by that row's time and id."""
+    t = tx(spark, sf)
+    last = t.orderBy(*qy.newest_first()).limit(20).collect()[-1]
+    return qy.page_after(t, last["createdAt"], last["_id"], 20)
+
+
 @register("tx_page_info", "page:i, limit:i, total:i, pages:i",
           "SELECT 2 AS page, 20 AS \"limit\", count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS pages "
           "FROM transactions WHERE status = 'FLAGGED'")

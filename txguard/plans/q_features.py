@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from txguard.operators import features as feat
 from txguard.plans.registry import register
 from txguard.plans.sqlfrag import FEATURES_BATCH, feature_spec, features_batch_sql, hav_asin, win, UNB, rows, flag
-from txguard.schemas import FEATURE_COLS
+from txguard.schemas import FEATURE_COLS, RAW_TRANSACTION_SCHEMA
 from txguard.session import ensure_checkpoint_dir
 from txguard.sources import fixtures
-from txguard.sources.tables import normal_rows, read_raw_csv, read_table, union_sources
+from txguard.sources.tables import normal_rows, read_raw_csv, read_raw_csv_strict, read_table, union_sources
 
 
 def cards(spark, sf):
@@ -166,6 +166,18 @@ def q_features_csv(spark, sf):
     return feat.engineer_features(read_raw_csv(spark, path))
 
 
+@register("features_from_csv_sets", feature_spec("cc_num:i"), FEATURES_BATCH)
+def q_features_csv_sets(spark, sf):
+    """Two sets of CSV files, the second with its columns in another order and one more, read together."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    raw = cards(spark, sf).withColumn("trans_date_trans_time", F.col("trans_date_trans_time").cast("string"))
+    names = RAW_TRANSACTION_SCHEMA.names
+    raw.filter("event_id % 3 <> 0").select(*names).write.option("header", True).csv(f"{path}/one")
+    raw.filter("event_id % 3 = 0").select(F.lit("x").alias("note"), *names[::-1]).write.option("header", True).csv(f"{path}/two")
+    rows, rejected = read_raw_csv_strict(spark, f"{path}/one", f"{path}/two")
+    return feat.engineer_features(rows.join(rejected, "event_id", "left_anti"))
+
+
 CARD_GAPS = [("card_gaps", "SELECT * REPLACE (CASE WHEN event_id % 5 <> 0 THEN amt END AS amt, "
               "CASE WHEN event_id % 3 <> 0 THEN merchant END AS merchant, "
               "date_trunc('day', trans_date_trans_time) AS trans_date_trans_time) FROM card_tx")]

@@ -38,6 +38,9 @@ ALERTS_DEFAULT, ALERTS_MAX = 20, 100
 MIN_RETRAIN_ROWS = 100
 MODEL_FAILURE_SCORE = 1.0
 MODEL_FAILURE_TEXT = "CAUTION: Model inference failed — flagged for manual review."
+RISK_TEXT, ANOMALY_TEXT = "XGBoost Risk: ", "% | Autoencoder Anomaly Score: "
+GEO_TEXT = (" | Geographic Anomaly: ", "km distance jump.")
+SPEND_TEXT = (" | Spend Anomaly: ", "x higher than usual.")
 EXPLAIN_UNAVAILABLE = " (AI explanation unavailable)"
 DLQ_TOPIC = "transactions-dlq"
 SOURCE_TOPIC = "transactions"
