@@ -1,6 +1,7 @@
 """Training loop: losses fall, same seed -> same weights, weight table round trip."""
 
 import numpy as np
+import pytest
 
 from tests.conftest import SF001
 from txguard.learning import autoencoder as ae
@@ -56,3 +57,74 @@ def test_scaler_round_trip(spark, tmp_path):
     jobs.save_scaler(s.to_frame(spark), str(tmp_path / "scaler"))
     back = jobs.load_scaler(spark, str(tmp_path / "scaler"))
     assert back.mean == s.mean and back.scale == s.scale
+
+
+def plain_training(X, keys, epochs, batch_size, lr, seed):
+    """One process, one optimiser state, the same mini-batches."""
+    ws = ae.init_weights(seed)
+    opt = ae.Adam(ws, lr)
+    batches = -(-len(X) // batch_size)
+    losses = []
+    for epoch in range(epochs):
+        mine = ae.batch_of(keys, seed, epoch, batches)
+        total = 0.0
+        for k in range(batches):
+            xb = X[mine == k]
+            if len(xb):
+                loss, gs = ae.grads(ws, xb)
+                ws = opt.step(ws, gs)
+                total += loss * len(xb)
+        losses.append(total / len(X))
+    return ws, losses
+
+
+def test_synchronous_training_does_not_depend_on_the_tasks(spark):
+    rng = np.random.default_rng(2)
+    X = rng.normal(size=(700, 29))
+    X[5] = X[6] = X[7]
+    cols = [f"x{i}" for i in range(29)]
+    rows = [(k, *map(float, r)) for k, r in enumerate(X)] + [(700, *([None] + [0.0] * 28))]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} double" for c in cols))
+    keys = np.array([r[0] for r in df.filter("id < 700").orderBy("id").selectExpr("xxhash64(id)").collect()])
+    ws, losses = plain_training(X, keys, 2, 256, 1e-3, 7)
+    for tasks in (1, min(8, spark.sparkContext.defaultParallelism)):
+        got = ae.fit_autoencoder(df.repartition(5), cols, epochs=2, batch_size=256, seed=7, key="id", tasks=tasks)
+        assert got.dropped == 1
+        assert np.abs(ae.flatten(got.weights) - ae.flatten(ws)).max() < 1e-9
+        assert np.allclose([h[1] for h in got.history], losses, rtol=1e-9)
+    with pytest.raises(ValueError, match="at once"):
+        ae.fit_autoencoder(df, cols, key="id", tasks=100_000)
+    # a mini-batch holds about as many rows as asked for, and another epoch deals them out anew
+    one, two = (np.bincount(ae.batch_of(keys, 7, e, 11)) for e in (0, 1))
+    assert one.max() < 110 and (ae.batch_of(keys, 7, 0, 11) != ae.batch_of(keys, 7, 1, 11)).mean() > 0.8
+
+
+def test_averaging_keeps_the_moments(spark):
+    """With one partition that holds one Arrow batch, averaging is plain training with this mode's own batches."""
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(300, 29))
+    cols = [f"x{i}" for i in range(29)]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in X], ", ".join(f"{c} double" for c in cols)).coalesce(1)
+    got = ae.fit_autoencoder(df, cols, epochs=3, batch_size=64, seed=7, mode="average")
+    ws = ae.init_weights(7)
+    opt = ae.Adam(ws, 1e-3)
+    for epoch in range(3):
+        shuffled = X[np.random.default_rng([7, epoch, 0]).permutation(len(X))]
+        for i in range(0, len(X), 64):
+            ws = opt.step(ws, ae.grads(ws, shuffled[i:i + 64])[1])
+    assert np.abs(ae.flatten(got.weights) - ae.flatten(ws)).max() < 1e-9
+
+
+def test_models_from_files(spark, tmp_path):
+    ws = ae.init_weights(4)
+    ae.save_weights(spark, ws, str(tmp_path / "weights"))
+    back = ae.load_weights(spark, str(tmp_path / "weights"))
+    assert back == ae.as_lists(ws)
+    cards = fixtures.card_tx(read_table(spark, SF001, "events"))
+    from txguard.operators.features import engineer_features
+    feats = engineer_features(cards)
+    model = jobs.fit_supervised(feats, max_iter=2)
+    jobs.save_supervised(model, str(tmp_path / "gbt"))
+    again = jobs.load_supervised(str(tmp_path / "gbt"))
+    a, b = (sc.supervised_probability(feats, m, "p").orderBy("event_id").select("p").collect() for m in (model, again))
+    assert a == b

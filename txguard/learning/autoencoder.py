@@ -1,24 +1,35 @@
-"""Autoencoder training as Spark jobs (local SGD with parameter averaging).
-
-Per epoch, one job: every partition starts from the broadcast weights, runs
-mini-batch Adam over its rows (streamed as Arrow batches, so memory is one
-batch), and returns its weights and loss sums.  They are averaged by row count
-in the JVM, one sum per weight, so 1,255 numbers reach the driver whatever the
-partition count.  Validation loss is one aggregate over the validation rows.
-
-The training frame is written once to the session's checkpoint folder, so
-every epoch re-reads a materialised table (lineage cut; survives executor
-loss) instead of recomputing features; it is deleted after the fit.  Rows with
-a missing feature cannot be trained on; they are left out and counted.
+"""Autoencoder training as Spark jobs.
+
+``mode="sync"`` trains as one process would: a barrier stage whose tasks each
+hold a share of the rows in memory.  Every mini-batch is the same set of rows
+whatever the partitioning (a hash of the row's key, the seed and the epoch says
+which), its gradient sums are gathered by all tasks in task order, and all of
+them take the same step of one Adam state, which lives through all epochs.  So
+the weights do not depend on the number of tasks.  A task holds at most
+``ROWS_PER_TASK`` rows; where several are needed, a mini-batch costs one round of
+messages among them, about a second by Spark's barrier.
+
+``mode="average"`` is for data with too many mini-batches for that: per epoch, one job in which every partition runs Adam
+over its own rows, streamed as Arrow batches, from the broadcast weights and
+moments.  These are averaged by row count in the JVM, one sum per number, so
+3,761 numbers reach the driver whatever the partition count.
+
+Validation loss is one aggregate over the validation rows.  The training frame
+is written once to the session's checkpoint folder (lineage cut; survives
+executor loss) and deleted after the fit.  Rows with a missing feature cannot
+be trained on; they are left out and counted.
 """
 
 from __future__ import annotations
 
+import base64
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,13 +117,77 @@ class Adam:
             new.append(p - self.lr * mh / (np.sqrt(vh) + self.eps))
         return [(new[2 * i], new[2 * i + 1]) for i in range(len(ws))]
 
+    def state(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in (*self.m, *self.v)])
 
-def _epoch_fn(flat_bc, cols, batch_size, lr, seed, epoch, layers):
+    def resume(self, state: np.ndarray, steps: int) -> None:
+        """Go on from the moments that ``state`` returned."""
+        at = 0
+        for arrays in (self.m, self.v):
+            for k, x in enumerate(arrays):
+                arrays[k] = state[at:at + x.size].reshape(x.shape)
+                at += x.size
+        self.t = steps
+
+
+def batch_of(keys: np.ndarray, seed: int, epoch: int, batches: int) -> np.ndarray:
+    """The mini-batch of each row in an epoch, from the hash of its key."""
+    x = keys.astype(np.int64).view(np.uint64) ^ np.uint64((seed * 0x9E3779B97F4A7C15 + epoch * 0xD6E8FEB86659FD93) % 2**64)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(32))) % np.uint64(batches)).astype(np.int64)
+
+
+def batch_sums(ws, X: np.ndarray) -> np.ndarray:
+    """Gradient sums over rows, then the loss sum and the rows: what adds up over the parts of a mini-batch."""
+    if not len(X):
+        return np.zeros(len(flatten(ws)) + 2)
+    loss, gs = grads(ws, X)
+    return np.concatenate([flatten(gs) * len(X), [loss * len(X), len(X)]])
+
+
+#: Rows that a task of synchronous training holds (29 numbers and a key each, 120 MB).
+ROWS_PER_TASK = 500_000
+
+
+def _sync_fn(flat_bc, cols: list[str], batches: int, epochs: int, lr: float, seed: int, layers, tasks: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import BarrierTaskContext
+        task = BarrierTaskContext.get()
+        parts = [b for b in it if b.num_rows]
+        X = np.concatenate([np.column_stack([b.column(k).to_numpy() for k in range(len(cols))]) for b in parts]) if parts \
+            else np.empty((0, len(cols)))
+        keys = np.concatenate([b.column(len(cols)).to_numpy() for b in parts]) if parts else np.empty(0, np.int64)
+        ws = unflatten(np.asarray(flat_bc.value), layers)
+        opt = Adam(ws, lr)
+        for epoch in range(epochs):
+            mine = batch_of(keys, seed, epoch, batches)
+            order = np.lexsort((keys, mine))
+            border = np.searchsorted(mine[order], np.arange(batches + 1))
+            loss_sum, rows = 0.0, 0.0
+            for k in range(batches):
+                sums = batch_sums(ws, X[order[border[k]:border[k + 1]]])
+                total = sums
+                if tasks > 1:
+                    gathered = task.allGather(base64.b64encode(sums.tobytes()).decode())
+                    total = np.sum([np.frombuffer(base64.b64decode(m)) for m in gathered], axis=0)
+                if total[-1]:
+                    ws = opt.step(ws, unflatten(total[:-2] / total[-1], layers))
+                    loss_sum, rows = loss_sum + total[-2], rows + total[-1]
+            if task.partitionId() == 0:
+                yield pa.record_batch([pa.array([epoch], pa.int32()), pa.array([flatten(ws).tolist()], pa.list_(pa.float64())),
+                                       pa.array([loss_sum / rows if rows else None], pa.float64())], names=["epoch", "flat", "loss"])
+    return run
+
+
+def _epoch_fn(state_bc, cols, batch_size, lr, seed, epoch, layers):
     def run(it):
         from pyspark import TaskContext
         pid = TaskContext.get().partitionId() if TaskContext.get() else 0
-        ws = unflatten(np.asarray(flat_bc.value), layers)
+        flat, moments, steps = state_bc.value
+        ws = unflatten(np.asarray(flat), layers)
         opt = Adam(ws, lr)
+        opt.resume(np.asarray(moments), steps)
         rng = np.random.default_rng([seed, epoch, pid])
         n, loss_sum = 0, 0.0
         for pdf in it:
@@ -128,8 +203,8 @@ def _epoch_fn(flat_bc, cols, batch_size, lr, seed, epoch, layers):
             n += len(X)
         if n == 0:
             return
-        # weights times rows, then the rows and the loss sum: adding these up gives all an epoch needs
-        yield pd.DataFrame({"sums": [[*(flatten(ws) * n).tolist(), float(n), loss_sum]]})
+        # weights and moments times rows, then steps, rows and the loss sum: adding these up gives all an epoch needs
+        yield pd.DataFrame({"sums": [[*(flatten(ws) * n).tolist(), *(opt.state() * n).tolist(), float((opt.t - steps) * n), float(n), loss_sum]]})
     return run
 
 
@@ -180,35 +255,76 @@ def val_loss(val: DataFrame, weights, cols, layers=AE_LAYERS) -> float:
     return row["sse"] / row["n"] if row["n"] else float("nan")
 
 
+def _sync_epochs(data: DataFrame, rows: int, cols, epochs, batch_size, lr, seed, layers, tasks: int):
+    """(weights, train loss) of every epoch, from one barrier stage."""
+    sc = data.sparkSession.sparkContext
+    if tasks > sc.defaultParallelism:
+        raise ValueError(f"synchronous training of {rows} rows needs {tasks} tasks at once, there is room for "
+                         f"{sc.defaultParallelism}: use mode='average'")
+    bc = sc.broadcast(flatten(init_weights(seed, layers)).tolist())
+    fn = _sync_fn(bc, cols, max(1, -(-rows // batch_size)), epochs, lr, seed, layers, tasks)
+    out = data.repartition(tasks).mapInArrow(fn, "epoch int, flat array<double>, loss double", barrier=True)
+    found = sorted(out.collect())              # one row of weights per epoch
+    bc.unpersist()
+    for r in found:
+        yield unflatten(np.asarray(r["flat"]), layers), r["loss"]
+
+
+def _averaged_epochs(data: DataFrame, cols, epochs, batch_size, lr, seed, layers):
+    """(weights, train loss) of every epoch, one job each."""
+    sc = data.sparkSession.sparkContext
+    flat = flatten(init_weights(seed, layers))
+    size, steps = len(flat), 0
+    moments = np.zeros(2 * size)
+    for epoch in range(epochs):
+        bc = sc.broadcast((flat.tolist(), moments.tolist(), steps))
+        sums = (data.select(*cols).mapInPandas(_epoch_fn(bc, cols, batch_size, lr, seed, epoch, layers), "sums array<double>")
+                .select(F.posexplode("sums").alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("x")))
+        found = dict(sums.collect())           # one number per weight and moment
+        bc.unpersist()
+        *numbers, taken, total, loss_sum = (found[k] for k in range(len(found)))
+        numbers = np.asarray(numbers) / total
+        flat, moments, steps = numbers[:size], numbers[size:], steps + round(taken / total)
+        yield unflatten(flat, layers), loss_sum / total
+
+
 def fit_autoencoder(train: DataFrame, cols: list[str], val: DataFrame | None = None, epochs: int = 15,
                     batch_size: int = 256, lr: float = 1e-3, seed: int = 42, keep: str = "last",
-                    layers=AE_LAYERS) -> FitResult:
-    """Train on scaled feature columns ``cols``; keep='last' (parity) or 'best'."""
+                    layers=AE_LAYERS, mode: str = "sync", key: str | None = None, tasks: int | None = None) -> FitResult:
+    """Train on scaled feature columns ``cols``; keep='last' (parity) or 'best'.
+
+    ``key`` names a column that tells rows apart and so deals them out to
+    mini-batches (without one the features do, and equal rows share theirs).
+    ``tasks`` of mode "sync" must all run at once; by default as few as hold the
+    rows.
+    """
+    if mode not in ("sync", "average"):
+        raise ValueError(f"mode is sync or average, not {mode}")
     spark = train.sparkSession
     numbers = [F.col(c).cast("double").alias(c) for c in cols]
-    data, path = materialize(train.select(*numbers), "ae-train")
+    data, path = materialize(train.select(*numbers, F.xxhash64(*([key] if key else cols)).alias("_key")), "ae-train")
     paths = [path]
     if val is not None:
         val, path = materialize(val.select(*numbers), "ae-val")
         paths.append(path)
         val = val.na.drop()
-    ws = init_weights(seed, layers)
-    best, best_loss = ws, float("inf")
     missing = F.greatest(*[(F.col(c).isNull() | F.isnan(c)).cast("int") for c in cols])
-    res = FitResult(ws, dropped=data.filter(missing == 1).count())
+    counts = data.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(missing), F.lit(0)).alias("missing")).first()
+    rows = counts["n"] - counts["missing"]
+    if not rows:
+        raise ValueError("no row to train on")
     data = data.na.drop()
-    for epoch in range(epochs):
-        bc = spark.sparkContext.broadcast(flatten(ws).tolist())
-        sums = (data.mapInPandas(_epoch_fn(bc, cols, batch_size, lr, seed, epoch, layers), "sums array<double>")
-                .select(F.posexplode("sums").alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("x")))
-        found = dict(sums.collect())           # one number per weight
-        bc.unpersist()
-        if not found:
-            raise ValueError("no row to train on")
-        *weights, total, loss_sum = (found[k] for k in range(len(found)))
-        ws = unflatten(np.asarray(weights) / total, layers)
-        vl = val_loss(val, ws, cols) if val is not None else float("nan")
-        res.history.append((epoch + 1, loss_sum / total, vl))
+    if mode == "sync":
+        tasks = tasks or -(-rows // ROWS_PER_TASK)
+        fitted = _sync_epochs(data, rows, cols, epochs, batch_size, lr, seed, layers, tasks)
+    else:
+        fitted = _averaged_epochs(data, cols, epochs, batch_size, lr, seed, layers)
+    ws = best = init_weights(seed, layers)
+    best_loss = float("inf")
+    res = FitResult(ws, dropped=counts["missing"])
+    for epoch, (ws, loss) in enumerate(fitted):
+        vl = val_loss(val, ws, cols, layers) if val is not None else float("nan")
+        res.history.append((epoch + 1, loss, vl))
         if val is not None and vl < best_loss:
             best, best_loss = ws, vl
     for path in paths:

@@ -44,12 +44,12 @@ def scaler_to_json(s: Scaler) -> str:
 
 
 def training_job(raw: DataFrame, key: str = "event_id", epochs: int = 15, batch_size: int = 256, lr: float = 1e-3,
-                 seed: int = 42, keep: str = "last") -> tuple[Scaler, FitResult]:
+                 seed: int = 42, keep: str = "last", mode: str = "sync") -> tuple[Scaler, FitResult]:
     feats = engineer_features(normal_rows(raw))
     scaler = Scaler.from_frame(fit_scaler(feats))
     scaled = scale_features(feats, scaler)
     train, val = hash_split(scaled, key, seed)
-    return scaler, fit_autoencoder(train, XS, val, epochs, batch_size, lr, seed, keep)
+    return scaler, fit_autoencoder(train, XS, val, epochs, batch_size, lr, seed, keep, mode=mode, key=key)
 
 
 def fit_supervised(feats: DataFrame, label: str = "is_fraud", seed: int = 42, max_iter: int = 20):
@@ -86,13 +86,13 @@ def evaluation_job(raw: DataFrame, scaler: Scaler, weights, threshold: float = 1
 
 
 def retrain(tx: DataFrame, scaler: Scaler, min_rows: int = MIN_RETRAIN_ROWS, epochs: int = 5,
-            batch_size: int = 32, lr: float = 1e-3, seed: int = 42) -> FitResult | None:
+            batch_size: int = 32, lr: float = 1e-3, seed: int = 42, mode: str = "sync") -> FitResult | None:
     """Retrain from reviewed CLEARED rows; None when fewer than ``min_rows`` exist."""
     src = retrain_source(tx)
     if src.limit(min_rows).count() < min_rows:
         return None
     scaled = scale_features(retrain_features(src), scaler)
-    return fit_autoencoder(scaled, XS, None, epochs, batch_size, lr, seed)
+    return fit_autoencoder(scaled, XS, None, epochs, batch_size, lr, seed, mode=mode, key="_id")
 
 
 def save_supervised(model, path: str) -> None:
