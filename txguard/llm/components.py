@@ -50,6 +50,8 @@ def connect(spark: SparkSession, scratch: Scratch, labels: DataFrame, links: Dat
 
 #: Groups up to this size are compared whole once their first pivot is done.
 SMALL = 32
+#: How many times more pivots a group gets in the next turn.
+MORE_PIVOTS = 16
 
 
 def link_groups(spark: SparkSession, scratch: Scratch, groups: DataFrame, about: DataFrame, may: Callable[[str, str], str],
@@ -63,16 +65,16 @@ def link_groups(spark: SparkSession, scratch: Scratch, groups: DataFrame, about:
     First every node meets the node in most groups of its own largest one, which
     settles clusters of near copies.  Then, each turn, pivots of every group
     that still has two labels meet its members of other components and leave the
-    group: they have met everyone in it.  A group gets one pivot first and four
-    times as many each turn, or all its pairs once it is small.  So every pair of
+    group: they have met everyone in it.  A group gets one pivot first and
+    ``MORE_PIVOTS`` times as many each turn, or all its pairs once it is small.  So every pair of
     a group is compared or lies in one component, and a group that has become
     one component is never expanded.
     """
     info = [c for c in about.columns if c != "node"]
+    cols = ["weight", "node", *info]      # the order makes the node in most groups the largest
     largest = F.max_by("key", F.struct("members", "key"))
     per = groups.groupBy("node").agg(F.count(F.lit(1)).alias("weight"), largest.alias("top"), F.collect_list("key").alias("keys"))
     per = scratch.write(per.join(about, "node"))
-    cols = ["weight", "node", *info]      # the order makes the node in most groups the largest
 
     def met_by(here: DataFrame, part: Column) -> tuple[DataFrame, DataFrame]:
         """The heaviest node of every part of every group, and its pairs with the group's members of other components."""
@@ -85,22 +87,22 @@ def link_groups(spark: SparkSession, scratch: Scratch, groups: DataFrame, about:
     heavy, pairs = met_by(here, F.lit(0))
     labels = connect(spark, scratch, spark.createDataFrame([], "node long, label long"), compare(pairs))
     scratch.drop(heavy)
-    rest, pivots = per, 1
+    lists, pivots = per.select("node", "keys"), 1
     while True:
-        marked = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        if rest is per:
-            marked = marked.select(F.explode("keys").alias("key"), *cols, "label")
+        # nodes, not their places in groups, meet their labels and columns
+        known = lists.join(per.select(*cols), "node").join(labels, "node", "left")
+        marked = known.select(F.explode("keys").alias("key"), *cols, F.coalesce("label", "node").alias("label"))
         open_ = (marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"))
                  .filter("lo <> hi").select("key", "size"))
         here = scratch.write(marked.join(open_, "key").select("key", *cols, "label", "size"))
-        scratch.drop(rest)
         if here.isEmpty():
+            scratch.drop(per, here)
             return labels
         # every member of a small group is a pivot; of a larger one the heaviest of each of so many parts
         heavy, pairs = met_by(here, F.when(F.col("size") <= SMALL, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(pivots))))
         links = compare(pairs)
         met = heavy.select("key", F.col("p_node").alias("node"))
-        rest = scratch.write(here.join(met, ["key", "node"], "left_anti").select("key", *cols))
+        lists = scratch.write(here.join(met, ["key", "node"], "left_anti").groupBy("node").agg(F.collect_list("key").alias("keys")))
         labels = connect(spark, scratch, labels, links)
         scratch.drop(here, heavy)
-        pivots *= 4
+        pivots *= MORE_PIVOTS

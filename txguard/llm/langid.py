@@ -32,7 +32,8 @@ MODEL_WORDS = 50_000
 MODEL_GRAMS = 50_000
 LONGEST_GRAM = 4
 KNOWN_GRAM = 3
-CACHE_WORDS = 500_000
+#: Unknown words that a worker remembers, and bytes of text in hand.
+CACHE_WORDS, TEXT_BYTES = 200_000, 1 << 20
 #: Words whose votes count as independent evidence in the score.
 SCORE_WORDS = 10
 
@@ -156,7 +157,7 @@ def _predict(batches: Iterator[pa.RecordBatch], shared, text: str) -> Iterator[p
     predictor = Predictor(shared.value)
     for batch in batches:
         at = batch.schema.get_field_index(text)
-        for part in pieces(batch, text):
+        for part in pieces(batch, text, TEXT_BYTES):
             lang, score, known = predictor(part.column(at).to_pylist())
             yield pa.record_batch([*[c for k, c in enumerate(part.columns) if k != at], pa.array(lang, pa.string()),
                                    pa.array(score, pa.float64()), pa.array(known, pa.float64())],
