@@ -3,7 +3,7 @@
 scaler job   : union -> normal rows -> features -> fit_scaler -> JSON artifact
 training job : ... -> scale -> hash split -> fit_autoencoder -> weight table
 supervised   : features -> VectorAssembler -> GBTClassifier (Spark ML)
-evaluation   : features -> scale -> reconstruct -> mse -> metrics
+evaluation   : features -> scale -> reconstruction error -> metrics
 retraining   : CLEARED rows -> guard -> reduced features -> scale -> fit
 """
 
@@ -18,7 +18,7 @@ from txguard.learning.autoencoder import FitResult, fit_autoencoder, hash_split
 from txguard.learning.retrain_features import retrain_features, retrain_source
 from txguard.operators import evaluate as ev
 from txguard.operators.features import engineer_features
-from txguard.operators.scoring import Scaler, fit_scaler, recon_mse, reconstruct, scale_features
+from txguard.operators.scoring import Scaler, fit_scaler, recon_mse_batches, scale_features
 from txguard.schemas import FEATURE_COLS, MIN_RETRAIN_ROWS
 from txguard.sources.tables import normal_rows, union_sources
 
@@ -70,7 +70,7 @@ def evaluation_job(raw: DataFrame, scaler: Scaler, weights, threshold: float = 1
     left out when only the threshold metrics are wanted.
     """
     feats = engineer_features(raw)
-    r = recon_mse(reconstruct(scale_features(feats, scaler), weights, XS))
+    r = recon_mse_batches(scale_features(feats, scaler), weights, XS)
     scored = r.select(*[c for c in ("event_id", "cc_num") if c in r.columns],
                       F.col("is_fraud").alias("y_true"), "mse")
     out = {

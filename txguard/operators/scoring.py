@@ -1,10 +1,13 @@
 """Scaling, autoencoder reconstruction, ensemble score, decision and reasons.
 
-The autoencoder (29-16-8-16-29, ReLU between layers) is evaluated as plain
-Column arithmetic: one projection per layer, each neuron a sum of products
-with the weights as literals.  Everything stays inside whole-stage codegen;
-no Python worker is involved and nothing is shuffled.  The weights are 1,253
-numbers, a fixed bound independent of the data.
+The autoencoder (29-16-8-16-29, ReLU between layers) is evaluated by matrix
+products over Arrow batches: the 29 inputs go to Python and one error comes
+back, nothing is shuffled, and a batch is bounded.  Where the reconstruction
+itself is wanted, ``reconstruct`` gives it as plain Column arithmetic, one
+projection per layer with the weights as literals; this takes ten times as long,
+since its last layer is one generated method above the JVM's limit for
+compilation.  The weights are 1,253 numbers, a fixed bound independent of the
+data.
 """
 
 from __future__ import annotations
@@ -160,7 +163,7 @@ def recon_mse_batches(df: DataFrame, weights: Weights, inputs: list[str], name:
     """The reconstruction error by matrix products over Arrow batches, equal to ``reconstruct`` and ``recon_mse``.
 
     The inputs go to Python and one number comes back, no reconstructed columns.
-    A missing input gives NaN, which counts as a model failure like NULL.
+    A missing input gives NULL.
     """
     def make():
         import numpy as np
@@ -177,7 +180,7 @@ def recon_mse_batches(df: DataFrame, weights: Weights, inputs: list[str], name:
 
     batches = predict_batch_udf(make, return_type=DoubleType(), batch_size=batch_size, input_tensor_shapes=[[len(inputs)]])
     known = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in inputs]
-    return df.withColumn(name, batches(F.array(*known)))
+    return df.withColumn(name, batches(F.array(*known))).withColumn(name, F.when(~F.isnan(name), F.col(name)))
 
 
 # ------------------------------------------------------- supervised side ----
@@ -296,16 +299,16 @@ def score_rows(df: DataFrame, scaler=None, weights: Weights | None = None, super
     scaler = Scaler.reference() if scaler is None else scaler
     xs = [f"x{i}" for i in range(len(cols))]
     out = scale_features(df, scaler, cols)
-    out = reconstruct(out, weights, xs)
-    out = recon_mse(out, len(cols))
+    if keep_intermediate:
+        out = recon_mse(reconstruct(out, weights, xs), len(cols))
+    else:
+        out = recon_mse_batches(out, weights, xs)
     out = supervised_probability(out, supervised)
     out = fence(out, ["mse", "xgb_score"])
     out = ensemble(out)
     out = decide(out, threshold)
     out = out.withColumn("reasoning", reasoning())
-    if not keep_intermediate:
-        out = out.drop(*xs, *[f"r{i}" for i in range(len(cols))])
-    return out
+    return out if keep_intermediate else out.drop(*xs)
 
 
 def explain_prompt(df: DataFrame) -> DataFrame:
