@@ -51,7 +51,7 @@ def connect(spark: SparkSession, scratch: Scratch, labels: DataFrame, links: Dat
 #: Groups up to this size are compared whole once their first pivot is done.
 SMALL = 32
 #: How many times more pivots a group gets in the next turn.
-MORE_PIVOTS = 16
+MORE_PIVOTS = 64
 
 
 def link_groups(spark: SparkSession, scratch: Scratch, groups: DataFrame, about: DataFrame, may: Callable[[str, str], str],
