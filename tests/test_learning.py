@@ -99,6 +99,23 @@ def test_synchronous_training_does_not_depend_on_the_tasks(spark):
     assert one.max() < 110 and (ae.batch_of(keys, 7, 0, 11) != ae.batch_of(keys, 7, 1, 11)).mean() > 0.8
 
 
+def test_training_in_turns_takes_the_same_steps(spark, monkeypatch):
+    """More rows than a task holds: several turns, no exchange of messages per mini-batch, the weights of one process."""
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(1500, 29))
+    cols = [f"x{i}" for i in range(29)]
+    df = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(X)], "id long, " + ", ".join(f"{c} double" for c in cols))
+    keys = np.array([r[0] for r in df.orderBy("id").selectExpr("xxhash64(id)").collect()])
+    ws, losses = plain_training(X, keys, 2, 100, 1e-3, 7)
+    monkeypatch.setattr(ae, "ROWS_PER_TASK", 600)
+    monkeypatch.setattr(ae, "ROWS_PER_TURN", 700)
+    monkeypatch.setattr(ae, "_sync_epochs", None)
+    got = ae.fit_autoencoder(df.repartition(5), cols, df.limit(300), epochs=2, batch_size=100, seed=7, key="id")
+    assert np.abs(ae.flatten(got.weights) - ae.flatten(ws)).max() < 1e-9
+    assert np.allclose([h[1] for h in got.history], losses, rtol=1e-9)
+    assert np.isclose(got.history[-1][2], ((ae.forward(ws, X[:300])[-1] - X[:300]) ** 2).mean())
+
+
 def test_averaging_keeps_the_moments(spark):
     """With one partition that holds one Arrow batch, averaging is plain training with this mode's own batches."""
     rng = np.random.default_rng(3)

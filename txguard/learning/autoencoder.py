@@ -6,8 +6,15 @@ whatever the partitioning (a hash of the row's key, the seed and the epoch says
 which), its gradient sums are gathered by all tasks in task order, and all of
 them take the same step of one Adam state, which lives through all epochs.  So
 the weights do not depend on the number of tasks.  A task holds at most
-``ROWS_PER_TASK`` rows; where several are needed, a mini-batch costs one round of
-messages among them, about a second by Spark's barrier.
+``ROWS_PER_TASK`` rows; several (``tasks``) exchange a round of messages a
+mini-batch, about a second by Spark's barrier.
+
+Without ``tasks``, more rows than that are trained on *in turns*: the same
+mini-batches and the same steps, but no messages.  Per epoch all cores deal the rows to
+their mini-batches and write these, ``ROWS_PER_TURN`` rows a piece; then one
+task a piece streams it and hands the weights and moments on to the next one.
+Steps follow each other, as in any such training, so their time grows with
+rows times epochs; no task holds more than an Arrow batch of rows while it trains.
 
 ``mode="average"`` is for data with too many mini-batches for that: per epoch, one job in which every partition runs Adam
 over its own rows, streamed as Arrow batches, from the broadcast weights and
@@ -138,6 +145,53 @@ def batch_of(keys: np.ndarray, seed: int, epoch: int, batches: int) -> np.ndarra
     return ((x ^ (x >> np.uint64(32))) % np.uint64(batches)).astype(np.int64)
 
 
+class Steps:
+    """Adam steps on one flat vector of parameters, in place; the arithmetic of ``grads`` and ``Adam``."""
+
+    def __init__(self, flat: np.ndarray, moments: np.ndarray, steps: int, lr: float, layers=AE_LAYERS, b1=0.9, b2=0.999, eps=1e-8):
+        self.flat, self.t = np.array(flat, float), steps
+        self.m, self.v = np.array(moments, float).reshape(2, -1)
+        self.lr, self.b1, self.b2, self.eps = lr, b1, b2, eps
+        self.g = np.empty_like(self.flat)
+        self.ws, self.gs = unflatten(self.flat, layers), unflatten(self.g, layers)      # views
+
+    def step(self, X: np.ndarray) -> float:
+        """One step on a mini-batch; its loss sum, as in ``batch_sums``."""
+        acts, last = [X], len(self.ws) - 1
+        for l, (W, b) in enumerate(self.ws):
+            z = acts[-1] @ W
+            z += b
+            if l < last:
+                np.maximum(z, 0.0, out=z)
+            acts.append(z)
+        delta = acts[-1]
+        delta -= X
+        loss_sum = float(np.vdot(delta, delta)) / X.shape[1]
+        delta *= 2.0 / X.size
+        for l in range(last, -1, -1):
+            gW, gb = self.gs[l]
+            np.dot(acts[l].T, delta, out=gW)
+            np.add.reduce(delta, axis=0, out=gb)
+            if l > 0:
+                delta = delta @ self.ws[l][0].T
+                delta *= acts[l] > 0
+        self.t += 1
+        g, m, v = self.g, self.m, self.v
+        m *= self.b1
+        m += (1 - self.b1) * g
+        np.square(g, out=g)
+        g *= 1 - self.b2
+        v *= self.b2
+        v += g
+        np.divide(v, 1 - self.b2 ** self.t, out=g)
+        np.sqrt(g, out=g)
+        g += self.eps
+        np.divide(m, g, out=g)
+        g *= self.lr / (1 - self.b1 ** self.t)
+        self.flat -= g
+        return loss_sum
+
+
 def batch_sums(ws, X: np.ndarray) -> np.ndarray:
     """Gradient sums over rows, then the loss sum and the rows: what adds up over the parts of a mini-batch."""
     if not len(X):
@@ -180,6 +234,110 @@ def _sync_fn(flat_bc, cols: list[str], batches: int, epochs: int, lr: float, see
     return run
 
 
+#: Rows that a turn trains on, and rows in one stored value (so that an Arrow batch of 10,000 values holds 74 MB).
+ROWS_PER_TURN = 2_000_000
+ROWS_PER_VALUE = 32
+
+
+def _packed_fn(n_cols: int):
+    """Rows of numbers and a key as one value and the key."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            X = np.column_stack([b.column(k).to_numpy() for k in range(n_cols)])
+            x = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * n_cols), len(X), [None, pa.py_buffer(X.tobytes())])
+            yield pa.record_batch([b.column(n_cols), x.cast(pa.binary())], names=["_key", "x"])
+    return run
+
+
+def _dealt_fn(batches: int, per_turn: int, seed: int, epoch: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            mine = batch_of(b.column(0).to_numpy(), seed, epoch, batches)
+            yield pa.record_batch([pa.array((mine // per_turn).astype(np.int32)), pa.array(mine), *b.columns],
+                                  names=["turn", "batch", "_key", "x"])
+    return run
+
+
+def _values_fn(width: int):
+    """Rows (turn, batch, key, x) in order of batch and key as values of up to ``ROWS_PER_VALUE`` rows of one mini-batch."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for b in it:
+            turn, batch = b.column(0).to_numpy(), b.column(1).to_numpy()
+            data = b"".join(b.column(3).to_pylist())
+            new = np.concatenate([[0], np.flatnonzero(np.diff(batch)) + 1, [len(batch)]])
+            cuts = np.concatenate([np.arange(i, j, ROWS_PER_VALUE) for i, j in zip(new[:-1], new[1:])])
+            ends = np.append(cuts[1:], len(batch))
+            yield pa.record_batch([pa.array(turn[cuts]), pa.array(batch[cuts]), pa.array(np.arange(at, at + len(cuts))),
+                                   pa.array([data[i * width:j * width] for i, j in zip(cuts.tolist(), ends.tolist())], pa.binary())],
+                                  names=["turn", "batch", "part", "x"])
+            at += len(cuts)
+    return run
+
+
+def _turn_fn(state_bc, n_cols: int, lr: float, layers):
+    """All steps of one turn, from the values in order; one row with the weights, moments, steps, loss sum and rows after it."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, moments, steps = state_bc.value
+        model = Steps(flat, moments, steps, lr, layers)
+        loss_sum, rows, current, held = 0.0, 0, None, []
+
+        def train():
+            nonlocal loss_sum, rows
+            X = np.frombuffer(b"".join(held)).reshape(-1, n_cols)
+            loss_sum, rows = loss_sum + model.step(X), rows + len(X)
+
+        for b in it:
+            for batch, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if batch != current and held:
+                    train()
+                    held = []
+                current = batch
+                held.append(x)
+        if held:
+            train()
+        yield pa.record_batch([pa.array([x.tolist()], pa.list_(pa.float64())) for x in (model.flat, np.concatenate([model.m, model.v]))]
+                              + [pa.array([model.t], pa.int64()), pa.array([loss_sum], pa.float64()), pa.array([rows], pa.int64())],
+                              names=["flat", "moments", "steps", "loss_sum", "rows"])
+    return run
+
+
+def _turn_epochs(data: DataFrame, rows: int, cols, epochs, batch_size, lr, seed, layers):
+    """(weights, train loss) of every epoch: the steps of ``_sync_epochs``, a piece of the mini-batches after the other."""
+    spark = data.sparkSession
+    batches = max(1, -(-rows // batch_size))
+    turns = -(-rows // ROWS_PER_TURN)
+    per_turn = -(-batches // turns)
+    packed, packed_path = materialize(data.mapInArrow(_packed_fn(len(cols)), "_key long, x binary"), "ae-rows")
+    flat = flatten(init_weights(seed, layers))
+    moments, steps = np.zeros(2 * len(flat)), 0
+    pieces = max(turns, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    per_piece = -(-batches // pieces)
+    for epoch in range(epochs):
+        # a piece has all rows of its mini-batches, in order; pieces of one turn go to one folder
+        dealt = (packed.mapInArrow(_dealt_fn(batches, per_turn, seed, epoch), "turn int, batch long, _key long, x binary")
+                 .repartitionById(pieces, F.floor(F.col("batch") / per_piece).cast("int"))
+                 .sortWithinPartitions("batch", "_key", "x")
+                 .mapInArrow(_values_fn(8 * len(cols)), "turn int, batch long, part long, x binary"))
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ae-epoch-{uuid.uuid4().hex}"
+        dealt.write.partitionBy("turn").parquet(path)
+        written = spark.read.schema("batch long, part long, x binary, turn int").parquet(path)
+        loss_sum, seen = 0.0, 0
+        for turn in range(turns):
+            bc = spark.sparkContext.broadcast((flat, moments, steps))
+            r = (written.filter(F.col("turn") == turn).select("batch", "part", "x").coalesce(1).sortWithinPartitions("batch", "part")
+                 .select("batch", "x").mapInArrow(_turn_fn(bc, len(cols), lr, layers),
+                                                  "flat array<double>, moments array<double>, steps long, loss_sum double, rows long")
+                 .collect())          # the weights and moments
+            bc.unpersist()
+            if r:
+                flat, moments, steps = np.asarray(r[0]["flat"]), np.asarray(r[0]["moments"]), r[0]["steps"]
+                loss_sum, seen = loss_sum + r[0]["loss_sum"], seen + r[0]["rows"]
+        discard(spark, path)
+        yield unflatten(flat, layers), loss_sum / seen
+    discard(spark, packed_path)
+
+
 def _epoch_fn(state_bc, cols, batch_size, lr, seed, epoch, layers):
     def run(it):
         from pyspark import TaskContext
@@ -231,28 +389,34 @@ def discard(spark, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _sse_fn(flat_bc, cols, layers):
-    def run(it):
-        ws = unflatten(np.asarray(flat_bc.value), layers)
-        n, sse = 0, 0.0
-        for pdf in it:
-            if pdf.empty:
+def _sse_fn(flats_bc, layers):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = [unflatten(np.asarray(flat), layers) for flat in flats_bc.value]
+        n, sse = 0, np.zeros(len(models))
+        for b in it:
+            if not b.num_rows:
                 continue
-            X = pdf[cols].to_numpy(dtype="float64")
-            sse += float(((forward(ws, X)[-1] - X) ** 2).sum())
-            n += X.shape[0] * X.shape[1]
-        yield pd.DataFrame({"n": [n], "sse": [sse]})
+            X = np.column_stack([c.to_numpy() for c in b.columns])
+            sse += [float(((forward(ws, X)[-1] - X) ** 2).sum()) for ws in models]
+            n += X.size
+        yield pa.record_batch([pa.array(range(len(models)), pa.int32()), pa.array([n] * len(models), pa.int64()), pa.array(sse)],
+                              names=["model", "n", "sse"])
     return run
 
 
-def val_loss(val: DataFrame, weights, cols, layers=AE_LAYERS) -> float:
-    """Mean squared reconstruction error over all validation cells."""
+def val_losses(val: DataFrame, models: list, cols, layers=AE_LAYERS) -> list[float]:
+    """Mean squared reconstruction error of each model over all validation cells, from one read of them."""
     spark = val.sparkSession
-    bc = spark.sparkContext.broadcast(flatten(weights).tolist())
-    row = (val.mapInPandas(_sse_fn(bc, cols, layers), "n long, sse double")
-           .agg(F.sum("n").alias("n"), F.sum("sse").alias("sse")).first())
+    bc = spark.sparkContext.broadcast([flatten(ws) for ws in models])
+    found = {r["model"]: r for r in val.select(*cols).mapInArrow(_sse_fn(bc, layers), "model int, n long, sse double")
+             .groupBy("model").agg(F.sum("n").alias("n"), F.sum("sse").alias("sse")).collect()}      # a row per model
     bc.unpersist()
-    return row["sse"] / row["n"] if row["n"] else float("nan")
+    return [found[k]["sse"] / found[k]["n"] if k in found and found[k]["n"] else float("nan") for k in range(len(models))]
+
+
+def val_loss(val: DataFrame, weights, cols, layers=AE_LAYERS) -> float:
+    """Mean squared reconstruction error over all validation cells."""
+    return val_losses(val.na.drop(subset=cols), [weights], cols, layers)[0]
 
 
 def _sync_epochs(data: DataFrame, rows: int, cols, epochs, batch_size, lr, seed, layers, tasks: int):
@@ -295,8 +459,8 @@ def fit_autoencoder(train: DataFrame, cols: list[str], val: DataFrame | None = N
 
     ``key`` names a column that tells rows apart and so deals them out to
     mini-batches (without one the features do, and equal rows share theirs).
-    ``tasks`` of mode "sync" must all run at once; by default as few as hold the
-    rows.
+    ``tasks`` of mode "sync" must all run at once; by default one holds the
+    rows, and more than ``ROWS_PER_TASK`` are trained on in turns.
     """
     if mode not in ("sync", "average"):
         raise ValueError(f"mode is sync or average, not {mode}")
@@ -314,16 +478,18 @@ def fit_autoencoder(train: DataFrame, cols: list[str], val: DataFrame | None = N
     if not rows:
         raise ValueError("no row to train on")
     data = data.na.drop()
-    if mode == "sync":
-        tasks = tasks or -(-rows // ROWS_PER_TASK)
-        fitted = _sync_epochs(data, rows, cols, epochs, batch_size, lr, seed, layers, tasks)
+    if mode == "sync" and not tasks and rows > ROWS_PER_TASK:
+        fitted = _turn_epochs(data, rows, cols, epochs, batch_size, lr, seed, layers)
+    elif mode == "sync":
+        fitted = _sync_epochs(data, rows, cols, epochs, batch_size, lr, seed, layers, tasks or 1)
     else:
         fitted = _averaged_epochs(data, cols, epochs, batch_size, lr, seed, layers)
     ws = best = init_weights(seed, layers)
     best_loss = float("inf")
     res = FitResult(ws, dropped=counts["missing"])
-    for epoch, (ws, loss) in enumerate(fitted):
-        vl = val_loss(val, ws, cols, layers) if val is not None else float("nan")
+    fitted = list(fitted)                      # one set of weights per epoch
+    losses = val_losses(val, [ws for ws, _ in fitted], cols, layers) if val is not None else [float("nan")] * len(fitted)
+    for epoch, ((ws, loss), vl) in enumerate(zip(fitted, losses)):
         res.history.append((epoch + 1, loss, vl))
         if val is not None and vl < best_loss:
             best, best_loss = ws, vl

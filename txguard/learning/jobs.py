@@ -14,7 +14,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txguard.learning.autoencoder import FitResult, fit_autoencoder, hash_split
+from txguard.learning.autoencoder import FitResult, discard, fit_autoencoder, hash_split, materialize
 from txguard.learning.retrain_features import retrain_features, retrain_source
 from txguard.operators import evaluate as ev
 from txguard.operators.features import engineer_features
@@ -45,11 +45,14 @@ def scaler_to_json(s: Scaler) -> str:
 
 def training_job(raw: DataFrame, key: str = "event_id", epochs: int = 15, batch_size: int = 256, lr: float = 1e-3,
                  seed: int = 42, keep: str = "last", mode: str = "sync") -> tuple[Scaler, FitResult]:
-    feats = engineer_features(normal_rows(raw))
+    # the scaler, the training and the validation rows all read the features: computed once
+    feats, path = materialize(engineer_features(normal_rows(raw)).select(key, *FEATURE_COLS), "features")
     scaler = Scaler.from_frame(fit_scaler(feats))
     scaled = scale_features(feats, scaler)
     train, val = hash_split(scaled, key, seed)
-    return scaler, fit_autoencoder(train, XS, val, epochs, batch_size, lr, seed, keep, mode=mode, key=key)
+    res = fit_autoencoder(train, XS, val, epochs, batch_size, lr, seed, keep, mode=mode, key=key)
+    discard(raw.sparkSession, path)
+    return scaler, res
 
 
 def fit_supervised(feats: DataFrame, label: str = "is_fraud", seed: int = 42, max_iter: int = 20):
