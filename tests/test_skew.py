@@ -1,10 +1,14 @@
 """The blocked (hot-key) window path gives exactly the plain window results."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SF001, SF01
 from txguard.operators import features as feat
 from txguard.operators import online as on
+from txguard.plans import expanding
 from txguard.schemas import FEATURE_COLS
 from txguard.sources import fixtures
 from txguard.sources.tables import read_table
@@ -84,3 +88,53 @@ def test_null_key_is_split_too(spark):
     build = lambda w: {"p": F.lag("id").over(w)}
     plain, cut = (sequence_window(df, "k", ["id"], build, 1, hot_rows=h, block_rows=20) for h in (1000, 50))
     assert {r["id"]: r["p"] for r in plain.collect()} == {r["id"]: r["p"] for r in cut.collect()}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_with_positions_are_not_shuffled_again(spark, monkeypatch):
+    """Offsets of the few keys that go on in another partition are sent to the rows, and blocks are no calls of their own."""
+    from txguard.plans.sequence import positions
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(3000).selectExpr("if(id % 3 = 0, null, id % 2) k", "id", "id % 5 = 0 x")
+        pos = positions(df, "k", ["id"], partitions=7, counted=F.col("x"))
+        assert "BroadcastHashJoin" in plan(pos) and "SortMergeJoin" not in plan(pos)
+        seen = {}
+        for r in sorted(pos.collect(), key=lambda r: r["id"]):
+            place, known = seen.get(r["k"], (0, 0))
+            seen[r["k"]] = place + 1, known + r["x"]
+            assert (r["_g"], r["_c"]) == seen[r["k"]]
+        hot = feat.expanding_median(fixtures.card_tx(read_table(spark, SF001, "events")), hot_rows=20, block_rows=16)
+        assert "FlatMapGroupsInPandas" not in plan(hot)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+@pytest.mark.parametrize("listed", [1, 10**6])
+def test_block_medians_over_batches(monkeypatch, listed):
+    """Both ways of reading medians, blocks that go on in the next batch included."""
+    monkeypatch.setattr(expanding, "LISTED_ROWS", listed)
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 30, 200).astype(float)
+    rows, exp = [], {}
+    for k, b, lo, hi in (("a", 0, 0, 60), ("a", 1, 60, 110), (None, 0, 110, 200)):
+        before = np.sort(x[:lo]) if b else x[:0]
+        rows += [(k, b, 0, 0, i, float(y)) for i, y in enumerate(before)]
+        for i in range(lo, hi):
+            g = i + 1 - (0 if k else lo)
+            rows.append((k, b, 0, g, 1000 + i, x[i]))
+            exp[k, g] = np.median(x[i + 1 - g:i + 1])
+    names = ["_k", "_b", "_off", "_g", "_v", "_x"]
+    # places by value, ties by time
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][5], rows[i][4]))
+    place = {i: p for p, i in enumerate(order)}
+    rows = [(*r[:4], place[i], r[5]) for i, r in enumerate(rows)]
+    table = pa.table({n: [r[j] for r in rows] for j, n in enumerate(names)})
+    got = {}
+    for out in expanding.block_medians(iter(table.to_batches(max_chunksize=37)), pa.string()):
+        got |= {(r["_k"], r["_c"]): r["_med"] for r in out.to_pylist()}
+    assert got == exp

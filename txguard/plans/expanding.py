@@ -15,8 +15,10 @@ cut with a halo.  For a hot key with n rows:
    [lo_b, hi_b] = [floor((bC+c+1)/2) - c, floor((bC+c)/2) + 1]; the bins
    overlapping that rank range give the candidates (<= 1.5C + 2C rows), and
    the prefix rows in lower bins are only counted (offset);
-5. per (key, block) a Fenwick tree over candidates + block rows yields the
-   exact k-th values as the block's rows are added in time order.
+5. per (key, block) the exact k-th values are read as the block's rows are
+   added in time order, to a sorted list or, in large blocks, to a Fenwick tree
+   over candidates + block rows.  Blocks are runs of sorted rows in the Arrow
+   batches of a partition, so a small block costs no call of its own.
 
 Every group in every step is bounded by about 2.5C + 2C rows or by the
 grid side n/C, whatever the size of the key.  C adapts per key:
@@ -30,11 +32,11 @@ from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from txguard.operators.mutations import bounded_broadcast
 from txguard.plans.sequence import positions
@@ -67,12 +69,51 @@ def expanding_median_light(df: DataFrame, key: str, order: list[str], value: str
     return df.sortWithinPartitions(key, *order).mapInArrow(lambda it: running_medians(it, key, value, name), schema)
 
 
-def _kth_medians(pdf: pd.DataFrame) -> pd.DataFrame:
-    off = int(pdf["_off"].fillna(0).iloc[0])
-    cand = pdf[pdf["_kind"] == "c"]
-    blk = pdf[pdf["_kind"] == "b"].sort_values("_g")
-    v = np.concatenate([cand["_v"].to_numpy(), blk["_v"].to_numpy()])
-    x = np.concatenate([cand["_x"].to_numpy(), blk["_x"].to_numpy()])
+#: Rows of a (key, block) from which on a Fenwick tree is used, not a sorted list.
+LISTED_ROWS = 20_000
+
+
+def block_medians(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Rows _k, _b, _off, _g, _v, _x in order of _k, _b, _g, candidates at _g = 0: the medians at the other rows."""
+    current, held = None, []
+
+    def medians() -> tuple:
+        off, g, v, x = (np.concatenate(c) if len(held) > 1 else c[0] for c in zip(*held))
+        n = int(np.searchsorted(g, 0, side="right"))
+        found = _listed_medians if len(x) < LISTED_ROWS else _kth_medians
+        return current[0], g[n:], found(int(off[0]), n, g, v, x)
+
+    def batch_of(done: list[tuple]) -> pa.RecordBatch:
+        keys = [k for k, g, _ in done for _ in range(len(g))]
+        return pa.record_batch([pa.array(keys, kind), pa.array(np.concatenate([g for _, g, _ in done]), pa.int64()),
+                                pa.array(np.concatenate([m for _, _, m in done]), pa.float64())], names=["_k", "_c", "_med"])
+
+    for batch in batches:
+        ids = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        numbers = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(2, 6)]
+        starts = [i for i in range(len(ids)) if i == 0 or ids[i] != ids[i - 1]]
+        done = []
+        for i, j in zip(starts, [*starts[1:], len(ids)]):
+            if held and ids[i] != current:
+                done.append(medians())
+                held = []
+            current = ids[i]
+            held.append([c[i:j] for c in numbers])
+        if done:
+            yield batch_of(done)
+    if held:
+        yield batch_of([medians()])
+
+
+def _listed_medians(off: int, n: int, g: np.ndarray, v: np.ndarray, x: np.ndarray) -> np.ndarray:
+    seen, out = sorted(x[:n].tolist()), []
+    for value, place in zip(x[n:].tolist(), g[n:].tolist()):
+        insort(seen, value)
+        out.append(0.5 * seen[(place + 1) // 2 - off - 1] + 0.5 * seen[place // 2 - off])
+    return np.asarray(out, float)
+
+
+def _kth_medians(off: int, n: int, g: np.ndarray, v: np.ndarray, x: np.ndarray) -> np.ndarray:
     order = np.argsort(v, kind="stable")
     rank = np.empty(len(v), dtype=np.int64)
     rank[order] = np.arange(len(v))
@@ -81,7 +122,7 @@ def _kth_medians(pdf: pd.DataFrame) -> pd.DataFrame:
     tree = np.zeros(size + 1, dtype=np.int64)
     # build the Fenwick tree of the candidates in O(size)
     cnt = np.zeros(size + 1, dtype=np.int64)
-    cnt[rank[:len(cand)] + 1] = 1
+    cnt[rank[:n] + 1] = 1
     tree[1:] = cnt[1:]
     for i in range(1, size + 1):
         j = i + (i & -i)
@@ -105,13 +146,13 @@ def _kth_medians(pdf: pd.DataFrame) -> pd.DataFrame:
             step >>= 1
         return pos
 
-    out = np.empty(len(blk))
-    for i, (g, r) in enumerate(zip(blk["_g"].to_numpy(), rank[len(cand):])):
-        add(int(r))
-        k1 = (int(g) + 1) // 2 - off
-        k2 = int(g) // 2 + 1 - off
+    out = np.empty(size - n)
+    for i, (place, r) in enumerate(zip(g[n:].tolist(), rank[n:].tolist())):
+        add(r)
+        k1 = (place + 1) // 2 - off
+        k2 = place // 2 + 1 - off
         out[i] = 0.5 * xs[kth(k1)] + 0.5 * xs[kth(k2)]
-    return pd.DataFrame({"_k": blk["_k"].to_numpy(), "_c": blk["_g"].to_numpy(), "_med": out})
+    return out
 
 
 def expanding_median_hot(counted: DataFrame, key: str, value: str, block_rows: int) -> DataFrame:
@@ -155,8 +196,11 @@ def expanding_median_hot(counted: DataFrame, key: str, value: str, block_rows: i
     offs = sel.groupBy(key, "_b").agg(F.min("_lt").alias("_off"))
     cands = (rows.join(sel.select(key, "_b", F.col("_q").alias("_bin")), [key, "_bin"])
              .filter(F.col("_tb") < F.col("_b"))
-             .select(key, "_b", "_x", F.lit(None).cast("bigint").alias("_g"), "_v", F.lit("c").alias("_kind")))
-    blk = rows.select(key, F.col("_tb").alias("_b"), "_x", "_g", "_v", F.lit("b").alias("_kind"))
-    parts = cands.unionByName(blk).join(offs, [key, "_b"], "left").withColumnRenamed(key, "_k")
-    kind = counted.schema[key].dataType.simpleString()
-    return parts.groupBy("_k", "_b").applyInPandas(_kth_medians, f"_k {kind}, _c bigint, _med double")
+             .select(key, "_b", F.lit(0).cast("bigint").alias("_g"), "_v", "_x"))
+    blk = rows.select(key, F.col("_tb").alias("_b"), "_g", "_v", "_x")
+    parts = (cands.unionByName(blk).join(offs, [key, "_b"], "left")
+             .select(F.col(key).alias("_k"), "_b", F.coalesce("_off", F.lit(0)).cast("bigint").alias("_off"), "_g", "_v", "_x"))
+    schema = T.StructType([T.StructField("_k", counted.schema[key].dataType), T.StructField("_c", T.LongType()),
+                           T.StructField("_med", T.DoubleType())])
+    kind = to_arrow_type(counted.schema[key].dataType)
+    return parts.repartition("_k", "_b").sortWithinPartitions("_k", "_b", "_g").mapInArrow(lambda it: block_medians(it, kind), schema)

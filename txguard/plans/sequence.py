@@ -10,9 +10,9 @@ whole key in one place:
 * hot keys get exact positions 1..n inside the key: a range exchange on
   (key, order...) splits a hot key over many partitions (the boundaries come
   from sampling, so the split follows the data), rows are sorted inside each
-  partition, and ``monotonically_increasing_id`` numbers them in that order;
-  per (partition, key) counts - a table bounded by partitions + hot keys - are
-  prefix-summed into offsets;
+  partition and numbered per key in one pass; only the few keys that go on in
+  another partition - fewer than partitions - have offsets to add, prefix-summed
+  from counts and sent along as a broadcast, so no row is shuffled again;
 * positions are cut into blocks of ``block_rows``; the last ``k`` rows of each
   block are copied into the next block as a halo; the window runs per
   (key, block) ordered by position, and the halo copies are dropped.
@@ -23,10 +23,12 @@ predecessors in the same order.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from txguard.session import ensure_checkpoint_dir
 
@@ -66,25 +68,41 @@ def positions(hot: DataFrame, key: str, order: list[str], partitions: int | None
     spark = hot.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     r = hot.withColumn("_one", F.when(counted, 1).otherwise(0) if counted is not None else F.lit(0))
-    r = (r.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
-         .withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()}))
+    r = (r.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order).withColumn("_pid", F.spark_partition_id()))
+    schema = T.StructType([*r.schema.fields, T.StructField("_l", T.LongType()), T.StructField("_lc", T.LongType())])
+    r = r.mapInArrow(lambda it: numbered(it, key, "_one"), schema).drop("_one")
     # The numbering is read twice (stats and rows).  Upstream shuffles make row
     # order nondeterministic, so two evaluations could sample different range
     # bounds; a reliable checkpoint (shared checkpoint folder) fixes one copy.
     ensure_checkpoint_dir(spark)
     r = r.checkpoint(eager=True)
-    stats = r.groupBy("_pid", key).agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n0"),
-                                       F.sum("_one").alias("_n1"))
+    stats = r.groupBy("_pid", key).agg(F.max("_l").alias("_n0"), F.max("_lc").alias("_n1"))
     w = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = stats.select(F.col("_pid").alias("_opid"), F.col(key).alias("_okey"), "_m0",
-                        F.coalesce(F.sum("_n0").over(w), F.lit(0)).alias("_off"),
-                        F.coalesce(F.sum("_n1").over(w), F.lit(0)).alias("_offc"))
-    res = r.join(offs, (F.col("_pid") == F.col("_opid")) & F.col(key).eqNullSafe(F.col("_okey")))
-    res = res.withColumn(out, F.col("_off") + (F.col("_mid") - F.col("_m0")) + 1)
+    offs = stats.select(F.col("_pid").alias("_opid"), F.col(key).alias("_okey"), F.sum("_n0").over(w).alias("_off"),
+                        F.sum("_n1").over(w).alias("_offc")).filter("_off is not null")
+    # ranges of (key, order): at most one key of each partition began in an earlier one
+    res = r.join(F.broadcast(offs), (F.col("_pid") == F.col("_opid")) & F.col(key).eqNullSafe(F.col("_okey")), "left")
+    res = res.withColumn(out, F.coalesce("_off", F.lit(0)) + F.col("_l"))
     if counted is not None:
-        inside = Window.partitionBy("_pid", key).orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
-        res = res.withColumn("_c", F.col("_offc") + F.sum("_one").over(inside))
-    return res.drop("_pid", "_mid", "_m0", "_off", "_offc", "_opid", "_okey", "_one")
+        res = res.withColumn("_c", F.coalesce("_offc", F.lit(0)) + F.col("_lc"))
+    return res.drop("_pid", "_l", "_lc", "_off", "_offc", "_opid", "_okey")
+
+
+def numbered(batches: Iterator[pa.RecordBatch], key: str, one: str) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key, with their place inside the key and the sum of ``one`` up to them."""
+    current, place, ones = object(), 0, 0
+    for batch in batches:
+        places, sums = [], []
+        for k, x in zip(batch.column(batch.schema.get_field_index(key)).to_pylist(),
+                        batch.column(batch.schema.get_field_index(one)).to_pylist()):
+            if k != current and (k == k or current == current):     # NaN is one key
+                current, place, ones = k, 0, 0
+            place += 1
+            ones += x
+            places.append(place)
+            sums.append(ones)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64()), pa.array(sums, pa.int64())],
+                                         names=[*batch.schema.names, "_l", "_lc"])
 
 
 def blocked(hot_pos: DataFrame, lookback: int, block_rows: int) -> DataFrame:
