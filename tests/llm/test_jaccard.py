@@ -217,3 +217,24 @@ def test_keys_per_document_do_not_grow():
                 total += share * len(plan[int(np.searchsorted(lows, size, side="right")) - 1].keys(u))
             found.append(total)
         assert found[0] == found[1]
+
+
+def test_agreement_is_counted_on_every_text(spark):
+    """Pairs of shingles that agree, of all texts: a phrase that only texts with an odd hash have counts too; copies do not agree with themselves."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from txguard.llm.jaccard_join import agreement
+    from txguard.llm.scratch import Scratch
+    texts = [" ".join(f"w{k}x{i}" for i in range(20)) + (" a common phrase" if k % 2 else "") for k in range(200)] + ["a copied text"] * 50 + [None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("print", F.xxhash64("text"))
+
+    def sets(t):
+        w = (t or "").split()
+        return {tuple(w[i:i + 3]) for i in range(max(1, len(w) - 2))} if w else set()
+    n = Counter(s for t in texts for s in sets(t))
+    own = sum(c * c * len(sets(t)) for t, c in Counter(texts).items())
+    exact = (sum(c * c for c in n.values()) - own) / sum(n.values()) ** 2
+    assert exact > 1e-4
+    assert abs(agreement(Scratch(spark, "t"), rows.repartition(3), 3) / exact - 1) < 0.1

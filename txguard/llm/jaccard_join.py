@@ -50,11 +50,11 @@ PERCENT = 90
 #: Each band's highest size over its lowest; above 100 / percent, so that a partner is at most one band away.
 BAND = 1.5
 #: For costs only: mean bytes of a word; bytes that an index row and a compared pair write; chance that two shingles of
-#: different texts agree where no text says; documents that are counted for it.
+#: different texts agree where no text says; counters of the sketch that counts it.
 WORD_BYTES = 6
 INDEX_BYTES, PAIR_BYTES = 12, 140
 AGREE = 2e-6
-COUNTED = 5_000
+COUNTERS = 1 << 14
 #: Words of 64 bits in a parity sketch, and bytes of text in hand.
 SKETCH, TEXT_BYTES = 16, 1 << 20
 
@@ -140,18 +140,33 @@ def schemes(sets_by_size: dict[int, int], largest: int, wide: int | None = None,
     return out
 
 
-def agreement(rows: DataFrame, documents: int, shingle: int) -> float:
-    """Chance that two shingles of different texts agree, counted on some ``COUNTED`` distinct texts; it only steers costs."""
-    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def agreement(scratch: Scratch, rows: DataFrame, shingle: int) -> float:
+    """Chance that two shingles of different texts agree, counted over all rows ``print, text``; it only steers costs.
+
+    Per task, signed counters sum up every shingle of every text; the squares of
+    their sums over all tasks are the pairs that agree, to about 1 %.  Pairs
+    within a text and its copies are taken off, as counted by ``print``.
+    """
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for part in pieces(batch, "text", TEXT_BYTES):
-                yield pa.record_batch([pa.array(np.concatenate(shingle_sets(part.column(0), shingle)).view(np.int64))], names=["s"])
-
-    every = max(1, documents // COUNTED)
-    some = rows.filter(F.pmod("print", F.lit(every)) == 0).groupBy("print").agg(F.first("text").alias("text")).select("text")
-    counts = some.mapInArrow(taken, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    r = counts.agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("same"), F.sum("n").alias("all")).first()
-    return max(r["same"] / r["all"] ** 2, AGREE / 100) if r["all"] else AGREE
+                sets = shingle_sets(part.column(1), shingle)
+                h = mix(np.concatenate(sets) ^ np.uint64(0xA9EE))
+                at, sign = (h % np.uint64(2 * COUNTERS)).astype(np.int64) // 2, (h & np.uint64(1)).astype(np.int64) * 2 - 1
+                sums += np.bincount(at, sign, COUNTERS).astype(np.int64)
+                yield pa.record_batch([part.column(0), pa.array([len(u) for u in sets], pa.int64()),
+                                       pa.nulls(len(sets), pa.list_(pa.int64()))], names=["print", "n", "sums"])
+        yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([sums], pa.list_(pa.int64()))],
+                              names=["print", "n", "sums"])
+
+    found = scratch.write(rows.select("print", "text").mapInArrow(counted, "print long, n long, sums array<long>"))
+    own = (found.filter("sums is null").groupBy("print").agg(F.count(F.lit(1)).cast("double").alias("c"), F.max("n").alias("n"))
+           .agg(F.sum(F.col("c") * F.col("c") * F.col("n")).alias("own"), F.sum(F.col("c") * F.col("n")).alias("all")).first())
+    same = (found.filter("sums is not null").select(F.posexplode("sums").alias("at", "x")).groupBy("at")
+            .agg(F.sum("x").cast("double").alias("x")).agg(F.sum(F.col("x") * F.col("x"))).first()[0])
+    scratch.drop(found)
+    return max((same - own["own"]) / own["all"] ** 2, AGREE / 100) if own["all"] else AGREE
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -238,7 +253,7 @@ def _components(spark: SparkSession, scratch: Scratch, docs: DataFrame, id_col:
         if r["b"] is not None:
             size = int(2 ** (r["b"] / 4) / WORD_BYTES)
             by_size[size] = by_size.get(size, 0) + r["sets"]
-    agree = agreement(rows.select("print", "text"), sum(by_size.values()), shingle) if wide is None else AGREE
+    agree = agreement(scratch, rows, shingle) if wide is None else AGREE
     plan = schemes(by_size, max([r["most"] or 0 for r in sizes], default=0) // 2, wide, percent, agree)
     id_type = rows.schema["id"].dataType.simpleString()
     sets = rows.mapInArrow(lambda it: _index(it, plan, shingle), f"id {id_type}, print long, check long, n long, a long, b long, "
