@@ -145,3 +145,21 @@ def test_models_from_files(spark, tmp_path):
     again = jobs.load_supervised(str(tmp_path / "gbt"))
     a, b = (sc.supervised_probability(feats, m, "p").orderBy("event_id").select("p").collect() for m in (model, again))
     assert a == b
+
+
+def test_supervised_query_computes_the_features_once(spark, monkeypatch):
+    from txguard.plans import q_stream
+    rows = spark.sparkContext.accumulator(0)
+    plain = q_stream.engineer_features
+
+    def counted(df):
+        out = plain(df)
+
+        def count(batches):
+            for b in batches:
+                rows.add(b.num_rows)
+                yield b
+        return out.mapInArrow(count, out.schema)
+    monkeypatch.setattr(q_stream, "engineer_features", counted)
+    out = q_stream.q_supervised(spark, SF001).collect()
+    assert [tuple(r) for r in out] == [(rows.value, True, True)]

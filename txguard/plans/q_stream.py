@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from txguard.learning import jobs
-from txguard.learning.autoencoder import hash_split
+from txguard.learning.autoencoder import discard, hash_split, materialize
 from txguard.operators import evaluate as ev
 from txguard.operators import scoring as sc
 from txguard.operators.features import engineer_features
@@ -14,6 +14,7 @@ from txguard.plans.q_eval import _r  # noqa: F401
 from txguard.plans.q_scoring import recon_sql, scaled_sql
 from txguard.plans.registry import register
 from txguard.plans.sqlfrag import FEATURES_BATCH
+from txguard.schemas import FEATURE_COLS
 from txguard.sources import fixtures
 from txguard.sources.tables import read_table
 
@@ -49,11 +50,17 @@ def q_fit(spark, sf):
           "SELECT count(*) AS n, true AS in_range, true AS ranks FROM card_tx")
 def q_supervised(spark, sf):
     """Rows scored, probabilities within 0 and 1, and an AUC above 0.8 on the training rows."""
-    feats = engineer_features(cards(spark, sf))
+    # every pass of the training reads the features, and the AUC and the counts read the scores: each computed once
+    feats, feats_path = materialize(engineer_features(cards(spark, sf)).select("is_fraud", *FEATURE_COLS), "features")
     model = jobs.fit_supervised(feats)
-    out = sc.supervised_probability(feats, model, "p_fraud").select(F.col("is_fraud").alias("y_true"), "p_fraud")
+    out, out_path = materialize(sc.supervised_probability(feats, model, "p_fraud")
+                                .select(F.col("is_fraud").alias("y_true"), "p_fraud"), "scores")
     ranked = ev.auc(out, score="p_fraud").select((F.col("roc_auc") > 0.8).alias("ranks"))
-    return out.agg(F.count(F.lit(1)).alias("n"), F.min(F.col("p_fraud").between(0, 1)).alias("in_range")).crossJoin(ranked)
+    facts = out.agg(F.count(F.lit(1)).alias("n"), F.min(F.col("p_fraud").between(0, 1)).alias("in_range")).crossJoin(ranked)
+    facts = spark.createDataFrame(facts.collect(), facts.schema)      # one row
+    for path in (feats_path, out_path):
+        discard(spark, path)
+    return facts
 
 
 @register("retrain_fit", "epochs:i, train_fell:b",
