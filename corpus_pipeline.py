@@ -19,7 +19,7 @@ from txguard.llm.line_dedup import line_dedup
 from txguard.llm.packing import pack_documents
 from txguard.llm.queries import tokenizer_path
 from txguard.llm.scratch import Scratch
-from txguard.session import ship_package
+from txguard.session import ship_package, small_batches
 
 #: A document is rejected if less of it than this is known to its best language (words, or n-grams of other words), or if
 #: it has no letter.  Unlike a score over the learned languages this does not depend on how many there are.
@@ -28,30 +28,35 @@ MIN_KNOWN = 0.5
 COPY_SHINGLE, COPY_PERCENT = 5, 80
 
 
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def _prepare(spark: SparkSession) -> None:
     ship_package(spark)
+    small_batches(spark)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _prepare(spark)
     found = predict(spark, docs, train(spark, docs))
     return found.filter((F.col("lang_pred") != "und") & (F.col("known") >= MIN_KNOWN)).select(docs.columns)
 
 
 def line_cleaning(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    _prepare(spark)
     cleaned = line_dedup(spark, docs)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    _prepare(spark)
     return jaccard_dedup(spark, docs, shingle=COPY_SHINGLE, percent=COPY_PERCENT)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    _prepare(spark)
     return decontaminate(spark, docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    _prepare(spark)
     return pack_documents(spark, docs, tokenizer_path("byte_bpe_50k.json"))
 
 

@@ -44,3 +44,33 @@ def test_pipeline_edges(spark):
             out = stage(spark, docs, SF001)
             assert out.columns == docs.columns
             assert out.count() <= len(edge_rows())
+
+
+def test_stages_hand_texts_to_workers_in_small_batches(spark):
+    """What a worker has in hand does not follow the size of a partition."""
+    import pyarrow as pa
+
+    import corpus_pipeline as p
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 5000, 1, 1).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 700) AS text", "'en' AS lang",
+                                                 "'s' AS source", "1L AS n_chars")
+
+    def held(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes])], names=["n"])
+
+    def most():
+        return max(r["n"] for r in docs.mapInArrow(held, "n long").collect())
+
+    spark.conf.unset(name)
+    try:
+        assert most() > 16 << 20
+        for _, stage in p.STAGES[:-1]:
+            spark.conf.unset(name)
+            stage(spark, docs.limit(10), SF001)
+            assert most() < 5 << 20
+        spark.conf.set(name, "1m")      # a size that the session was given stays
+        p.line_cleaning(spark, docs.limit(10), SF001)
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.unset(name)

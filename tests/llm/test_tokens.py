@@ -34,6 +34,40 @@ def test_encoder_equals_library(library):
         assert [x.tolist() for x in encode(pa.array(texts))] == [library(t) for t in texts]
 
 
+def test_encoder_holds_little(library):
+    """Few units are with the library at once, and what a worker keeps of them afterwards are small arrays."""
+    import gc
+    import tracemalloc
+    letters = str.maketrans("0123456789", "abcdefghij")
+    texts = [" ".join(str(k * 400 + i).translate(letters) for i in range(400)) for k in range(100)]
+    encode = Encoder(PATH)
+    encode.tok, at_once = Counting(encode.tok), []
+    encode.tok.at_once = at_once
+    gc.collect()
+    tracemalloc.start()
+    got = [x.tolist() for x in encode(pa.array(texts))]
+    assert got == [library(t) for t in texts]
+    units = sum(at_once)
+    del got
+    gc.collect()
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert units > 30_000 and max(at_once) <= 5_000
+    assert kept < 50 * units
+    assert [x.tolist() for x in encode(pa.array(texts))] == [library(t) for t in texts] and sum(at_once) == units
+
+
+class Counting:
+    """A tokenizer that notes how many units it gets at once."""
+
+    def __init__(self, tok):
+        self.tok = tok
+
+    def encode_batch_fast(self, units, **options):
+        self.at_once.append(len(units))
+        return self.tok.encode_batch_fast(units, **options)
+
+
 @pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 1000, 70_000])
 def test_round_trip(n):
     ids = (np.random.default_rng(n).zipf(1.2, n) % 200_000).astype("<u4")

@@ -6,7 +6,8 @@ pre-token borders.  Three borders can be told from the bytes: before white
 space that follows something else, between an ASCII letter and another ASCII
 character, and between a single newline and an ASCII letter.  Units repeat far
 more than texts, and each distinct one is encoded once per batch and remembered
-by its hash.  Texts that hold a special token, or white space outside ASCII
+by its hash, in arrays that take some 25 bytes a unit: a Python worker lives on
+after its task, and what it holds counts in the steps that follow.  Texts that hold a special token, or white space outside ASCII
 before ASCII white space, go to the library whole.
 """
 
@@ -21,7 +22,9 @@ import pyarrow as pa
 
 from txguard.llm.text import span_hashes, text_bytes
 
-CACHE_UNITS = 1_000_000
+#: Units that a worker remembers, ids of one that is remembered at most, and units that the library has in hand at once
+#: (it takes about 1 KB for each).
+CACHE_UNITS, SHORT_UNIT, ENCODED_UNITS = 1_000_000, 16, 5_000
 #: White space outside ASCII, in UTF-8, before ASCII white space.
 _WIDE_SPACE = re.compile(rb"(?:\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)[\x09-\x0d\x20]")
 _READY: dict[str, Encoder] = {}
@@ -35,11 +38,30 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
-        self.seen: dict[int, bytes] = {}
+        # units by ascending hash: where in ``ids`` their ids start and how many they are
+        self.key, self.at, self.size = np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.uint8)
+        self.ids = np.empty(0, np.uint32)
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        found = self.tok.encode_batch_fast(parts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
+    def _encode(self, raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units at these places, one after the other, and how many each has."""
+        ids, size = array("I"), []
+        for lo in range(0, len(start), ENCODED_UNITS):
+            units = zip(start[lo:lo + ENCODED_UNITS].tolist(), end[lo:lo + ENCODED_UNITS].tolist())
+            for e in self.tok.encode_batch_fast([raw[a:b].decode() for a, b in units], add_special_tokens=False):
+                own = e.ids
+                ids.extend(own)
+                size.append(len(own))
+        return np.array(ids, np.uint32), np.array(size, np.int64)
+
+    def _remember(self, place: np.ndarray, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """Take the short ones of some new units; ``place``: where their keys belong."""
+        short = size <= SHORT_UNIT
+        own = size[short]
+        at = len(self.ids) + np.cumsum(own) - own
+        self.ids = np.concatenate([self.ids, ids[np.repeat(short, size)]])
+        for name, new in (("key", keys[short]), ("at", at), ("size", own)):
+            old = getattr(self, name)
+            setattr(self, name, np.insert(old, place[short], new.astype(old.dtype)))
 
     def _whole(self, raw: bytes, offsets: np.ndarray) -> set[int]:
         """Texts to be encoded as one unit."""
@@ -66,21 +88,22 @@ class Encoder:
         start = np.flatnonzero(cut[:-1])
         end = np.append(start[1:], len(buf))
         key, first, back = np.unique(span_hashes(buf, start, end), return_index=True, return_inverse=True)
-        keys = key.tolist()
-        parts = list(map(self.seen.get, keys))
-        new = [k for k, p in enumerate(parts) if p is None]
-        if new:
-            made = self._encode([raw[start[first[k]]:end[first[k]]].decode() for k in new])
-            for k, b in zip(new, made):
-                parts[k] = b
-            if len(self.seen) < CACHE_UNITS:
-                self.seen.update((keys[k], b) for k, b in zip(new, made) if len(b) <= 64)
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        flat = np.frombuffer(b"".join(parts), "<u4")
+        place = np.searchsorted(self.key, key)
+        known = place < len(self.key)
+        known[known] = self.key[place[known]] == key[known]
+        at, size = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+        at[known], size[known] = self.at[place[known]], self.size[place[known]]
+        flat, new = self.ids, np.flatnonzero(~known)
+        if len(new):
+            ids, size[new] = self._encode(raw, start[first[new]], end[first[new]])
+            at[new] = len(flat) + np.cumsum(size[new]) - size[new]
+            flat = np.concatenate([flat, ids])
+            if len(self.key) < CACHE_UNITS:
+                self._remember(place[new], key[new], ids, size[new])
         n = size[back]
         stop = np.cumsum(n)
         # each unit's place in ``flat`` less its place in the output, once per id
-        shift = ((np.cumsum(size) - size)[back] - (stop - n)).astype(np.int32)
+        shift = (at[back] - (stop - n)).astype(np.int32)
         ids = flat[np.repeat(shift, n) + np.arange(stop[-1] if len(stop) else 0, dtype=np.int32)]
         edge = np.concatenate([[0], stop])[np.searchsorted(start, offsets)]
         return [ids[a:b] for a, b in zip(edge, edge[1:])]

@@ -23,6 +23,10 @@ DEFAULT_CONF = {
     "spark.sql.maxPlanStringLength": "200000",
 }
 
+#: Bytes of an Arrow batch in steps over whole texts.
+ARROW_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "txguard", driver_memory: str = "8g") -> SparkSession:
@@ -56,6 +60,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def small_batches(spark: SparkSession, limit: int = ARROW_BYTES) -> None:
+    """Let an Arrow batch to a Python step hold ``limit`` bytes at most (a longer row stands alone).
+
+    Spark's 64 MB are a whole partition of texts, held in the executor's JVM and
+    in each of its Python workers, which keep what they once took.  A size that
+    the session was given stays.
+    """
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, str(limit))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``txguard`` importable in Python workers on every executor.
 
