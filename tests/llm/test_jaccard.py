@@ -238,3 +238,95 @@ def test_agreement_is_counted_on_every_text(spark):
     exact = (sum(c * c for c in n.values()) - own) / sum(n.values()) ** 2
     assert exact > 1e-4
     assert abs(agreement(Scratch(spark, "t"), rows.repartition(3), 3) / exact - 1) < 0.1
+
+
+def test_long_sketches_tell_long_texts_apart_and_never_rule_out_a_link():
+    """1,024 bits cannot differ in as many shingles as texts of 2,500 words and more may; a bit per shingle can."""
+    from txguard.llm.jaccard_join import differences, long_parity, parity, sketches_differ
+
+    rng = np.random.default_rng(8)
+    assert long_parity(rng.integers(1, 2**63, 1024).astype(np.uint64)) is None
+    for n in (1025, 2500, 6000, 20_000):
+        a = np.unique(rng.integers(1, 2**63, n).astype(np.uint64))
+        other = np.unique(rng.integers(1, 2**63, n * 9 // 8).astype(np.uint64))
+        most = differences(len(a), len(other), 80)
+        assert sketches_differ(long_parity(a), long_parity(other)) > most
+        if n >= 2500:
+            assert int(np.bitwise_count((parity(a) ^ parity(other)).view(np.uint64)).sum()) <= most      # why it takes them
+        for cut in (0, 1, n // 20, n // 12):
+            b = np.unique(np.concatenate([a[cut:], other[:cut]]))
+            far = sketches_differ(long_parity(a), long_parity(b))
+            assert far <= len(np.setxor1d(a, b))
+            assert linked(a, b, 80) and far <= differences(len(a), len(b), 80)
+        # of unlike lengths the longer one is folded
+        assert sketches_differ(long_parity(a), long_parity(np.concatenate([a, other[:n // 9]]))) <= n // 9
+
+
+def test_texts_of_chance_pairs_do_not_move(spark, monkeypatch):
+    """Long texts that share a passage are pairs of every group; only linked ones may come to the step with texts."""
+    from txguard.llm import jaccard_join as J
+
+    rng = random.Random(21)
+    passage = prose(rng, 700)
+    rows = [(i, f"{passage} {prose(rng, 1900, 100_000)}") for i in range(12)]
+    rows += [(20 + i, edited(rng, rows[0][1], 3)) for i in range(2)]
+    moved = []
+
+    def seen(scratch, df):
+        out = write(scratch, df)
+        if df.columns == ["left", "right", "shingles"]:
+            moved.append(out.count())
+        return out
+    write = J.Scratch.write
+    monkeypatch.setattr(J.Scratch, "write", seen)
+    got = J.jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, percent=80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {**{i: i for i in range(12)}, 20: 0, 21: 0}
+    assert moved and sum(moved) <= 3
+
+
+def test_slices_and_classes_change_nothing(spark, monkeypatch):
+    """Keys in all their classes, groups in several slices, texts of few pairs at a time."""
+    from txguard.llm import components, jaccard_join as J
+
+    monkeypatch.setattr(J, "CLASS_KEYS", 1)
+    monkeypatch.setattr(J, "SLICE_SHINGLES", 1)
+    monkeypatch.setattr(J, "SLICE_ROWS", 1)
+    monkeypatch.setattr(components, "SLICE_ROWS", 1)
+    used = []
+    monkeypatch.setattr(components, "slices", lambda rows, most, f=components.slices: used.append(f(rows, most)) or used[-1])
+    rows = [r for r in corpus(4) if len(r[1].split()) < 100]
+    rows += [(i + 1000, t) for i, t in rows[:20]]                    # equal sets, which are no nodes of their own
+    got = jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows)
+    assert max(used) > 1
+
+
+def test_rows_without_a_list(spark):
+    from txguard.llm.candidates import without
+    from txguard.llm.scratch import Scratch
+
+    df = spark.range(0, 3000, 1, 4).selectExpr("id row", "id * 2 x")
+    for gone in (spark.range(0), spark.range(0, 2900, 3).selectExpr("id row"), spark.range(3000).selectExpr("id row")):
+        rest = without(Scratch(spark, "t"), df, "row", gone.toDF("row"))
+        left = sorted(map(tuple, rest.select("row", "x").collect()))
+        out = {r[0] for r in gone.collect()}
+        assert left == [(i, 2 * i) for i in range(3000) if i not in out]
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    import os
+    import time
+
+    from txguard.llm import scratch as S
+
+    def files():
+        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for top in dirs for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+
+    before = files()
+    out = S.Scratch(spark, "t").write(spark.range(0, 200_000, 1, 4).selectExpr("id % 5003 k").groupBy("k").count())
+    end = time.time() + 20
+    while files() - before and time.time() < end:      # files go in the background
+        time.sleep(0.2)
+    assert not files() - before
+    assert out.count() == 5003 and spark.conf.get(S._CLEAN, None) is None

@@ -23,9 +23,11 @@ def _pattern(value: Column) -> Column:
     return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
 
 
-def likely(df: DataFrame, value: str, wanted: DataFrame) -> DataFrame:
+def likely(df: DataFrame, value: str, wanted: DataFrame, how: str = "left_semi") -> DataFrame:
     """The rows of ``df`` whose long column ``value`` may be in the one column of ``wanted``: all that are, and few others.
 
+    With ``how="left_anti"`` the rest: rows that are not, but for few.
+
     A Bloom filter in words of 64 bits is built by aggregation and broadcast, at
     most ``MOST_WORDS`` rows of two longs (16 MB) however many values there are,
     so rows that are not wanted never leave their task.
@@ -38,7 +40,14 @@ def likely(df: DataFrame, value: str, wanted: DataFrame) -> DataFrame:
              .groupBy("__word").agg(F.bit_or("__bits").alias("__mask")))
     mine = _pattern(df[value])
     return df.join(F.broadcast(masks), (_word(df[value], words) == masks["__word"]) & (masks["__mask"].bitwiseAND(mine) == mine),
-                   "left_semi")
+                   how)
+
+
+def without(scratch: Scratch, df: DataFrame, value: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose long column ``value`` is not in the one column of ``gone``; few rows leave their task for it."""
+    unsure = scratch.write(likely(df.select(value), value, gone).join(gone, df[value] == gone[gone.columns[0]], "left_anti"))
+    return (likely(df, value, gone, "left_anti")
+            .unionByName(likely(df, value, unsure).join(unsure.distinct(), value, "left_semi")))
 
 
 def one_per_member_list(postings: DataFrame, key: str = "key", node: str = "node") -> DataFrame:

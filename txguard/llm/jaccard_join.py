@@ -25,6 +25,12 @@ different sets are verified exactly on their shingles.  Before any text moves a
 *parity sketch* tells most of the others apart: bit k is the parity of the
 shingles that hash to k, a bit that differs takes a shingle that differs, so
 more differing bits than permitted differences rule a pair out for certain.
+Texts of more shingles than that sketch has bits have a second one with a bit
+per shingle, which tells them apart before their text moves.
+
+Pairs that agree by chance grow with the square of the texts, so what moves is
+dealt out: keys are counted in classes, groups, sketches and texts come in
+slices of bounded size, and a slice's files go before the next.
 """
 
 from __future__ import annotations
@@ -39,8 +45,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txguard.llm.candidates import likely, one_per_member_list, texts_of
-from txguard.llm.components import link_groups
+from txguard.llm.candidates import likely, one_per_member_list, texts_of, without
+from txguard.llm.components import SLICE_ROWS, dealt, link_groups, slices, union
 from txguard.llm.scratch import Scratch, own_name
 from txguard.llm.text import Rolling, Words, mix, pieces
 
@@ -57,6 +63,10 @@ AGREE = 2e-6
 COUNTERS = 1 << 14
 #: Words of 64 bits in a parity sketch, and bytes of text in hand.
 SKETCH, TEXT_BYTES = 16, 1 << 20
+#: Classes of keys, at most, and keys from which more than one is counted at a time.
+CLASSES, CLASS_KEYS = 4, 1 << 23
+#: Shingles of the pairs whose texts are on disk at once, if they are more than a quarter of all nodes' shingles.
+SLICE_SHINGLES = 1 << 25
 
 
 def differences(a: int, b: int, percent: int = PERCENT) -> int:
@@ -191,20 +201,24 @@ def _index(batches: Iterator[pa.RecordBatch], plan: list[Scheme], shingle: int)
             for u in shingle_sets(part.column(1), shingle):
                 size = len(u)
                 if not size:
-                    rows.append((0, None, None, None, None))
+                    rows.append((0, None, None, None, None, *[None] * CLASSES))
                     continue
                 band = int(np.searchsorted(lows, size, side="right")) - 1
                 keys = [plan[band].keys(u)] if band >= 0 else []
                 if band + 1 < len(plan) and 100 * size >= plan[band + 1].percent * plan[band + 1].low:
                     keys.append(plan[band + 1].keys(u))
-                keys = np.concatenate(keys).view(np.int64) if keys else None
+                keys = np.sort(np.concatenate(keys)) if keys else np.empty(0, np.uint64)
+                cuts = np.searchsorted(keys, np.arange(1, CLASSES, dtype=np.uint64) * np.uint64((1 << 64) // CLASSES))
                 a, b = mix(u).sum(dtype=np.uint64), mix(u ^ np.uint64(0xC0FFEE)).sum(dtype=np.uint64)
-                rows.append((size, int(a.view(np.int64)), int(b.view(np.int64)), keys, parity(u)))
-            size, a, b, keys, sketch = list(zip(*rows))
+                rows.append((size, int(a.view(np.int64)), int(b.view(np.int64)), parity(u), long_parity(u),
+                             *np.split(keys.view(np.int64), cuts)))
+            size, a, b, sketch, bits, *keys = list(zip(*rows))
             yield pa.record_batch([part.column(0), pc.fill_null(part.column(2), 0), pc.fill_null(part.column(3), 0),
                                    pa.array(size, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
-                                   pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
-                                  names=["id", "print", "check", "n", "a", "b", "keys", "sketch"])
+                                   pa.array(sketch, pa.list_(pa.int64())), pa.array(bits, pa.binary()),
+                                   *[pa.array(k, pa.list_(pa.int64())) for k in keys]],
+                                  names=["id", "print", "check", "n", "a", "b", "sketch", "bits",
+                                         *[f"keys{k}" for k in range(CLASSES)]])
 
 
 def parity(shingles: np.ndarray) -> np.ndarray:
@@ -212,6 +226,24 @@ def parity(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def long_parity(shingles: np.ndarray) -> bytes | None:
+    """Parity sketch with the power of two of bits that is no less than the shingles; none where ``parity`` has as many."""
+    if len(shingles) <= 64 * SKETCH:
+        return None
+    bits = 1 << (len(shingles) - 1).bit_length()
+    return np.packbits((np.bincount((shingles % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def sketches_differ(left: bytes, right: bytes) -> int:
+    """Bits in which two long sketches differ; halves of the longer are laid together, as one with half the bits would be."""
+    a, b = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[:len(a) // 2] ^ a[len(a) // 2:]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def may_link(left: str, right: str, percent: int) -> str:
     """SQL: sizes and sketches of two rows, given by column prefixes, do not rule a link out."""
     bits = " + ".join(f"bit_count({left}s{k} ^ {right}s{k})" for k in range(SKETCH))
@@ -227,17 +259,66 @@ def _verify(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> It
             yield part.select([0, 1]).filter(ok)
 
 
-def _compare(scratch: Scratch, pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs of nodes that are linked; without any pair no text is moved."""
-    pairs = scratch.write(pairs)
+def _sift(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of pairs with sizes and long sketches (or none) those that may be linked, and how many shingles both have."""
+    for batch in batches:
+        left, right, m, n, x, y = batch.columns
+        n = pc.add(m, n)
+        most = differences(n.to_numpy(zero_copy_only=False), 0, percent)
+        ok = [a is None or b is None or sketches_differ(a, b) <= d for a, b, d in zip(x.to_pylist(), y.to_pylist(), most.tolist())]
+        yield pa.record_batch([left, right, n], names=["left", "right", "shingles"]).filter(pa.array(ok, pa.bool_()))
+
+
+def _compare(scratch: Scratch, pairs: DataFrame, about: DataFrame, texts: DataFrame, shingle: int, percent: int,
+             rows: int, shingles: int) -> DataFrame:
+    """The pairs of nodes that are linked; about ``rows`` pairs have long sketches, and ``shingles`` have texts, at once.
+
+    Only texts of pairs that the sketches leave are moved; without any pair none is.
+    """
     if pairs.isEmpty():
         return pairs
-    full = (pairs.join(texts.select(F.col("node").alias("left"), F.col("text").alias("left_text")), "left")
-            .join(texts.select(F.col("node").alias("right"), F.col("text").alias("right_text")), "right")
-            .select("left", "right", "left_text", "right_text"))
-    links = scratch.write(full.mapInArrow(lambda it: _verify(it, shingle, percent), "left long, right long"))
-    scratch.drop(pairs)
-    return links
+
+    def sketch(name: str) -> DataFrame:
+        return about.select(F.col("node").alias(name), F.col("n").alias(f"{name}_n"), F.col("bits").alias(f"{name}_bits"))
+
+    def text(name: str, nodes: DataFrame) -> DataFrame:
+        return likely(texts, "node", nodes.select(name)).select(F.col("node").alias(name), F.col("text").alias(f"{name}_text"))
+
+    n = slices(pairs.count(), rows)
+    left = [scratch.write(dealt(pairs, n, k, "left", "right").join(sketch("left"), "left").join(sketch("right"), "right")
+                          .select("left", "right", "left_n", "right_n", "left_bits", "right_bits")
+                          .mapInArrow(lambda it: _sift(it, percent), "left long, right long, shingles long")) for k in range(n)]
+    some = union(left)
+    n = slices(some.agg(F.sum("shingles")).first()[0] or 0, shingles)
+    links = []
+    for k in range(n):
+        now = dealt(some, n, k, "left", "right").select("left", "right")
+        full = now.join(text("left", now), "left").join(text("right", now), "right").select("left", "right", "left_text", "right_text")
+        links.append(scratch.write(full.mapInArrow(lambda it: _verify(it, shingle, percent), "left long, right long")))
+    scratch.drop(*left)
+    return union(links)
+
+
+def _groups(scratch: Scratch, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``key, node, members``: keys that several nodes have, one of those with the same nodes; counted by classes of keys."""
+    gone = scratch.write(sets.filter("n > 0").select("row").join(nodes.select(F.col("node").alias("row")), "row", "left_anti"))
+    mine = without(scratch, sets.filter("n > 0"), "row", gone)
+    keys = CLASSES * (mine.agg(F.sum(F.size("keys0"))).first()[0] or 0)
+    at_once = CLASSES
+    while at_once > 1 and keys * at_once > CLASS_KEYS * CLASSES:
+        at_once //= 2
+    found = []
+    for k in range(0, CLASSES, at_once):
+        some = mine.select(F.explode(F.concat(*[f"keys{i}" for i in range(k, k + at_once)])).alias("key"), F.col("row").alias("node"))
+        often = scratch.write(some.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("key"))
+        shared = scratch.write(likely(some, "key", often).join(often, "key", "left_semi"))
+        found.append(scratch.write(one_per_member_list(shared)))
+        scratch.drop(often, shared)
+    if len(found) == 1:
+        return found[0]
+    groups = scratch.write(one_per_member_list(union(found)))
+    scratch.drop(gone, *found)
+    return groups
 
 
 def _components(spark: SparkSession, scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, wide: int | None, shingle: int,
@@ -257,23 +338,22 @@ def _components(spark: SparkSession, scratch: Scratch, docs: DataFrame, id_col:
     plan = schemes(by_size, max([r["most"] or 0 for r in sizes], default=0) // 2, wide, percent, agree)
     id_type = rows.schema["id"].dataType.simpleString()
     sets = rows.mapInArrow(lambda it: _index(it, plan, shingle), f"id {id_type}, print long, check long, n long, a long, b long, "
-                           "keys array<long>, sketch array<long>")
+                           "sketch array<long>, bits binary, " + ", ".join(f"keys{k} array<long>" for k in range(CLASSES)))
     sets = scratch.write(sets.withColumn("row", F.monotonically_increasing_id()))
     nodes = scratch.write(sets.filter("n > 0").groupBy("a", "b").agg(F.min("row").alias("node")))
-    keys = (sets.select("row", "keys").join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
-            .select(F.explode("keys").alias("key"), F.col("row").alias("node")))
-    often = scratch.write(keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("key"))
-    shared = scratch.write(likely(keys, "key", often).join(often, "key", "left_semi"))
-    groups = scratch.write(one_per_member_list(shared))
+    groups = _groups(scratch, sets, nodes)
     sketch = [F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH)]
     about = scratch.write(sets.withColumnRenamed("row", "node").join(groups.select("node").distinct(), "node", "left_semi")
-                          .select("node", "print", "check", "n", *sketch))
-    scratch.drop(often, shared)
+                          .select("node", "print", "check", "n", "bits", *sketch))
+    every = scratch.write(sets.select("id", "print", "check", "n", "row", "a", "b"))
+    scratch.drop(sets)                    # with the keys
     texts = texts_of(scratch, rows, about)
-    labels = link_groups(spark, scratch, groups, about.drop("print", "check"), lambda x, y: may_link(x, y, percent),
-                         lambda pairs: _compare(scratch, pairs, texts, shingle, percent))
+    size = about.agg(F.count(F.lit(1)), F.sum("n")).first()
+    most, words = max(size[0], SLICE_ROWS), max((size[1] or 0) // 4, SLICE_SHINGLES)
+    labels = link_groups(spark, scratch, groups, about.drop("print", "check", "bits"), lambda x, y: may_link(x, y, percent),
+                         lambda pairs: _compare(scratch, pairs, about, texts, shingle, percent, most, words))
     scratch.drop(groups, about, texts)
-    return (sets.select("id", "print", "check", "n", "row", "a", "b").join(nodes, ["a", "b"], "left").join(labels, "node", "left")
+    return (every.join(nodes, ["a", "b"], "left").join(labels, "node", "left")
             .select("id", "print", "check", "n", "row", F.coalesce("label", "node").alias("label")))
 
 

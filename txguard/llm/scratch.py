@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from txguard.session import ensure_checkpoint_dir
 
+#: Shuffle files of a written table go as it is done; otherwise they stay until the driver happens to collect its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 class Scratch:
     """Written tables of one operator run; ``drop`` frees those no longer read."""
@@ -26,7 +29,16 @@ class Scratch:
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self._n}"
         self._n += 1
-        df.write.option("compression", "zstd").parquet(path)
+        conf = self.spark.conf
+        before = conf.get(_CLEAN, None)
+        conf.set(_CLEAN, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            if before is None:
+                conf.unset(_CLEAN)
+            else:
+                conf.set(_CLEAN, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._path[id(out)] = out, path
         return out
